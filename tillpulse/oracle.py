@@ -173,7 +173,7 @@ from orders qualify row_number() over (partition by o_custkey order by o_orderda
     "sale_age_facet": f"with {SALE} {_facet('age', BUCKET, ['<20', '20-29', '>=30', 'unknown'])}",
     "sale_gender_terms": f"""with {SALE} select user_gender, count(*) as n from sale where user_gender is not null
 group by user_gender order by n desc, user_gender limit 2""",
-    "sale_age_terms": f"""with {SALE} select user_age, count(*) as n from sale where user_age is not null
+    "sale_age_terms": f"""with {SALE} select user_age::int as user_age, count(*) as n from sale where user_age is not null
 group by user_age order by n desc, user_age limit 100""",
     "sale_search_document": f"""with {SALE}, day_hits as (select * from sale where dt = date '1998-06-15'),
 page as (select order_detail_id from day_hits order by order_detail_id limit 10)
@@ -233,7 +233,7 @@ from startup_log where event_id % 3 = 1""",
   total_amount::double as total_amount, create_time, create_date, create_hour from order_info""",
     "stream_coupon_alerts": f"with {windows_sql()} select {ALERT_COLUMNS} from alert",
     "stream_sale_detail": _stream_sale(SALE_COLUMNS),
-    "upsert_orders": f"""with {ORDER} select id, create_date,
-  case when id::bigint % 2 = 1 then 'closed' else order_status end as order_status,
-  total_amount::double as total_amount from order_info""",
+    "upsert_users": f"""with {USER} select id, login_name, birthday, gender,
+  case when id::bigint % 6 = 1 then '2' when id::bigint % 2 = 1 then '1' else user_level end as user_level
+from user_info""",
 }

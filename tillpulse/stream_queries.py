@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillpulse import operators as ops, queries as q, sources, streaming
+from tillpulse import queries as q, sources, streaming
 from tillpulse.queries import query
 from tillpulse.session import shared_dir
 from tillpulse.sinks import archive_logs
@@ -190,18 +190,15 @@ def stream_sale_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, a replay of the second one, a compaction, and a last batch on top of it."""
     work = shared_dir(spark, "upsert")
-    table = streaming.order_table(f"{work}/orders")
-    orders = ops.order_clean(t.order_info(t.table(spark, sf_dir, "orders"), t.table(spark, sf_dir, "customer")))
-    names = [F.col(c) if c in orders.columns else F.lit(None).cast("string").alias(c) for c in table.columns()]
-    whole = orders.select(*names)
-    odd = whole.where(F.col("id").cast("bigint") % 2 == 1)
-    table.upsert(whole, 0)
-    table.upsert(odd.withColumn("order_status", F.lit("paid")), 1)
-    table.upsert(odd.withColumn("order_status", F.lit("paid")), 1)
+    table = streaming.user_table(f"{work}/users")
+    users = t.user_info(t.table(spark, sf_dir, "customer")).withColumn("arrival_ts", F.lit("2024-01-01").cast("timestamp"))
+    odd = users.where(F.col("id").cast("bigint") % 2 == 1)
+    table.upsert(users, 0)
+    table.upsert(odd.withColumn("user_level", F.lit("1")), 1)
+    table.upsert(odd.withColumn("user_level", F.lit("1")), 1)
     table.compact(spark)
-    table.upsert(odd.withColumn("order_status", F.lit("closed")), 2)
-    rows = table.latest(spark).select("id", "create_date", "order_status", "total_amount")
-    return rows.withColumn("total_amount", F.col("total_amount").cast("double"))
+    table.upsert(odd.where(F.col("id").cast("bigint") % 3 == 1).withColumn("user_level", F.lit("2")), 2)
+    return table.latest(spark).drop("arrival_ts")
