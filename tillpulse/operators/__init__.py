@@ -1,4 +1,11 @@
-from tillpulse.operators.alerts import alert_documents, alerts_per_minute, coupon_alerts, event_list, pane_counts
+from tillpulse.operators.alerts import (
+    alert_documents,
+    alerts_per_minute,
+    coupon_alerts,
+    coupon_alerts_per_minute,
+    event_list,
+    pane_counts,
+)
 from tillpulse.operators.devices import (
     dau_by_hour,
     dau_total,
@@ -20,7 +27,7 @@ from tillpulse.operators.orders import (
 from tillpulse.operators.sales import enrich_user, join_order_detail, latest_users
 
 __all__ = [
-    "alert_documents", "alerts_per_minute", "coupon_alerts", "dau_by_hour", "dau_total", "device_totals",
+    "alert_documents", "alerts_per_minute", "coupon_alerts", "coupon_alerts_per_minute", "dau_by_hour", "dau_total", "device_totals",
     "enrich_user", "event_list", "exclude_seen", "first_startup", "join_order_detail", "latest_rows", "latest_users",
     "new_devices", "observed", "order_amount_by_hour", "order_amount_total", "order_clean", "pane_counts",
     "roster", "route_cdc", "route_logs", "sales_by_province", "stamp_ingest",

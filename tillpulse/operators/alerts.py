@@ -1,14 +1,15 @@
 """Coupon alerts: a sliding window per device.
 
-Events are first counted per device and pane (one slide, 10 s). A pane belongs to 30 windows, but rows
-are not multiplied by 30 before the shuffle: they travel once to the (device, hour) that evaluates them
-- twice near the end of an hour - and are spread over the windows there. The hour also splits a device
-that holds a large share of all events.
+Events are first counted per device and pane (one slide, 10 s). A pane belongs to 30 windows, but rows are
+not multiplied by 30: they travel once to the (device, hour) that evaluates them - twice near the end of an
+hour. There the content of the window is worked out only where it changes, which is when a pane enters or
+leaves, and the stretch up to the next change is written out as windows at the end. The hour also splits a
+device that holds a large share of all events.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillpulse.functions.scalars import with_alert_id
 
@@ -41,58 +42,115 @@ def pane_counts(events: DataFrame, slide: int = SLIDE_SECONDS) -> DataFrame:
     return events.where(F.col("mid").isNotNull()).groupBy(*pane_keys(slide)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _null_first(values: Column, has_null: Column) -> Column:
-    """A sorted set, with NULL as a member where it occurred."""
-    ordered = F.sort_array(values)
-    return F.when(has_null, F.concat(F.array(F.lit(None).cast("string")), ordered)).otherwise(ordered)
+def _sum_by_kind(counts: Column) -> Column:
+    """Add up ``(evid, n)`` entries per kind, sorted by kind; NULL is a kind of its own.
 
+    Pass a plain column: the entries are looked through once per kind.
+    """
+    kinds = F.array_sort(F.array_distinct(F.transform(counts, lambda c: c["evid"])))
 
-def windows_from_panes(
-    panes: DataFrame, size: int = SIZE_SECONDS, slide: int = SLIDE_SECONDS, chunk: int = CHUNK_SECONDS
-) -> DataFrame:
-    """Every non-empty window of every device, suppressed ones included."""
+    def entry(kind: Column) -> Column:
+        same = F.filter(counts, lambda c: c["evid"].eqNullSafe(kind))
+        total = F.aggregate(same, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
+        return F.struct(kind.alias("evid"), total.alias("n"))
+
+    return F.transform(kinds, entry)
+
+
+def _pane_content(rows: Column) -> Column:
+    """Users, items and counts of one pane."""
+    coupons = F.filter(rows, lambda r: r["evid"] == COUPON)
+    return F.struct(
+        F.array_distinct(F.transform(coupons, lambda r: r["uid"])).alias("uids"),
+        F.array_distinct(F.transform(coupons, lambda r: r["itemid"])).alias("item_ids"),
+        _sum_by_kind(rows).alias("events"),
+        F.exists(rows, lambda r: r["evid"].eqNullSafe(CLICK)).alias("clicked"),
+    )
+
+
+def _check(size: int, slide: int, chunk: int) -> None:
     if size % slide or chunk % slide or chunk % 60:
         raise ValueError("size and chunk must be multiples of the slide, chunk of a minute")
+
+
+def _stretches(panes: DataFrame, size: int, slide: int, chunk: int) -> DataFrame:
+    """Per device, the ranges ``lo..hi`` of window ends (in slides) over which nothing changes, with the
+    content of those windows. Suppressed windows are included, empty ones are not."""
+    _check(size, slide, chunk)
     per_window, per_chunk = size // slide, chunk // slide
     # A pane is inside the windows ending 1 to per_window slides after its start.
-    first, last = F.col("pane") + 1, F.col("pane") + per_window
-    lo, hi = F.floor(first / per_chunk), F.floor(last / per_chunk)
-    placed = panes.withColumn("chunk", F.explode(F.sequence(lo, hi))).repartition("mid", "chunk")
+    enter, leave = F.col("pane") + 1, F.col("pane") + 1 + per_window
+    chunks = F.sequence(F.floor(enter / per_chunk), F.floor((leave - 1) / per_chunk))
+    # A fixed number of partitions: what follows costs far more than its input size suggests, so the
+    # adaptive merging of small partitions would leave cores idle.
+    width = int(panes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_pane = (
+        panes.withColumn("chunk", F.explode(chunks))
+        .repartition(width, "mid", "chunk")
+        .groupBy("mid", "chunk", "pane")
+        .agg(F.collect_list(F.struct("evid", "uid", "itemid", "n")).alias("rows"))
+        .select("mid", "chunk", "pane", _pane_content(F.col("rows")).alias("content"))
+    )
+    changes = per_pane.select(
+        "mid",
+        "chunk",
+        F.explode(
+            F.array(
+                F.struct(enter.alias("at"), F.col("content").alias("content")),
+                F.struct(leave.alias("at"), F.lit(None).cast(per_pane.schema["content"].dataType).alias("content")),
+            )
+        ).alias("c"),
+    ).select("mid", "chunk", "c.*")
+    in_order = Window.partitionBy("mid", "chunk").orderBy("at")
+    inside = in_order.rangeBetween(-(per_window - 1), Window.currentRow)
     start = F.col("chunk") * per_chunk
-    ends = F.sequence(F.greatest(first, start), F.least(last, start + per_chunk - 1))
-    coupon = F.col("evid") == COUPON
-    by_kind = (
-        placed.withColumn("w", F.explode(ends))
-        .groupBy("mid", "chunk", "w", "evid")
-        .agg(
-            F.sum("n").alias("n"),
-            F.collect_set("uid").alias("uids"),
-            F.collect_set("itemid").alias("item_ids"),
-            F.bool_or(coupon & F.col("uid").isNull()).alias("null_uid"),
-            F.bool_or(coupon & F.col("itemid").isNull()).alias("null_item"),
+    stretches = (
+        changes.select(
+            "mid",
+            "chunk",
+            "at",
+            F.lead("at").over(in_order).alias("next"),
+            F.collect_list("content").over(inside).alias("inside"),
+        )
+        .where((F.col("next") > F.col("at")) & (F.size("inside") > 0))
+        .select(
+            "mid",
+            "chunk",
+            F.greatest("at", start).alias("lo"),
+            F.least(F.col("next") - 1, start + per_chunk - 1).alias("hi"),
+            "inside",
         )
+        .where(F.col("lo") <= F.col("hi"))
     )
-    # Only the coupon row of a window carries users and items.
-    by_window = by_kind.groupBy("mid", "chunk", "w").agg(
-        F.flatten(F.collect_list("uids")).alias("uids"),
-        F.flatten(F.collect_list("item_ids")).alias("item_ids"),
-        F.bool_or("null_uid").alias("null_uid"),
-        F.bool_or("null_item").alias("null_item"),
-        F.sort_array(F.collect_list(F.struct("evid", "n"))).alias("events"),
-        F.bool_or(F.col("evid").eqNullSafe(CLICK)).alias("suppressed"),
+
+    def merged(name: str) -> Column:
+        return F.flatten(F.transform("inside", lambda c: c[name]))
+
+    place = ["mid", "chunk", "lo", "hi"]
+    merged_up = stretches.select(
+        *place,
+        F.sort_array(F.array_distinct(merged("uids"))).alias("uids"),
+        F.sort_array(F.array_distinct(merged("item_ids"))).alias("item_ids"),
+        merged("events").alias("entries"),
+        F.exists("inside", lambda c: c["clicked"]).alias("suppressed"),
     )
-    return by_window.select(
-        "mid",
-        "chunk",
-        F.timestamp_seconds(F.col("w") * slide).alias("window_end"),
-        _null_first(F.col("uids"), F.coalesce("null_uid", F.lit(False))).alias("uids"),
-        _null_first(F.col("item_ids"), F.coalesce("null_item", F.lit(False))).alias("item_ids"),
-        "events",
-        "suppressed",
+    return merged_up.select(
+        *place, "uids", "item_ids", _sum_by_kind(F.col("entries")).alias("events"), "suppressed"
     )
 
 
-def alerts_from_windows(windows: DataFrame, min_uids: int = 0) -> DataFrame:
+CONTENT = ["uids", "item_ids", "events"]
+
+
+def windows_from_panes(
+    panes: DataFrame, size: int = SIZE_SECONDS, slide: int = SLIDE_SECONDS, chunk: int = CHUNK_SECONDS
+) -> DataFrame:
+    """Every non-empty window of every device, suppressed ones included."""
+    ends = _stretches(panes, size, slide, chunk).withColumn("w", F.explode(F.sequence("lo", "hi")))
+    return ends.select("mid", F.timestamp_seconds(F.col("w") * slide).alias("window_end"), *CONTENT, "suppressed")
+
+
+def _kept(windows: DataFrame, min_uids: int) -> DataFrame:
     kept = windows.where(~F.col("suppressed"))
     if min_uids > 0:
         kept = kept.where(F.size("uids") >= min_uids)
@@ -106,22 +164,40 @@ def coupon_alerts(
 
     A device is cleared for a window in which it clicked an item.
     """
-    windows = windows_from_panes(pane_counts(events, slide), size, slide)
-    return alerts_from_windows(windows, min_uids)
+    return _kept(windows_from_panes(pane_counts(events, slide), size, slide), min_uids)
 
 
 def alerts_per_minute(alerts: DataFrame) -> DataFrame:
-    """The last surviving window of every device and minute, with its alert id.
-
-    Windows of a minute share their chunk, so grouping by it as well adds no shuffle.
-    """
+    """The last surviving window of every device and minute, with its alert id."""
     minute = F.floor(F.unix_seconds("window_end") / 60).alias("minute")
-    keys = ["mid"] + [c for c in ("chunk",) if c in alerts.columns]
-    row = F.max_by(F.struct("window_end", "uids", "item_ids", "events"), F.col("window_end")).alias("row")
-    picked = alerts.groupBy(*keys, minute).agg(row).select("mid", "row.*")
+    row = F.max_by(F.struct("window_end", *CONTENT), F.col("window_end")).alias("row")
+    picked = alerts.groupBy("mid", minute).agg(row).select("mid", "row.*")
     return with_alert_id(picked).select("alert_id", *picked.columns)
 
 
+def coupon_alerts_per_minute(
+    events: DataFrame, size: int = SIZE_SECONDS, slide: int = SLIDE_SECONDS, min_uids: int = 0
+) -> DataFrame:
+    """``alerts_per_minute`` of ``coupon_alerts`` without writing out every window.
+
+    A stretch offers its last window in each minute it touches. All windows of a minute lie in one chunk,
+    so picking the last of them needs no further shuffle.
+    """
+    if 60 % slide:
+        return alerts_per_minute(coupon_alerts(events, size, slide, min_uids))
+    per_minute = 60 // slide
+    kept = _kept(_stretches(pane_counts(events, slide), size, slide, CHUNK_SECONDS), min_uids)
+    minutes = F.sequence(F.floor(F.col("lo") / per_minute), F.floor(F.col("hi") / per_minute))
+    offered = kept.withColumn("minute", F.explode(minutes)).withColumn(
+        "w", F.least(F.col("hi"), F.col("minute") * per_minute + per_minute - 1)
+    )
+    latest = Window.partitionBy("mid", "chunk", "minute").orderBy(F.desc("w"))
+    last = offered.withColumn("place", F.row_number().over(latest)).where("place = 1")
+    return with_alert_id(
+        last.select("mid", F.timestamp_seconds(F.col("w") * slide).alias("window_end"), *CONTENT)
+    ).select("alert_id", "mid", "window_end", *CONTENT)
+
+
 def event_list(events: Column) -> Column:
     """Event counts written out as the list of event ids."""
     return F.flatten(F.transform(events, lambda e: F.array_repeat(e["evid"], e["n"].cast("int"))))

@@ -67,14 +67,18 @@ def windows_sql(size: int = 300, slide: int = 10) -> str:
     return f"""{EVENT}, placed as (
   select *, (floor(epoch(event_ts) / {slide})::bigint + 1 + k) * {slide} as window_end_s
   from event_log, range(0, {per_window}) r(k)),
+kinds as (
+  select mid, window_end_s, string_agg(evid || ':' || n::varchar, ',' order by evid) as events
+  from (select mid, window_end_s, evid, count(*) as n from placed group by all) group by all),
 alert as (
+  select * from (
   select mid, window_end_s,
          coalesce(array_to_string(list_sort(list(distinct uid) filter (evid = 'coupon')), ','), '') as uids,
          coalesce(array_to_string(list_sort(list(distinct itemid) filter (evid = 'coupon')), ','), '') as item_ids,
-         array_to_string(list_sort(list(evid)), ',') as events,
-         count(distinct uid) filter (evid = 'coupon') as n_uids,
-         count(distinct itemid) filter (evid = 'coupon') as n_items, count(*) as n_events
-  from placed group by mid, window_end_s having bool_and(evid <> 'clickItem')),
+         array_to_string(list_sort(list(evid)), ',') as event_list,
+         count(distinct uid) filter (evid = 'coupon') as n_uids
+  from placed group by mid, window_end_s having bool_and(evid <> 'clickItem'))
+  join kinds using (mid, window_end_s)),
 last_alert as (
   select * from alert
   qualify row_number() over (partition by mid, window_end_s // 60 order by window_end_s desc) = 1)"""
@@ -192,8 +196,8 @@ from event_log group by all""",
 select mid || '_' || (window_end_s // 60)::varchar as alert_id, {ALERT_COLUMNS} from last_alert""",
     "coupon_alerts_three_users": f"with {windows_sql(600, 60)} select {ALERT_COLUMNS} from alert where n_uids >= 3",
     "alert_documents": f"""with {windows_sql()}
-select mid || '_' || (window_end_s // 60)::varchar as alert_id, mid, n_uids::int as n_uids, n_items::int as n_items,
-  n_events::int as n_events, window_end_s * 1000 as ts from last_alert""",
+select mid || '_' || (window_end_s // 60)::varchar as alert_id, mid, uids, item_ids, event_list as events,
+  window_end_s * 1000 as ts from last_alert""",
     "stamp_ingest": """select event_id, case when event_type = 'signup' then 'startup' else 'event' end as type,
   'mid_' || (user_id % 20)::varchar as mid, (epoch_us(ts) // 1000) as ts from events""",
     "route_logs": """select case when event_type = 'signup' then 'startup_log' else 'event_log' end as topic, event_id

@@ -273,14 +273,14 @@ def sale_search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _alert_text(alerts: DataFrame, *extra: str) -> DataFrame:
-    events = F.sort_array(ops.event_list(F.col("events")))
+    counts = F.transform("events", lambda e: F.concat_ws(":", e["evid"], e["n"].cast("string")))
     return alerts.select(
         *extra,
         "mid",
         F.unix_seconds("window_end").alias("window_end_s"),
         F.array_join("uids", ",").alias("uids"),
         F.array_join("item_ids", ",").alias("item_ids"),
-        F.array_join(events, ",").alias("events"),
+        F.array_join(counts, ",").alias("events"),
     )
 
 
@@ -296,7 +296,7 @@ def coupon_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def coupon_alerts_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alert_text(ops.alerts_per_minute(ops.coupon_alerts(_events(spark, sf_dir))), "alert_id")
+    return _alert_text(ops.coupon_alerts_per_minute(_events(spark, sf_dir)), "alert_id")
 
 
 @query
@@ -309,8 +309,12 @@ def coupon_alerts_three_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = ops.alert_documents(ops.alerts_per_minute(ops.coupon_alerts(_events(spark, sf_dir))))
     return documents.select(
-        "alert_id", "mid", F.size("uids").alias("n_uids"), F.size("itemIds").alias("n_items"),
-        F.size("events").alias("n_events"), "ts",
+        "alert_id",
+        "mid",
+        F.array_join("uids", ",").alias("uids"),
+        F.array_join("itemIds", ",").alias("item_ids"),
+        F.array_join("events", ",").alias("events"),
+        "ts",
     )
 
 
