@@ -25,12 +25,15 @@ def settings(spark):
     def set_all(**options):
         for key, value in options.items():
             name = key.replace("__", ".")
-            before.setdefault(name, spark.conf.get(name))
+            before.setdefault(name, spark.conf.get(name, None))
             spark.conf.set(name, value)
 
     yield set_all
     for name, value in before.items():
-        spark.conf.set(name, value)
+        if value is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, value)
 
 
 def rows(df, *order):

@@ -52,6 +52,11 @@ class KeyedTable:
         """One row per key over all committed batches."""
         return self._merge(self._read(spark, self._live(spark)))
 
+    def lookup(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
+        """The latest rows of the keys in ``wanted`` only: other rows are dropped before the merge."""
+        rows = self._read(spark, self._live(spark))
+        return self._merge(rows.join(wanted.select(*self.keys).distinct(), self.keys, "left_semi"))
+
     def compact(self, spark: SparkSession) -> int | None:
         """Fold all committed batches into one folder; gives the last batch id covered."""
         live = self._live(spark)

@@ -36,8 +36,16 @@ def _json_rows(df: DataFrame, arrival: Column, fields: list[str]) -> DataFrame:
     return df.select(F.to_json(record).alias("value"), arrival.alias("arrival_ts"))
 
 
-def _run(writer_of: Callable[[], object]) -> None:
-    streaming.start(writer_of(), available_now=True).awaitTermination()
+def _run(spark: SparkSession, writer_of: Callable[[], object]) -> None:
+    """Run a job over what is there. State is kept in no more partitions than there are cores: a stream
+    fixes their number when it first starts, and each one costs a store of its own in every batch."""
+    name = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(configured), spark.sparkContext.defaultParallelism)))
+    try:
+        streaming.start(writer_of(), available_now=True).awaitTermination()
+    finally:
+        spark.conf.set(name, configured)
 
 
 def _event_slices(df: DataFrame) -> list[DataFrame]:
@@ -63,7 +71,7 @@ def stream_first_startup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = streaming.dau_table(f"{work}/dau")
     for part in _event_slices(_startup_rows(spark, sf_dir)):
         _publish(part, topics.STARTUP_TOPIC, f"{work}/topics")
-        _run(lambda: streaming.dau_job(
+        _run(spark, lambda: streaming.dau_job(
             _parsed_startups(spark, f"{work}/topics"), table, f"{work}/checkpoint", lateness=REPLAY_LATENESS
         ))
     return table.latest(spark).select("mid", "uid", "os", "area", "ts", "log_date", "log_hour")
@@ -75,7 +83,7 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "first-seen")
     for part in _event_slices(_startup_rows(spark, sf_dir)):
         _publish(part, topics.STARTUP_TOPIC, f"{work}/topics")
-        _run(lambda: streaming.first_seen_stream(_parsed_startups(spark, f"{work}/topics"), REPLAY_LATENESS)
+        _run(spark, lambda: streaming.first_seen_stream(_parsed_startups(spark, f"{work}/topics"), REPLAY_LATENESS)
              .select("log_date", "mid").writeStream.format("parquet").option("path", f"{work}/seen")
              .option("checkpointLocation", f"{work}/checkpoint").outputMode("append"))
     return spark.read.schema("log_date date, mid string").parquet(f"{work}/seen")
@@ -90,7 +98,7 @@ def stream_log_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "archive")
     for part in _raw_slices(spark, sf_dir):
         _publish(part, "raw", f"{work}/topics")
-        _run(lambda: archive_logs(_source(spark, "raw", f"{work}/topics"), f"{work}/archive", f"{work}/checkpoint"))
+        _run(spark, lambda: archive_logs(_source(spark, "raw", f"{work}/topics"), f"{work}/archive", f"{work}/checkpoint"))
     lines = spark.read.text(f"{work}/archive")
     return lines.groupBy(F.to_date("dt").alias("dt")).agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -101,7 +109,7 @@ def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "topics")
     for part in _raw_slices(spark, sf_dir):
         _publish(part, "raw", f"{work}/raw")
-        _run(lambda: streaming.ingest_job(
+        _run(spark, lambda: streaming.ingest_job(
             _source(spark, "raw", f"{work}/raw"), f"{work}/checkpoint", replay_dir=f"{work}/topics"
         ))
     sent = spark.read.schema(f"{topics.REPLAY_SCHEMA}, topic string").json(f"{work}/topics")
@@ -144,7 +152,7 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = streaming.order_table(f"{work}/orders")
     for part in _two_days(_order_rows(spark, sf_dir)):
         _publish(part, topics.ORDER_TOPIC, f"{work}/topics")
-        _run(lambda: streaming.order_job(_parsed_orders(spark, f"{work}/topics"), table, f"{work}/checkpoint"))
+        _run(spark, lambda: streaming.order_job(_parsed_orders(spark, f"{work}/topics"), table, f"{work}/checkpoint"))
     return _order_columns(table.latest(spark))
 
 
@@ -156,7 +164,7 @@ def stream_coupon_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _json_rows(events, F.col("event_ts"), ["mid", "uid", "evid", "itemid", "ts"])
     for part in _event_slices(rows):
         _publish(part, topics.EVENT_TOPIC, f"{work}/topics")
-        _run(lambda: streaming.alert_job(
+        _run(spark, lambda: streaming.alert_job(
             sources.accepted(sources.parse_event(_source(spark, topics.EVENT_TOPIC, f"{work}/topics"))),
             panes, alerts, f"{work}/checkpoint", REPLAY_LATENESS,
         ))
@@ -180,7 +188,7 @@ def stream_sale_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     for orders_part, lines_part in zip(_two_days(_order_rows(spark, sf_dir)), _two_days(line_rows), strict=True):
         _publish(orders_part, topics.ORDER_TOPIC, replay)
         _publish(lines_part, topics.ORDER_DETAIL_TOPIC, replay)
-        _run(lambda: streaming.sale_job(
+        _run(spark, lambda: streaming.sale_job(
             _parsed_orders(spark, replay),
             sources.accepted(sources.parse_order_detail(_source(spark, topics.ORDER_DETAIL_TOPIC, replay))),
             sources.accepted(sources.parse_user(_source(spark, topics.USER_TOPIC, replay))),

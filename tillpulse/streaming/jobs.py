@@ -135,8 +135,8 @@ def sale_job(
         batch.persist()
         try:
             user_table.upsert(batch.where(F.col("user").isNotNull()).select("user.*"), batch_id)
-            known = user_table.latest(batch.sparkSession)
             fresh = batch.where(F.col("sale").isNotNull()).select("sale.*")
+            known = user_table.lookup(batch.sparkSession, fresh.select(F.col("user_id").alias("id")))
             sale_table.upsert(enrich_user(fresh, known, as_of), batch_id)
         finally:
             batch.unpersist()
