@@ -84,15 +84,16 @@ def test_dau_job_over_batches(spark, topics, tmp_path):
     ]
 
 
-def test_first_seen_emits_each_device_once(spark, topics, tmp_path):
+@pytest.mark.parametrize("salts", [1, 3])
+def test_first_seen_emits_each_device_once(spark, topics, tmp_path, salts):
     def go():
         parsed = sources.accepted(sources.parse_startup(topics.read("s")))
-        out = streaming.first_seen_stream(parsed).select("log_date", "mid").writeStream.format("parquet")
+        out = streaming.first_seen_stream(parsed, salts=salts).select("log_date", "mid").writeStream.format("parquet")
         run(out.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")))
 
-    topics.send("s", startup("a", at(0)), startup("a", at(1)))
+    topics.send("s", *[startup("a", at(i)) for i in range(9)])
     go()
-    topics.send("s", startup("a", at(2)), startup("b", at(3)), startup("a", at(days=1)))
+    topics.send("s", *[startup("a", at(i)) for i in range(20)], startup("b", at(3)), startup("a", at(days=1)))
     go()
     got = rows(spark.read.parquet(str(tmp_path / "out")), "log_date", "mid")
     assert got == [(dt.date(2024, 1, 10), "a"), (dt.date(2024, 1, 10), "b"), (dt.date(2024, 1, 11), "a")]
@@ -186,6 +187,10 @@ def test_ingest_archive_and_orders(spark, topics, tmp_path):
     run(archive_logs(topics.read("raw"), str(tmp_path / "archive"), str(tmp_path / "cp2")))
     kept = spark.read.text(str(tmp_path / "archive")).groupBy("dt").count()
     assert rows(kept, "dt") == [(dt.date(2024, 1, 10), 2), (dt.date(2024, 1, 11), 1)]
+    parsed = sources.parse_event(topics.read("raw"))
+    run(streaming.reject_job(parsed, str(tmp_path / "rejects"), str(tmp_path / "cp4")))
+    bad = spark.read.json(str(tmp_path / "rejects")).select("reject_reason")
+    assert rows(bad, "reject_reason") == [("missing or invalid ts",), ("not a JSON record",)]
     table = streaming.order_table(str(tmp_path / "orders"))
     topics.send("o", order("o1", at(0)), order("o1", at(1), "u7"), (at(2), {"id": "o2"}))
     run(streaming.order_job(sources.accepted(sources.parse_order(topics.read("o"))), table, str(tmp_path / "cp3")))

@@ -34,7 +34,7 @@ def join_order_detail(orders: DataFrame, details: DataFrame) -> DataFrame:
 
 def latest_users(users: DataFrame, order_cols: list[str]) -> DataFrame:
     """The last version of every user."""
-    return latest_rows(users, ["id"], order_cols)
+    return latest_rows(users, ["id"], order_cols, null_is_value=True)
 
 
 def enrich_user(sales: DataFrame, users: DataFrame, as_of: str | dt.date | Column) -> DataFrame:

@@ -3,6 +3,7 @@ from tillpulse.streaming.jobs import (
     dau_job,
     ingest_job,
     order_job,
+    reject_job,
     sale_job,
     start,
 )
@@ -24,5 +25,5 @@ from tillpulse.streaming.transforms import (
 __all__ = [
     "alert_job", "alert_table", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
     "first_startup_stream", "ingest_job", "join_order_detail_stream", "order_job", "order_table", "pane_table",
-    "sale_job", "sale_table", "start", "user_table",
+    "reject_job", "sale_job", "sale_table", "start", "user_table",
 ]

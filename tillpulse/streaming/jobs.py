@@ -22,6 +22,7 @@ from tillpulse.operators.ingest import route_logs, stamp_ingest
 from tillpulse.operators.sales import enrich_user
 from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.topics import topic_sink
+from tillpulse.sources.records import rejects
 from tillpulse.streaming.transforms import (
     coupon_panes_stream,
     first_startup_stream,
@@ -49,6 +50,12 @@ def ingest_job(
     return topic_sink(route_logs(stamped), checkpoint, brokers=brokers, replay_dir=replay_dir)
 
 
+def reject_job(parsed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Records a parser could not use, with the reason."""
+    writer = rejects(parsed).writeStream.format("json").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).outputMode("append")
+
+
 def dau_job(
     startups: DataFrame,
     table: KeyedTable,

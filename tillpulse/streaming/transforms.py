@@ -8,15 +8,20 @@ from tillpulse.operators.alerts import COUPON, SLIDE_SECONDS
 from tillpulse.operators.sales import sale_columns
 
 
-def first_seen_stream(startups: DataFrame, lateness: str = "25 hours") -> DataFrame:
+def first_seen_stream(startups: DataFrame, lateness: str = "25 hours", salts: int = 1) -> DataFrame:
     """The first arriving startup of every device and day, emitted once (append sinks).
 
     State is one key per device and day. The watermark runs on whole days: less than 25 hours would
-    drop yesterday's records right at midnight.
+    drop yesterday's records right at midnight. A stream cannot reduce duplicates before the shuffle;
+    where single devices send a large share of all records, ``salts`` above 1 deduplicates them in that
+    many parts first, for as many more state keys.
     """
     day = F.date_trunc("day", F.col("event_ts")).alias("day")
-    keyed = startups.where(F.col("mid").isNotNull()).select("*", day)
-    return keyed.withWatermark("day", lateness).dropDuplicates(["mid", "day"]).drop("day")
+    keyed = startups.where(F.col("mid").isNotNull()).select("*", day).withWatermark("day", lateness)
+    if salts > 1:
+        salt = F.pmod(F.xxhash64(*startups.columns), F.lit(salts))
+        keyed = keyed.withColumn("salt", salt).dropDuplicates(["mid", "day", "salt"]).drop("salt")
+    return keyed.dropDuplicates(["mid", "day"]).drop("day")
 
 
 def first_startup_stream(
@@ -67,17 +72,22 @@ def join_order_detail_stream(
     early: str = "10 minutes",
     horizon: str = "1 day",
     lateness: str = "10 minutes",
+    salts: int = 4,
 ) -> DataFrame:
     """Every order line with its order, whichever arrives first (append mode).
 
     A line may arrive up to ``early`` before its order and up to ``horizon`` after it. Both bounds are
     on arrival time, because lines carry no time of their own; together with the watermarks they tell
-    the join when state can go.
+    the join when state can go. Stateful joins are not re-planned at run time, so the lines of an order
+    are dealt out to ``salts`` partitions beforehand and the order is kept in each of them.
     """
-    o = orders.withWatermark("arrival_ts", lateness).alias("o")
-    d = details.withWatermark("arrival_ts", lateness).alias("d")
+    dealt = F.pmod(F.xxhash64("id"), F.lit(salts))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    o = orders.withWatermark("arrival_ts", lateness).withColumn("salt", copies).alias("o")
+    d = details.withWatermark("arrival_ts", lateness).withColumn("salt", dealt).alias("d")
     within = (
         (F.col("o.id") == F.col("d.order_id"))
+        & (F.col("o.salt") == F.col("d.salt"))
         & (F.col("d.arrival_ts") >= F.col("o.arrival_ts") - F.expr(f"interval {early}"))
         & (F.col("d.arrival_ts") <= F.col("o.arrival_ts") + F.expr(f"interval {horizon}"))
     )
