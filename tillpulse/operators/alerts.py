@@ -9,7 +9,7 @@ device that holds a large share of all events.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tillpulse.functions.scalars import with_alert_id
 
@@ -73,9 +73,14 @@ def _check(size: int, slide: int, chunk: int) -> None:
         raise ValueError("size and chunk must be multiples of the slide, chunk of a minute")
 
 
+def _in_order() -> WindowSpec:
+    """The changes of a device within one chunk, by time."""
+    return Window.partitionBy("mid", "chunk").orderBy("at")
+
+
 def _stretches(panes: DataFrame, size: int, slide: int, chunk: int) -> DataFrame:
     """Per device, the ranges ``lo..hi`` of window ends (in slides) over which nothing changes, with the
-    content of those windows. Suppressed windows are included, empty ones are not."""
+    panes ``inside`` those windows. Suppressed windows are included, empty ones are not."""
     _check(size, slide, chunk)
     per_window, per_chunk = size // slide, chunk // slide
     # A pane is inside the windows ending 1 to per_window slides after its start.
@@ -101,60 +106,67 @@ def _stretches(panes: DataFrame, size: int, slide: int, chunk: int) -> DataFrame
             )
         ).alias("c"),
     ).select("mid", "chunk", "c.*")
-    in_order = Window.partitionBy("mid", "chunk").orderBy("at")
-    inside = in_order.rangeBetween(-(per_window - 1), Window.currentRow)
+    inside = _in_order().rangeBetween(-(per_window - 1), Window.currentRow)
     start = F.col("chunk") * per_chunk
-    stretches = (
+    return (
         changes.select(
             "mid",
             "chunk",
             "at",
-            F.lead("at").over(in_order).alias("next"),
+            F.lead("at").over(_in_order()).alias("next"),
             F.collect_list("content").over(inside).alias("inside"),
         )
         .where((F.col("next") > F.col("at")) & (F.size("inside") > 0))
         .select(
             "mid",
             "chunk",
+            "at",
             F.greatest("at", start).alias("lo"),
             F.least(F.col("next") - 1, start + per_chunk - 1).alias("hi"),
             "inside",
+            F.exists("inside", lambda c: c["clicked"]).alias("suppressed"),
         )
         .where(F.col("lo") <= F.col("hi"))
     )
 
-    def merged(name: str) -> Column:
-        return F.flatten(F.transform("inside", lambda c: c[name]))
 
-    place = ["mid", "chunk", "lo", "hi"]
-    merged_up = stretches.select(
-        *place,
-        F.sort_array(F.array_distinct(merged("uids"))).alias("uids"),
-        F.sort_array(F.array_distinct(merged("item_ids"))).alias("item_ids"),
-        merged("events").alias("entries"),
-        F.exists("inside", lambda c: c["clicked"]).alias("suppressed"),
-    )
-    return merged_up.select(
-        *place, "uids", "item_ids", _sum_by_kind(F.col("entries")).alias("events"), "suppressed"
+CONTENT = ["uids", "item_ids", "events"]
+
+
+def _merged(name: str) -> Column:
+    return F.flatten(F.transform("inside", lambda c: c[name]))
+
+
+def _with_content(stretches: DataFrame) -> DataFrame:
+    """Replace the panes of every stretch by the users, items and event counts of its windows."""
+    kept = [c for c in stretches.columns if c != "inside"]
+    sets = stretches.select(
+        *kept,
+        F.sort_array(F.array_distinct(_merged("uids"))).alias("uids"),
+        F.sort_array(F.array_distinct(_merged("item_ids"))).alias("item_ids"),
+        _merged("events").alias("entries"),
     )
+    return sets.select(*kept, "uids", "item_ids", _sum_by_kind(F.col("entries")).alias("events"))
 
 
-CONTENT = ["uids", "item_ids", "events"]
+def _surviving(stretches: DataFrame, min_uids: int) -> DataFrame:
+    kept = stretches.where(~F.col("suppressed")).drop("suppressed")
+    if min_uids > 0:
+        kept = kept.where(F.size(F.array_distinct(_merged("uids"))) >= min_uids)
+    return kept
+
+
+def _every_window(stretches: DataFrame, slide: int) -> DataFrame:
+    ends = _with_content(stretches).withColumn("w", F.explode(F.sequence("lo", "hi")))
+    flags = [c for c in ("suppressed",) if c in ends.columns]
+    return ends.select("mid", F.timestamp_seconds(F.col("w") * slide).alias("window_end"), *CONTENT, *flags)
 
 
 def windows_from_panes(
     panes: DataFrame, size: int = SIZE_SECONDS, slide: int = SLIDE_SECONDS, chunk: int = CHUNK_SECONDS
 ) -> DataFrame:
-    """Every non-empty window of every device, suppressed ones included."""
-    ends = _stretches(panes, size, slide, chunk).withColumn("w", F.explode(F.sequence("lo", "hi")))
-    return ends.select("mid", F.timestamp_seconds(F.col("w") * slide).alias("window_end"), *CONTENT, "suppressed")
-
-
-def _kept(windows: DataFrame, min_uids: int) -> DataFrame:
-    kept = windows.where(~F.col("suppressed"))
-    if min_uids > 0:
-        kept = kept.where(F.size("uids") >= min_uids)
-    return kept.drop("suppressed")
+    """Every non-empty window of every device, with a flag for the suppressed ones."""
+    return _every_window(_stretches(panes, size, slide, chunk), slide)
 
 
 def coupon_alerts(
@@ -164,7 +176,8 @@ def coupon_alerts(
 
     A device is cleared for a window in which it clicked an item.
     """
-    return _kept(windows_from_panes(pane_counts(events, slide), size, slide), min_uids)
+    stretches = _stretches(pane_counts(events, slide), size, slide, CHUNK_SECONDS)
+    return _every_window(_surviving(stretches, min_uids), slide)
 
 
 def alerts_per_minute(alerts: DataFrame) -> DataFrame:
@@ -180,22 +193,21 @@ def coupon_alerts_per_minute(
 ) -> DataFrame:
     """``alerts_per_minute`` of ``coupon_alerts`` without writing out every window.
 
-    A stretch offers its last window in each minute it touches. All windows of a minute lie in one chunk,
-    so picking the last of them needs no further shuffle.
+    A surviving stretch gives its last window in each minute it touches, unless the next surviving one
+    begins in the same minute. All windows of a minute lie in one chunk, and the stretches are in order
+    already, so this takes neither a shuffle nor a sort.
     """
     if 60 % slide:
         return alerts_per_minute(coupon_alerts(events, size, slide, min_uids))
     per_minute = 60 // slide
-    kept = _kept(_stretches(pane_counts(events, slide), size, slide, CHUNK_SECONDS), min_uids)
-    minutes = F.sequence(F.floor(F.col("lo") / per_minute), F.floor(F.col("hi") / per_minute))
-    offered = kept.withColumn("minute", F.explode(minutes)).withColumn(
-        "w", F.least(F.col("hi"), F.col("minute") * per_minute + per_minute - 1)
-    )
-    latest = Window.partitionBy("mid", "chunk", "minute").orderBy(F.desc("w"))
-    last = offered.withColumn("place", F.row_number().over(latest)).where("place = 1")
-    return with_alert_id(
-        last.select("mid", F.timestamp_seconds(F.col("w") * slide).alias("window_end"), *CONTENT)
-    ).select("alert_id", "mid", "window_end", *CONTENT)
+    kept = _surviving(_stretches(pane_counts(events, slide), size, slide, CHUNK_SECONDS), min_uids)
+    first, last = F.floor(F.col("lo") / per_minute), F.floor(F.col("hi") / per_minute)
+    following = F.floor(F.lead("lo").over(_in_order()) / per_minute)
+    own = kept.withColumn("until", F.least(last, F.coalesce(following - 1, last))).where(F.col("until") >= first)
+    minutes = _with_content(own).withColumn("minute", F.explode(F.sequence(first, F.col("until"))))
+    w = F.least(F.col("hi"), F.col("minute") * per_minute + per_minute - 1)
+    ends = minutes.select("mid", F.timestamp_seconds(w * slide).alias("window_end"), *CONTENT)
+    return with_alert_id(ends).select("alert_id", *ends.columns)
 
 
 def event_list(events: Column) -> Column:
