@@ -12,8 +12,13 @@ def test_jobs_and_reports(spark, tmp_path):
     topics = Topics(spark, str(tmp_path / "topics"))
     raw = [(at(i), {"type": "startup", "mid": m, "uid": "u"}) for i, m in enumerate("aab")] + [event("a", "coupon", at(1)), (at(2), "?")]
     topics.send(app.RAW_TOPIC, *raw)
+    def inserted(table, when, record):
+        pairs = [{"name": k, "value": v} for k, v in record.items()]
+        return when, {"entry_type": "ROWDATA", "event_type": "INSERT", "table_name": table, "rows": [pairs]}
+
     for topic, rows in {
-        "new_order": [order("o1", at(0)), order("o2", at(1), "u2")],
+        app.CHANGE_TOPIC: [inserted("order_info", *order("o2", at(1), "u2")), inserted("sku_info", at(1), {"id": "1"})],
+        "new_order": [order("o1", at(0))],
         "new_order_detail": [line("l1", "o1", at(0)), line("l2", "o2", at(1))],
         "new_user": [user("u1", at(-1), "1", "2000-01-01")],
     }.items():

@@ -70,6 +70,7 @@ def test_pages(sales):
     assert ids(plans.sale_page(sales, 1, 2)) == ["d1", "d2"]
     assert ids(plans.sale_page(sales, 3, 2)) == ["d6"]
     assert ids(plans.sale_page(sales, 4, 2)) == []
+    assert ids(plans.sale_page(sales, size=2, after="d2")) == ["d3", "d4"]
     with pytest.raises(ValueError):
         plans.sale_page(sales, 0)
 

@@ -25,11 +25,11 @@ class Topics:
         data = [(r if isinstance(r, str) else json.dumps(r), at) for at, r in records]
         df = self.spark.createDataFrame(data, "value string, arrival_ts timestamp_ntz").coalesce(1)
         df.selectExpr("value", "cast(arrival_ts as timestamp) arrival_ts").write.mode("append").json(
-            f"{self.folder}/topic={topic}"
+            f"{self.folder}/test/topic={topic}"
         )
 
     def read(self, topic):
-        path = f"{self.folder}/topic={topic}"
+        path = f"{self.folder}/test/topic={topic}"
         self.spark.createDataFrame([], "value string").write.mode("append").json(path)
         return topic_source(self.spark, topic, replay_dir=self.folder)
 
@@ -68,7 +68,7 @@ def test_dau_job_over_batches(spark, topics, tmp_path):
     topics.send("s", startup("a", at(10), "late"), startup("a", at(20), "later"), startup("b", at(5)), (at(0), "broken"))
     query = go()
     observed = [p["observedMetrics"] for p in query.recentProgress if p["observedMetrics"]]
-    assert observed[0]["startups_in"]["rows"] == 3
+    assert (observed[0]["startups_in"]["rows"], observed[0]["first_startups_out"]["rows"]) == (3, 2)
     # The earlier record comes later; another device starts on both sides of midnight.
     topics.send("s", startup("a", at(0), "first"), startup("c", midnight - dt.timedelta(seconds=1)), startup("c", midnight))
     go()
@@ -178,7 +178,7 @@ def test_ingest_archive_and_orders(spark, topics, tmp_path):
     raw = [(at(0), {"type": "startup", "mid": "a", "n": 1}), (at(days=1), {"mid": "b", "ts": 5}), (at(1), "broken")]
     topics.send("raw", *raw)
     run(streaming.ingest_job(topics.read("raw"), str(tmp_path / "cp1"), replay_dir=str(tmp_path / "routed")))
-    sent = spark.read.json(str(tmp_path / "routed")).select("topic", "value")
+    sent = spark.read.json(str(tmp_path / "routed" / "ingest-0")).select("topic", "value")
     assert rows(sent, "topic", "value") == [
         ("event_log", "broken"),
         ("event_log", '{"mid":"b","ts":%d}' % ms(at(days=1))),

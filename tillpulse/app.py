@@ -18,8 +18,8 @@ from tillpulse.session import configure
 from tillpulse.sinks import archive_logs
 from tillpulse.sources import topics
 
-RAW_TOPIC = "raw_log"
-JOBS = ["ingest", "archive", "dau", "orders", "alerts", "sales"]
+RAW_TOPIC, CHANGE_TOPIC = "raw_log", "row_changes"
+JOBS = ["ingest", "archive", "changes", "dau", "orders", "alerts", "sales"]
 REPORTS = ["tiles", "hours", "search"]
 
 
@@ -42,6 +42,9 @@ def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list
         return [streaming.ingest_job(read(RAW_TOPIC), checkpoint, **where)]
     if job == "archive":
         return [archive_logs(read(RAW_TOPIC), f"{args.tables}/raw_log", checkpoint)]
+    if job == "changes":
+        parsed = sources.parse_change(read(CHANGE_TOPIC))
+        return with_rejects(streaming.change_job(sources.accepted(parsed), checkpoint, **where), parsed)
     if job == "dau":
         parsed = sources.parse_startup(read(topics.STARTUP_TOPIC))
         table = streaming.dau_table(f"{args.tables}/dau")

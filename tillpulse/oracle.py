@@ -120,6 +120,24 @@ def _stream_sale(columns: str) -> str:
 SALE_COLUMNS = """order_detail_id, order_id, order_status, create_time, user_id, sku_id, user_gender, user_age,
   user_level, sku_price, sku_name, dt"""
 
+CHANGES = f"""with {ORDER}, {DETAIL}, {USER}
+select 'new_order' as topic, id, null::varchar as order_id, user_id, total_amount::varchar as total_amount,
+  null::varchar as order_price, null::varchar as birthday, null::varchar as gender
+from order_info where id::bigint % 2 = 0
+union all
+select 'new_order_detail', id, order_id, null, null, order_price::varchar, null, null
+from order_detail where order_id::bigint % 2 = 0
+union all
+select 'new_user', id, null, null, null, null, birthday::varchar, gender from user_info where id::bigint % 2 = 0"""
+
+TILES = f"""with {FIRST}, {ORDER}
+select 'dau' as id, '新增日活' as name, count(*)::double as value from first_log where log_date = date '2024-01-15'
+union all
+select 'new_mid', '新增设备', count(*)::double from (
+  select mid from startup_log group by mid having min(log_date) = date '2024-01-15')
+union all
+select 'order_amount', '新增交易额', sum(total_amount)::double from order_info where create_date = date '1998-06-15'"""
+
 ORACLE: dict[str, str] = {
     "first_startup": f"with {FIRST} select mid, uid, os, area, ts, log_date, log_hour, event_id from first_log",
     "exclude_seen": f"""with {STARTUP}, seen as (select distinct log_date, mid from startup_log where log_hour < '12')
@@ -153,13 +171,10 @@ from h""",
     "sales_by_province": f"""with {ORDER}, p as (
   select province_id, count(*) as n_orders, sum(total_amount)::double as amount from order_info group by province_id)
 select province_id, n_orders, amount, least(7, n_orders // 100 + 1)::int as band from p""",
-    "kpi_tiles": f"""with {FIRST}, {ORDER}
-select 'dau' as id, '新增日活' as name, count(*)::double as value from first_log where log_date = date '2024-01-15'
-union all
-select 'new_mid', '新增设备', count(*)::double from (
-  select mid from startup_log group by mid having min(log_date) = date '2024-01-15')
-union all
-select 'order_amount', '新增交易额', sum(total_amount)::double from order_info where create_date = date '1998-06-15'""",
+    "kpi_tiles": TILES,
+    "kpi_document": f"""select 'dau,new_mid,order_amount' as ids, max(value) filter (id = 'dau') as dau,
+  max(value) filter (id = 'new_mid') as new_mid, max(value) filter (id = 'order_amount') as order_amount
+from ({TILES})""",
     "sale_detail": f"""with {ORDER}, {DETAIL}
 select d.id as order_detail_id, o.id as order_id, o.order_status, o.create_time, o.user_id, d.sku_id,
   d.order_price::double as sku_price, d.sku_name, o.create_date as dt
@@ -202,15 +217,7 @@ select mid || '_' || (window_end_s // 60)::varchar as alert_id, mid, uids, item_
   'mid_' || (user_id % 20)::varchar as mid, (epoch_us(ts) // 1000) as ts from events""",
     "route_logs": """select case when event_type = 'signup' then 'startup_log' else 'event_log' end as topic, event_id
 from events""",
-    "route_cdc": f"""with {ORDER}, {DETAIL}, {USER}
-select 'new_order' as topic, id, null::varchar as order_id, user_id, total_amount::varchar as total_amount,
-  null::varchar as order_price, null::varchar as birthday, null::varchar as gender
-from order_info where id::bigint % 2 = 0
-union all
-select 'new_order_detail', id, order_id, null, null, order_price::varchar, null, null
-from order_detail where order_id::bigint % 2 = 0
-union all
-select 'new_user', id, null, null, null, null, birthday::varchar, gender from user_info where id::bigint % 2 = 0""",
+    "route_cdc": CHANGES,
     "parse_startup_json": f"""with {STARTUP} select 'startup' as log_type, mid, uid, os, area, ts, log_date, log_hour
 from startup_log""",
     "parse_event_json": f"with {EVENT} select mid, uid, evid, itemid, ts, log_date, log_hour from event_log",
@@ -237,6 +244,7 @@ from startup_log where event_id % 3 = 1""",
   total_amount::double as total_amount, create_time, create_date, create_hour from order_info""",
     "stream_coupon_alerts": f"with {windows_sql()} select {ALERT_COLUMNS} from alert",
     "stream_sale_detail": _stream_sale(SALE_COLUMNS),
+    "stream_changes": CHANGES,
     "upsert_users": f"""with {USER} select id, login_name, birthday, gender,
   case when id::bigint % 6 = 1 then '2' when id::bigint % 2 = 1 then '1' else user_level end as user_level
 from user_info""",

@@ -1,4 +1,5 @@
 from tillpulse.plans.dashboard import (
+    TILES,
     as_hour_map,
     fill_hours,
     hourly_compare,
@@ -18,6 +19,7 @@ from tillpulse.plans.search import (
 )
 
 __all__ = [
+    "TILES",
     "age_facet", "age_terms", "as_hour_map", "fill_hours", "gender_facet", "gender_terms", "hourly_compare",
     "hourly_document", "kpi_document", "kpi_tiles", "sale_page", "sale_search", "sale_search_document", "total_hits",
 ]

@@ -90,10 +90,16 @@ def gender_facet(hits: DataFrame) -> DataFrame:
     return _facet(_profile(hits), "gender", _gender_tests())
 
 
-def sale_page(hits: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """Page ``page`` (from 1) in the order of the line id: every task keeps its first rows only."""
+def sale_page(hits: DataFrame, page: int = 1, size: int = PAGE_SIZE, after: str | None = None) -> DataFrame:
+    """Page ``page`` (from 1) in the order of the line id: every task keeps its first rows only.
+
+    To walk far into the hits pass the last id of the page before as ``after``: then a task keeps one
+    page, however far the walk has come.
+    """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
+    if after is not None:
+        hits = hits.where(F.col("order_detail_id") > after)
     return hits.orderBy("order_detail_id").offset((page - 1) * size).limit(size)
 
 

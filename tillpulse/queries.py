@@ -27,7 +27,7 @@ def query(fn: Query) -> Query:
         return fn(configure(spark), sf_dir)
 
     _registry[fn.__name__] = run
-    return fn
+    return run
 
 
 def all_queries() -> dict[str, Query]:
@@ -182,6 +182,17 @@ def kpi_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.kpi_tiles(startups, orders.withColumn("create_date", F.date_add("create_date", shift)), DEVICE_DAY)
 
 
+@query
+def kpi_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles' JSON document, read back into columns."""
+    document = plans.kpi_document(kpi_tiles(spark, sf_dir))
+    tiles = F.from_json("document", "array<struct<id string, name string, value double>>")
+    return document.select(tiles.alias("t")).select(
+        F.array_join("t.id", ",").alias("ids"),
+        *[F.col("t")[i]["value"].alias(name) for i, name in enumerate(plans.TILES)],
+    )
+
+
 # --- sales ------------------------------------------------------------------
 
 
@@ -371,11 +382,13 @@ def change_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CHANGE_FIELDS = ["id", "order_id", "user_id", "total_amount", "order_price", "birthday", "gender"]
+
+
 @query
 def route_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = ops.route_cdc(change_entries(spark, sf_dir))
-    fields = ["id", "order_id", "user_id", "total_amount", "order_price", "birthday", "gender"]
-    return routed.select("topic", *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields])
+    return routed.select("topic", *[F.get_json_object("value", f"$.{f}").alias(f) for f in CHANGE_FIELDS])
 
 
 def _as_json(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -7,20 +7,28 @@ from pyspark.sql.streaming import DataStreamWriter
 
 
 def topic_sink(
-    df: DataFrame, checkpoint: str, *, brokers: str | None = None, replay_dir: str | None = None
+    df: DataFrame,
+    checkpoint: str,
+    *,
+    producer: str = "sink",
+    brokers: str | None = None,
+    replay_dir: str | None = None,
 ) -> DataStreamWriter:
-    """Send each row's ``value`` to its ``topic``: a Kafka broker, or folders that ``topic_source`` replays."""
+    """Send each row's ``value`` to its ``topic``: a Kafka broker, or folders that ``topic_source`` replays.
+
+    Several jobs may feed one folder under different ``producer`` names; every batch has a folder of its
+    own, which a repeated batch overwrites.
+    """
     if (brokers is None) == (replay_dir is None):
         raise ValueError("give either brokers or replay_dir")
     if brokers is not None:
         writer = df.select("topic", "value").writeStream.format("kafka").option("kafka.bootstrap.servers", brokers)
     else:
-        writer = (
-            df.select("topic", "value", "arrival_ts")
-            .writeStream.format("json")
-            .partitionBy("topic")
-            .option("path", replay_dir)
-        )
+
+        def record(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").partitionBy("topic").json(f"{replay_dir}/{producer}-{batch_id}")
+
+        writer = df.select("topic", "value", "arrival_ts").writeStream.foreachBatch(record)
     return writer.option("checkpointLocation", checkpoint).outputMode("append")
 
 

@@ -1,5 +1,6 @@
 from tillpulse.sources.records import (
     accepted,
+    parse_change,
     parse_event,
     parse_order,
     parse_order_detail,
@@ -10,6 +11,6 @@ from tillpulse.sources.records import (
 from tillpulse.sources.topics import topic_source
 
 __all__ = [
-    "accepted", "parse_event", "parse_order", "parse_order_detail", "parse_startup", "parse_user",
+    "accepted", "parse_change", "parse_event", "parse_order", "parse_order_detail", "parse_startup", "parse_user",
     "rejects", "topic_source",
 ]

@@ -7,7 +7,7 @@ record never fails a batch and is never lost.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillpulse import schemas
 from tillpulse.functions.scalars import mask_phone, to_money, with_create_time, with_log_time
@@ -22,10 +22,10 @@ def _epoch_ms(text: Column) -> Column:
     return F.when(ms.between(_MIN_MS, _MAX_MS), ms)
 
 
-def _read_json(df: DataFrame, fields: list[str]) -> DataFrame:
+def _read_json(df: DataFrame, fields: list[str] | T.StructType) -> DataFrame:
     parsed = F.from_json(
         F.col("value"),
-        schemas.text_struct(fields, _BROKEN),
+        fields if isinstance(fields, T.StructType) else schemas.text_struct(fields, _BROKEN),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN},
     )
     kept = [c for c in ("arrival_ts",) if c in df.columns]
@@ -49,6 +49,12 @@ def rejects(df: DataFrame) -> DataFrame:
     return df.where(F.col("reject_reason").isNotNull()).select("value", "reject_reason")
 
 
+def parse_change(df: DataFrame) -> DataFrame:
+    """One database change per record: entry and event type, table, and the rows with their columns."""
+    shape = T._parse_datatype_string(f"{schemas.CDC_SCHEMA}, {_BROKEN} string")
+    return _judge(_read_json(df, shape), ["entry_type", "event_type", "table_name"])
+
+
 def parse_startup(df: DataFrame) -> DataFrame:
     out = _read_json(df, schemas.STARTUP_FIELDS).withColumnRenamed("type", "log_type")
     out = with_log_time(out.withColumn("ts", _epoch_ms(F.col("ts"))))

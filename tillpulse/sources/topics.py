@@ -22,7 +22,8 @@ def topic_source(
     replay_dir: str | None = None,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A stream of one topic, from a Kafka broker or from the folder ``topic_sink`` wrote.
+    """A stream of one topic, from a Kafka broker or from the folder ``topic_sink`` writes to
+    (``<folder>/<any name>/topic=<topic>``).
 
     The broker form starts at the latest offset unless told otherwise; offsets are kept in the
     query's checkpoint. It needs the Kafka connector package on the class path.
@@ -44,4 +45,4 @@ def topic_source(
     reader = spark.readStream.schema(REPLAY_SCHEMA)
     for key, value in (options or {}).items():
         reader = reader.option(key, value)
-    return reader.json(f"{replay_dir}/topic={topic}")
+    return reader.json(f"{replay_dir}/*/topic={topic}")

@@ -24,13 +24,20 @@ REPLAY_LATENESS = "40 days"
 
 def _publish(rows: DataFrame, topic: str, replay_dir: str) -> None:
     """Append records (value, arrival_ts) to a topic folder."""
-    rows.select("value", "arrival_ts").write.mode("append").json(f"{replay_dir}/topic={topic}")
+    rows.select("value", "arrival_ts").write.mode("append").json(f"{replay_dir}/published/topic={topic}")
 
 
 def _source(spark: SparkSession, topic: str, replay_dir: str) -> DataFrame:
     return topics.topic_source(spark, topic, replay_dir=replay_dir)
 
 
+def _recorded(spark: SparkSession, replay_dir: str) -> DataFrame:
+    """Everything sent so far, with its topic."""
+    every = spark.read.schema(topics.REPLAY_SCHEMA).json(f"{replay_dir}/*/topic=*")
+    topic = F.regexp_extract(F.input_file_name(), "/topic=([^/]+)/", 1)
+    return every.select(topic.alias("topic"), "value", "arrival_ts")
+
+
 def _json_rows(df: DataFrame, arrival: Column, fields: list[str]) -> DataFrame:
     record = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
     return df.select(F.to_json(record).alias("value"), arrival.alias("arrival_ts"))
@@ -112,11 +119,28 @@ def stream_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         _run(spark, lambda: streaming.ingest_job(
             _source(spark, "raw", f"{work}/raw"), f"{work}/checkpoint", replay_dir=f"{work}/topics"
         ))
-    sent = spark.read.schema(f"{topics.REPLAY_SCHEMA}, topic string").json(f"{work}/topics")
+    sent = _recorded(spark, f"{work}/topics")
     r = F.from_json("value", "event_id bigint, ts bigint")
     return sent.select("topic", r.alias("r")).select("topic", "r.*")
 
 
+@query
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Database changes as records of one topic, routed to the topics of their tables."""
+    work = shared_dir(spark, "changes")
+    entries = q.change_entries(spark, sf_dir)
+    record = F.struct("entry_type", "event_type", "table_name", "rows")
+    sent = entries.select(F.to_json(record).alias("value"), F.current_timestamp().alias("arrival_ts"), "table_name")
+    for part in (sent.where("table_name = 'order_info'"), sent.where("table_name != 'order_info'")):
+        _publish(part, "changes", f"{work}/raw")
+        _run(spark, lambda: streaming.change_job(
+            sources.accepted(sources.parse_change(_source(spark, "changes", f"{work}/raw"))),
+            f"{work}/checkpoint", replay_dir=f"{work}/topics",
+        ))
+    routed = _recorded(spark, f"{work}/topics")
+    return routed.select("topic", *[F.get_json_object("value", f"$.{f}").alias(f) for f in q.CHANGE_FIELDS])
+
+
 ORDER_COLUMNS = ["id", "province_id", "consignee_tel", "order_status", "user_id", "total_amount", "create_time"]
 
 

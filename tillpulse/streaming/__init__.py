@@ -1,5 +1,6 @@
 from tillpulse.streaming.jobs import (
     alert_job,
+    change_job,
     dau_job,
     ingest_job,
     order_job,
@@ -23,7 +24,7 @@ from tillpulse.streaming.transforms import (
 )
 
 __all__ = [
-    "alert_job", "alert_table", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
+    "alert_job", "alert_table", "change_job", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
     "first_startup_stream", "ingest_job", "join_order_detail_stream", "order_job", "order_table", "pane_table",
     "reject_job", "sale_job", "sale_table", "start", "user_table",
 ]

@@ -18,7 +18,7 @@ from tillpulse.operators.alerts import (
     windows_from_panes,
 )
 from tillpulse.operators.devices import observed
-from tillpulse.operators.ingest import route_logs, stamp_ingest
+from tillpulse.operators.ingest import route_cdc, route_logs, stamp_ingest
 from tillpulse.operators.sales import enrich_user
 from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.topics import topic_sink
@@ -47,7 +47,14 @@ def ingest_job(
 ) -> DataStreamWriter:
     """Raw log lines (value, arrival_ts): stamp with the arrival time, route, send."""
     stamped = stamp_ingest(raw, F.unix_millis("arrival_ts"))
-    return topic_sink(route_logs(stamped), checkpoint, brokers=brokers, replay_dir=replay_dir)
+    return topic_sink(route_logs(stamped), checkpoint, producer="ingest", brokers=brokers, replay_dir=replay_dir)
+
+
+def change_job(
+    changes: DataFrame, checkpoint: str, *, brokers: str | None = None, replay_dir: str | None = None
+) -> DataStreamWriter:
+    """Database changes (parsed entries with arrival_ts): filter, flatten, send to the topic of their table."""
+    return topic_sink(route_cdc(changes), checkpoint, producer="changes", brokers=brokers, replay_dir=replay_dir)
 
 
 def reject_job(parsed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -65,7 +72,7 @@ def dau_job(
 ) -> DataStreamWriter:
     """First startups per device and day into the DAU table; rows before and after are observed."""
     first = first_startup_stream(observed(startups, "startups_in"), tie_break, lateness)
-    return _into(first, "update", checkpoint, lambda df, batch: table.upsert(observed(df, "first_startups_out"), batch))
+    return _into(observed(first, "first_startups_out"), "update", checkpoint, table.upsert)
 
 
 def order_job(orders: DataFrame, table: KeyedTable, checkpoint: str) -> DataStreamWriter:
