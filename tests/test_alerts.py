@@ -5,9 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillpulse import operators as ops
-from tillpulse.operators.alerts import windows_from_panes
+from tillpulse.operators.alerts import _stretches, windows_from_panes
 
 BASE = 1704067200  # a full hour
 
@@ -94,6 +95,21 @@ def test_last_window_of_a_minute(spark, seed, size, slide):
     assert got(ops.alerts_per_minute(ops.coupon_alerts(df, size, slide))) == want
 
 
+def test_a_hot_device_is_spread_over_tasks(spark, settings):
+    """One device with a third of all events: no partition gets more than a fraction of them."""
+    settings(spark__sql__shuffle__partitions="16")
+    events = spark.range(30000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('m', id % 997)) mid", "concat('u', id % 50) uid", "'coupon' evid", "'i' itemid",
+        f"timestamp_seconds({BASE} + (id * 37) % 86400) event_ts",
+    )
+    changes = _stretches(ops.pane_counts(events), 300, 10, 3600)
+    counts = changes.where("mid = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in counts) < 0.35 * sum(r["count"] for r in counts)
+    # Events of one pane that are alike arrive as one row.
+    alike = events.where("mid = 'hot'").withColumn("event_ts", F.timestamp_seconds(F.lit(BASE)))
+    assert ops.pane_counts(alike).count() == 50
+
+
 def test_windows_tell_which_are_suppressed(spark):
     df = frame(spark, [("a", "u", "coupon", "i", BASE + 0.0), ("a", "u", "clickItem", "i", BASE + 295.0)])
     flags = windows_from_panes(ops.pane_counts(df)).selectExpr("count_if(suppressed) s", "count(*) n").first()

@@ -8,13 +8,13 @@ from tillpulse.operators.alerts import COUPON, SLIDE_SECONDS
 from tillpulse.operators.sales import sale_columns
 
 
-def first_seen_stream(startups: DataFrame, lateness: str = "25 hours", salts: int = 1) -> DataFrame:
+def first_seen_stream(startups: DataFrame, lateness: str = "25 hours", salts: int = 4) -> DataFrame:
     """The first arriving startup of every device and day, emitted once (append sinks).
 
     State is one key per device and day. The watermark runs on whole days: less than 25 hours would
-    drop yesterday's records right at midnight. A stream cannot reduce duplicates before the shuffle;
-    where single devices send a large share of all records, ``salts`` above 1 deduplicates them in that
-    many parts first, for as many more state keys.
+    drop yesterday's records right at midnight. A stream cannot reduce duplicates before the shuffle,
+    and single devices may send a large share of all records: the records of a device are deduplicated
+    in ``salts`` parts first, for as many more state keys. Use 1 where no device stands out.
     """
     day = F.date_trunc("day", F.col("event_ts")).alias("day")
     keyed = startups.where(F.col("mid").isNotNull()).select("*", day).withWatermark("day", lateness)
