@@ -12,7 +12,8 @@ from tillpulse.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, shuffle_partitions=4)
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(8, shuffle_partitions=4, **{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     session.stop()
 

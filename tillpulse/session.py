@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,9 +26,6 @@ STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
-_local_root: str | None = None
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL options the results and the skew handling rely on."""
     for key, value in {**SQL_SETTINGS, **STREAM_SETTINGS}.items():
@@ -55,16 +51,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
-
-    Only a single-machine session without that setting gets a temporary folder.
-    """
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        if _local_root is None:
-            _local_root = tempfile.mkdtemp(prefix="tillpulse-")
-        root = _local_root
+    """A fresh folder every executor can reach, below ``spark.checkpoint.dir`` or else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tillpulse/{purpose}-{uuid.uuid4().hex}"
