@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,5 +28,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` by workers that find this package also when only the driver's path has it (one machine); on a
+    cluster it comes with ``--py-files``."""
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    environment = df.sparkSession.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(":")
+    if root not in known:
+        environment["PYTHONPATH"] = ":".join(filter(None, [root, *known]))
+    return df.mapInArrow(function, schema)
+
+
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

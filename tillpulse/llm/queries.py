@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from tillpulse.llm import sharding
+from pyspark.sql import functions as F
+
+from tillpulse.llm import secrets, sharding
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
 
 
+def op1_secret_scan(spark, sf_dir):
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+    kinds = [rule.kind for rule in secrets.BASE_RULES]
+
+    def of(*wanted):
+        return F.filter("spans", lambda s: s["kind"].isin(*wanted))
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds],
+        F.sha2(secrets.joined(of(*kinds)).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(read_table(spark, sf_dir, "documents"), SHARDS).drop("row_number", "position")
 
 
-QUERIES = {f.__name__: f for f in (op10_feistel_shards,)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op10_feistel_shards,
+)}
 
 ORACLE: dict[str, str] = {}
