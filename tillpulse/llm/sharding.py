@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tillpulse.llm.common import stored
+
 ROUNDS = 6
 # Row numbers are counted off in this many groups; the groups' counts are the only broadcast table.
 NUMBERING_GROUPS = 4096
@@ -72,10 +74,12 @@ def permute(df: DataFrame, number: str, position: str, n: int, seed: int) -> Dat
     return df
 
 
-def row_numbers(rows: DataFrame, keys: list[str], number: str = "row_number") -> DataFrame:
-    """Rows of ``keys`` numbered 0..n-1 without gaps, in an order that only their values decide."""
+def row_numbers(rows: DataFrame, keys: list[str], number: str = "row_number") -> tuple[DataFrame, int]:
+    """Rows of ``keys`` numbered 0..n-1 without gaps, in an order that only their values decide; and n."""
     copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     copies = copies.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(NUMBERING_GROUPS)).cast("int"))
+    copies = stored(copies, "row-numbers")  # keys only: the wide input is read once
+    n = copies.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()[0]
     sizes = copies.groupBy("_group").agg(F.sum("_copies").alias("_rows"))
     earlier = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     # NUMBERING_GROUPS rows at most, whatever the input.
@@ -84,7 +88,7 @@ def row_numbers(rows: DataFrame, keys: list[str], number: str = "row_number") ->
     before = F.coalesce(F.sum("_copies").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = copies.withColumn("_before", before).join(starts, "_group")
     first = F.col("_start") + F.col("_before")
-    return numbered.select(*keys, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias(number))
+    return numbered.select(*keys, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias(number)), n
 
 
 def feistel_shards(docs: DataFrame, shards: int = 40, seed: int = 20240607) -> DataFrame:
@@ -95,8 +99,8 @@ def feistel_shards(docs: DataFrame, shards: int = 40, seed: int = 20240607) -> D
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    n = docs.count()
-    placed = permute(row_numbers(thin, ["doc_id", "size", "text_crc32"]), "row_number", "position", n, seed)
+    numbered, n = row_numbers(thin, ["doc_id", "size", "text_crc32"])
+    placed = permute(numbered, "row_number", "position", n, seed)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "row_number", "position",
         F.pmod(F.col("position"), F.lit(shards)).cast("int").alias("shard"),
