@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpulse.llm import packing, secrets, sharding, simhash
+from tillpulse.llm import packing, quality, secrets, sharding, simhash
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
@@ -35,12 +35,18 @@ def op6_simhash(spark, sf_dir):
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op8_quality_rules(spark, sf_dir):
+    found = quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *[F.col(f"statistics.{s}") for s in base], "base_failed", "kept")
+
+
 def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(read_table(spark, sf_dir, "documents"), SHARDS).drop("row_number", "position")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op3_pack, op6_simhash, op10_feistel_shards,
+    op1_secret_scan, op3_pack, op6_simhash, op8_quality_rules, op10_feistel_shards,
 )}
 
 ORACLE: dict[str, str] = {}
