@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpulse.llm import packing, quality, secrets, sharding, simhash
+from tillpulse.llm import hmm, packing, quality, secrets, sharding, simhash
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
@@ -30,6 +30,10 @@ def op3_pack(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_hidden_markov(spark, sf_dir):
+    return hmm.hidden_markov_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -46,7 +50,7 @@ def op10_feistel_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op3_pack, op6_simhash, op8_quality_rules, op10_feistel_shards,
+    op1_secret_scan, op3_pack, op4_hidden_markov, op6_simhash, op8_quality_rules, op10_feistel_shards,
 )}
 
 ORACLE: dict[str, str] = {}
