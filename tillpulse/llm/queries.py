@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpulse.llm import hmm, packing, quality, secrets, sharding, simhash
+from tillpulse.llm import decontaminate, hmm, packing, quality, secret_scan, sharding, simhash
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
 
 
 def op1_secret_scan(spark, sf_dir):
-    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
-    kinds = [rule.kind for rule in secrets.BASE_RULES]
+    found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
 
     def of(*wanted):
         return F.filter("spans", lambda s: s["kind"].isin(*wanted))
@@ -20,8 +20,8 @@ def op1_secret_scan(spark, sf_dir):
     return found.select(
         "doc_id",
         *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds],
-        F.sha2(secrets.joined(of(*kinds)).cast("binary"), 256).alias("base_sha256"),
-        secrets.joined(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.joined(of(*kinds)).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
     )
 
 
@@ -39,6 +39,11 @@ def op6_simhash(spark, sf_dir):
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op7_decontaminate(spark, sf_dir):
+    report = decontaminate.decontamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return report.withColumn("items", F.concat_ws(",", F.col("items").cast("array<string>")))
+
+
 def op8_quality_rules(spark, sf_dir):
     found = quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -50,7 +55,7 @@ def op10_feistel_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op3_pack, op4_hidden_markov, op6_simhash, op8_quality_rules, op10_feistel_shards,
+    op1_secret_scan, op3_pack, op4_hidden_markov, op6_simhash, op7_decontaminate, op8_quality_rules, op10_feistel_shards,
 )}
 
 ORACLE: dict[str, str] = {}
