@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpulse.llm import decontaminate, hmm, packing, quality, secret_scan, sharding, simhash
+from tillpulse.llm import decontaminate, hmm, packing, quality, secret_scan, sharding, simhash, warc
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
@@ -25,6 +25,12 @@ def op1_secret_scan(spark, sf_dir):
     )
 
 
+def op2_warc(spark, sf_dir):
+    archives = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    found = warc.read_archives(archives, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_pack(spark, sf_dir):
     pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -55,7 +61,20 @@ def op10_feistel_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op3_pack, op4_hidden_markov, op6_simhash, op7_decontaminate, op8_quality_rules, op10_feistel_shards,
+    op1_secret_scan, op2_warc, op3_pack, op4_hidden_markov, op6_simhash, op7_decontaminate, op8_quality_rules, op10_feistel_shards,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        with rows as (
+            select page_id, url, coalesce(html, '') as payload, sha1(coalesce(html, '')) as digest from pages
+        ), holders as (
+            select digest, max(page_id) as holder, count(*) as copies from rows
+            where strlen(payload) >= 1000 group by digest
+        )
+        select page_id, cast(strlen(payload) as bigint) as payload_bytes, rows.digest as payload_digest,
+               case when copies > 1 and page_id < holder then 'revisit' else 'response' end as record_type,
+               case when copies > 1 and page_id < holder then holder end as refers_to, url
+        from rows left join holders on rows.digest = holders.digest
+    """,
+}
