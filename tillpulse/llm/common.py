@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tillpulse.session import shared_dir
 
 
+# For bytes.translate: A-Z to lower case, other ASCII that is no letter or digit to a space.
+PLAIN = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,6 +24,14 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def row_identity(docs: DataFrame) -> list:
+    """Key columns that tell rows with different texts apart: doc_id (null: the lowest) and a digest of the text."""
+    return [
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("row_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_digest"),
+    ]
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to a fresh shared folder and read back: later stages do not compute it again, and lost executors
     cannot lose it."""

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpulse.llm.common import map_batches, stored
+from tillpulse.llm.common import PLAIN, map_batches, row_identity, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -36,15 +36,12 @@ LEAST_CLASS = 16
 # The bit maps take 64 bits an entry, between these bounds: at most 16 MB each.
 MAP_BITS = (1 << 20, 1 << 27)
 _MULTIPLIERS = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, MINIMA, dtype=np.uint64) | np.uint64(1)
-_PLAIN = bytes(
-    (c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256)
-)
 _SLICE = 1 << 13
 
 
 def shingles(text: str) -> tuple[bytes, list[int], list[int]]:
     """The plain words joined by single spaces, and where each shingle begins and ends."""
-    words = text.encode("utf-8").translate(_PLAIN).split()
+    words = text.encode("utf-8").translate(PLAIN).split()
     if not words:
         return b"", [], []
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
@@ -148,14 +145,6 @@ def _is_set(bit_map: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bit_map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def row_identity(docs: DataFrame) -> list:
-    """Key columns that tell rows with different texts apart: doc_id (null: the lowest) and a digest of the text."""
-    return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("row_id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_digest"),
-    ]
-
-
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row_id, row_digest, item_id, containment): the items that each document contains, by document row identity."""
     found_items = stored(_item_rows(items), "benchmark-items")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpulse.llm import decontaminate, hmm, packing, quality, secret_scan, sharding, simhash, warc
+from tillpulse.llm import decontaminate, hmm, lines, packing, quality, secret_scan, sharding, simhash, warc
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
@@ -40,6 +40,17 @@ def op4_hidden_markov(spark, sf_dir):
     return hmm.hidden_markov_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_units(spark, sf_dir):
+    found = lines.repeated_units(read_table(spark, sf_dir, "documents"))
+    spans = F.transform(F.arrays_zip("starts", "ends"), lambda s: F.concat_ws(":", s["starts"].cast("string"), s["ends"].cast("string")))
+    return found.select(
+        "doc_id", "n_units", F.size("starts").cast("long").alias("n_removed"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w).alias("removed_words"),
+        F.concat_ws(",", spans).alias("spans"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("first_docs")).cast("array<string>")).alias("first_docs"),
+    )
+
+
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -61,7 +72,7 @@ def op10_feistel_shards(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_warc, op3_pack, op4_hidden_markov, op6_simhash, op7_decontaminate, op8_quality_rules, op10_feistel_shards,
+    op1_secret_scan, op2_warc, op3_pack, op4_hidden_markov, op5_repeated_units, op6_simhash, op7_decontaminate, op8_quality_rules, op10_feistel_shards,
 )}
 
 ORACLE: dict[str, str] = {
