@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from tillpulse.llm import decontaminate, hmm, lines, packing, quality, secret_scan, sharding, simhash, warc
+from tillpulse.llm import decontaminate, edits, hmm, lines, packing, quality, secret_scan, sharding, simhash, warc
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
@@ -67,12 +69,26 @@ def op8_quality_rules(spark, sf_dir):
     return found.select("doc_id", *[F.col(f"statistics.{s}") for s in base], "base_failed", "kept")
 
 
+_JUNK = re.compile(r"[#*$%&|<>]{2,}|[!?]{2,}|[ \t]{2,}")
+
+
+def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
+    """Secrets masked, runs of symbols and marks removed, runs of blanks made one."""
+    found = [(start, end, "[SECRET]") for _, start, end in secret_scan.find_spans(text)]
+    return found + [(m.start(), m.end(), " " if m[0].isspace() else "") for m in _JUNK.finditer(text)]
+
+
+def op9_edited_counts(spark, sf_dir):
+    found = edits.counted(read_table(spark, sf_dir, "documents"), cleaning_edits)
+    return found.select("doc_id", "tokens_before", "tokens_after", "n_edits", "encoded_chars", F.char_length("text").cast("long").alias("chars_after"))
+
+
 def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(read_table(spark, sf_dir, "documents"), SHARDS).drop("row_number", "position")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_warc, op3_pack, op4_hidden_markov, op5_repeated_units, op6_simhash, op7_decontaminate, op8_quality_rules, op10_feistel_shards,
+    op1_secret_scan, op2_warc, op3_pack, op4_hidden_markov, op5_repeated_units, op6_simhash, op7_decontaminate, op8_quality_rules, op9_edited_counts, op10_feistel_shards,
 )}
 
 ORACLE: dict[str, str] = {
