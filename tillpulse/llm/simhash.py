@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpulse.llm.common import keyed_text, map_batches, stored
+from tillpulse.llm.common import keyed_text, map_batches, row_identity, stored
 from tillpulse.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -55,15 +55,17 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fingerprint) with the 64 bits as a signed long."""
+def fingerprints(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """``rows`` with ``fingerprint`` (the 64 bits as a signed long) in the place of ``text``."""
+    keys = [c for c in rows.columns if c != "text"]
 
     def compute(batches):
         for batch in batches:
-            bits = [fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(bits, np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
+            bits = np.array([fingerprint(t or "", shingle_words) for t in batch.column("text").to_pylist()], np.uint64)
+            columns = [batch.column(c) for c in keys]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bits.view(np.int64))], [*keys, "fingerprint"])
 
-    return map_batches(keyed_text(docs), compute, "doc_id long, fingerprint long")
+    return map_batches(rows, compute, rows.drop("text").withColumn("fingerprint", F.lit(0).cast("long")).schema)
 
 
 def _bits(value, start: int, width: int):
@@ -98,14 +100,35 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     return found.select("a", "b").distinct()
 
 
+def fingerprint_roots(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (one row per ``fingerprint``) with ``root``, the same for all fingerprints of a class."""
+    roots = components(near_pairs(nodes))
+    joined = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").drop("node")
+    return joined.withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): ``component_id`` is the smallest doc_id that links reach, itself included."""
-    marked = stored(fingerprints(docs), "fingerprints")
+    marked = stored(fingerprints(keyed_text(docs)), "fingerprints")
     nodes = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")), "fingerprint-nodes")
-    roots = components(near_pairs(nodes))
-    node_roots = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "first_doc", F.coalesce("root", "fingerprint").alias("root")
-    )
-    firsts = node_roots.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    classes = stored(node_roots.join(firsts, "root").select("fingerprint", "component_id"), "fingerprint-classes")
+    rooted = fingerprint_roots(nodes)
+    firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    classes = stored(rooted.join(firsts, "root").select("fingerprint", "component_id"), "fingerprint-classes")
     return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` per class, that with the smallest doc_id (null: smallest of all), with its columns. Of rows equal in
+    doc_id and text any one stays."""
+    row = ["row_id", "row_digest"]
+    marked = stored(fingerprints(docs.select(*row_identity(docs), "text")), "fingerprints")
+    nodes = stored(marked.groupBy("fingerprint").agg(F.min(F.struct(*row)).alias("first")), "fingerprint-nodes")
+    kept = fingerprint_roots(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    dropped = stored(marked.select(*row).distinct().join(kept, row, "left_anti"), "dropped-documents")
+    row_id, row_digest = row_identity(docs)
+    left = docs.join(dropped, (row_id == dropped["row_id"]) & (row_digest == dropped["row_digest"]), "left_anti")
+    repeated = marked.groupBy(*row).count().where("count > 1").limit(1).count()
+    if not repeated:
+        return left
+    keyed = left.select(F.struct(*left.columns).alias("_whole"), *row_identity(left))
+    return keyed.dropDuplicates(row).select("_whole.*")
