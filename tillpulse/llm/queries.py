@@ -104,4 +104,32 @@ ORACLE: dict[str, str] = {
                case when copies > 1 and page_id < holder then holder end as refers_to, url
         from rows left join holders on rows.digest = holders.digest
     """,
+    "op7_decontaminate": r"""
+        with texts as (
+            select 'd' as side, doc_id as id, coalesce(text, '') as text from documents
+            union all select 'b', item_id, coalesce(text, '') from benchmark
+        ), words as (
+            select side, id, list_filter(string_split(regexp_replace(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x01-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' '), lambda w: w <> '') as w
+            from texts
+        ), shingles as (
+            select distinct side, id, unnest(list_transform(
+                range(1, greatest(len(w) - 3, 2)), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) as shingle
+            from words where len(w) > 0
+        ), sizes as (select id as item_id, count(*) as size from shingles where side = 'b' group by id),
+        named as (
+            select min(item_id) as item_id, any_value(size) as size from sizes
+            join words on side = 'b' and words.id = item_id group by w
+        ), shared as (
+            select d.id as doc_id, b.id as item_id, count(*) as shared
+            from shingles d join shingles b on d.shingle = b.shingle and d.side = 'd' and b.side = 'b' group by all
+        ), found as (
+            select doc_id, list(item_id order by item_id) as items, max(shared / size) as containment
+            from shared join named using (item_id) where shared / size >= 0.8 group by doc_id
+        )
+        select documents.doc_id, found.doc_id is not null as contaminated, cast(coalesce(len(items), 0) as integer) as n_items,
+               coalesce(list_aggregate(items, 'string_agg', ','), '') as items, containment
+        from documents left join found on documents.doc_id = found.doc_id
+    """,
 }
