@@ -57,6 +57,15 @@ def _tokens(text: str) -> list[bytes]:
     return words
 
 
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes: the upper ones are nearly constant and compress well."""
+    return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 _BLOCK = pa.schema([
     ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
     ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())),
@@ -83,7 +92,7 @@ def encoded_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFra
             words = list(number)
             row = {
                 "block": part * (1 << 24) + next(serial), "doc_ids": doc_ids, "held_out": held, "lengths": lengths,
-                "tokens": tokens.tobytes(), "words": words, "classes": [word_class(w) for w in words],
+                "tokens": pack_numbers(tokens), "words": words, "classes": [word_class(w) for w in words],
                 "counts": np.bincount(tokens[train], minlength=len(words)),
             }
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _BLOCK], schema=_BLOCK)
@@ -193,7 +202,7 @@ def _stretches(lengths: np.ndarray) -> np.ndarray:
 
 
 def _block_arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["tokens"], np.int32), np.array(row["classes"], np.int32), np.array(row["lengths"], np.int64)
+    return unpack_numbers(row["tokens"]), np.array(row["classes"], np.int32), np.array(row["lengths"], np.int64)
 
 
 def baum_welch_step(blocks: DataFrame, model: Model) -> tuple[Model, float]:
