@@ -30,11 +30,11 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     """Rows with columns by name, values as text, in one order."""
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
         if isinstance(v, float):
             return f"{v:.6f}"
-        return str(v)[:10] if type(v).__name__ in ("date", "Timestamp") else str(v)
+        return str(v.date()) if isinstance(v, pd.Timestamp) and v == v.normalize() else str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(text(v) for v in row) for row in df.astype(object).itertuples(index=False))
