@@ -35,15 +35,23 @@ def with_log_time(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def with_create_time(df: DataFrame, column: str = "create_time") -> DataFrame:
-    """Split ``yyyy-MM-dd HH:mm:ss`` text into ``create_date`` and ``create_hour``."""
+    """Split ``yyyy-MM-dd HH:mm:ss`` text into ``create_date`` and two-digit ``create_hour``; NULL if out of range."""
     day = F.split_part(F.col(column), F.lit(" "), F.lit(1))
     clock = F.split_part(F.col(column), F.lit(" "), F.lit(2))
     hour = F.split_part(clock, F.lit(":"), F.lit(1))
+    number = F.when(hour.rlike("^[0-9]{1,2}$"), hour.cast("int"))
     return df.withColumns(
-        {"create_date": day.try_cast("date"), "create_hour": F.when(hour != "", hour)}
+        {"create_date": day.try_cast("date"), "create_hour": F.when(number < 24, F.lpad(hour, 2, "0"))}
     )
 
 
+def is_one_json_value(text: Column) -> Column:
+    """True where the text is one JSON value: nothing behind it, and no key twice in an object."""
+    beside = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+    two = (F.try_variant_get(beside, "$[1]", "int") == 0) & F.try_variant_get(beside, "$[2]", "variant").isNull()
+    return F.coalesce(two, F.lit(False))
+
+
 def mask_phone(tel: Column) -> Column:
     """Star out the fourth to seventh character; numbers too short to mask become NULL."""
     return F.when(F.length(tel) >= 7, F.overlay(tel, F.lit("****"), F.lit(4)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillpulse.functions.scalars import is_one_json_value
 from tillpulse.sources import topics
 
 # Source tables of the three business topics.
@@ -17,15 +18,15 @@ CDC_TOPICS = {
 def stamp_ingest(df: DataFrame, ts_ms: Column | None = None) -> DataFrame:
     """Set the top-level ``ts`` of every JSON record to the server time in milliseconds.
 
-    Fields keep their JSON types. For a replay pass the recorded arrival time. Text that is not a
-    JSON object stays as it is, for the parsers to reject.
+    Fields keep their JSON types. For a replay pass the recorded arrival time. Text that is not one
+    JSON object (also with a key twice, or more text behind it) stays as it is, for the parsers to reject.
     """
     now = F.unix_millis(F.current_timestamp()) if ts_ms is None else ts_ms
     stamp = F.create_map(F.lit("ts"), F.to_variant_object(F.create_map(F.lit("v"), now)))
     stamp = F.transform_values(stamp, lambda _, v: F.variant_get(v, "$.v", "variant"))
     fields = F.try_parse_json(F.col("value")).try_cast("map<string, variant>")
     stamped = F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "ts"), stamp))
-    return df.withColumn("value", F.coalesce(stamped, F.col("value")))
+    return df.withColumn("value", F.coalesce(F.when(is_one_json_value(F.col("value")), stamped), F.col("value")))
 
 
 def route_logs(

@@ -30,3 +30,10 @@ def latest_rows(
         return newest(df)
     has_key = reduce(and_, (F.col(name).isNotNull() for name in key_cols))
     return newest(df.where(has_key)).unionByName(df.where(~has_key))
+
+
+def first_rows(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
+    """One row per key, the one with the smallest ``order_cols``, then the smallest other columns."""
+    others = [*order_cols, *[c for c in df.columns if c not in (*key_cols, *order_cols)]]
+    picked = df.groupBy(*key_cols).agg(F.min(F.struct(*others)).alias("row"))
+    return picked.select(*key_cols, "row.*").select(*df.columns)

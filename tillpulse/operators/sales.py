@@ -49,4 +49,5 @@ def enrich_user(sales: DataFrame, users: DataFrame, as_of: str | dt.date | Colum
         age_years(F.col("birthday"), as_of).alias("user_age"),
         F.col("user_level").alias("user_level"),
     )
-    return sales.join(buyer, "user_id", "left").select(*SALE_DETAIL_FIELDS)
+    arrival = [c for c in ("arrival_ts", "order_arrival_ts") if c in sales.columns]
+    return sales.join(buyer, "user_id", "left").select(*SALE_DETAIL_FIELDS, *arrival)

@@ -138,6 +138,9 @@ select 'new_mid', '新增设备', count(*)::double from (
 union all
 select 'order_amount', '新增交易额', sum(total_amount)::double from order_info where create_date = date '1998-06-15'"""
 
+_RESTARTED = f"""with {USER} select id, login_name, birthday, gender,
+  case when id::bigint % 2 = 0 then 'new' else user_level end as user_level from user_info"""
+
 ORACLE: dict[str, str] = {
     "first_startup": f"with {FIRST} select mid, uid, os, area, ts, log_date, log_hour, event_id from first_log",
     "exclude_seen": f"""with {STARTUP}, seen as (select distinct log_date, mid from startup_log where log_hour < '12')
@@ -232,7 +235,13 @@ select '{{"mid":"' || mid || '","event_id":"' || event_id::varchar || '","ts":"'
   'not a JSON record' as reject_reason from startup_log where event_id % 3 = 0
 union all
 select '{{"event_id":"' || event_id::varchar || '","ts":"' || ts::varchar || '"}}', 'missing or invalid mid'
-from startup_log where event_id % 3 = 1""",
+from startup_log where event_id % 3 = 1
+union all
+select '{{"mid":"' || mid || '","event_id":"' || event_id::varchar || '","ts":"' || ts::varchar || '"}}{{"mid":"more"}}',
+  'not a JSON record' from startup_log where event_id % 9 = 2
+union all
+select '{{"ts":"1","mid":"' || mid || '","event_id":"' || event_id::varchar || '","ts":"' || ts::varchar || '"}}',
+  'not a JSON record' from startup_log where event_id % 9 = 5""",
     # Streaming jobs replayed to the end must give what the batch form gives.
     "stream_first_startup": f"with {FIRST} select mid, uid, os, area, ts, log_date, log_hour from first_log",
     "stream_first_seen": f"with {STARTUP} select distinct log_date, mid from startup_log",
@@ -245,6 +254,12 @@ from startup_log where event_id % 3 = 1""",
     "stream_coupon_alerts": f"with {windows_sql()} select {ALERT_COLUMNS} from alert",
     "stream_sale_detail": _stream_sale(SALE_COLUMNS),
     "stream_changes": CHANGES,
+    "stream_alerts_per_minute": f"""with {windows_sql()}
+select mid || '_' || (window_end_s // 60)::varchar as alert_id, {ALERT_COLUMNS} from last_alert""",
+    "stream_order_changes": f"""with {ORDER} select id, case when id::bigint % 2 = 0 then '1' else '5' end as order_status,
+  create_date, create_hour from order_info""",
+    "upsert_restart": _RESTARTED,
+    "upsert_restart_uncompacted": _RESTARTED,
     "upsert_users": f"""with {USER} select id, login_name, birthday, gender,
   case when id::bigint % 6 = 1 then '2' when id::bigint % 2 = 1 then '1' else user_level end as user_level
 from user_info""",

@@ -432,12 +432,15 @@ def parse_user_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Startup records of which one third is cut off, and another third has no device."""
+    """Startup records of which one third is cut off, another third has no device, and of the rest one has text
+    behind it and one has a key twice."""
     lines = _as_json(_startups(spark, sf_dir), ["mid", "event_id", "ts"])
-    part = F.get_json_object("value", "$.event_id").cast("bigint") % 3
+    part = F.get_json_object("value", "$.event_id").cast("bigint") % 9
     damaged = (
-        F.when(part == 0, F.expr("left(value, length(value) - 1)"))
-        .when(part == 1, F.regexp_replace("value", '"mid":"[^"]*",', ""))
+        F.when(part % 3 == 0, F.expr("left(value, length(value) - 1)"))
+        .when(part % 3 == 1, F.regexp_replace("value", '"mid":"[^"]*",', ""))
+        .when(part == 2, F.concat("value", F.lit('{"mid":"more"}')))
+        .when(part == 5, F.regexp_replace("value", "^.", '{"ts":"1",'))
         .otherwise(F.col("value"))
     )
     return sources.rejects(sources.parse_startup(lines.withColumn("value", damaged)))

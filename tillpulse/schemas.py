@@ -39,18 +39,24 @@ ORDER_TABLE = (
     "id string, province_id string, consignee string, order_comment string, consignee_tel string, "
     "order_status string, payment_way string, user_id string, img_url string, total_amount decimal(18,2), "
     "expire_time string, delivery_address string, create_time string, operate_time string, tracking_no string, "
-    "parent_order_id string, out_trade_no string, trade_body string, create_hour string, create_date date"
+    "parent_order_id string, out_trade_no string, trade_body string, create_hour string, create_date date, "
+    "arrival_ts timestamp"
 )
 USER_TABLE = "id string, login_name string, user_level string, birthday date, gender string, arrival_ts timestamp"
 SALE_TABLE = (
     "order_detail_id string, order_id string, order_status string, create_time string, user_id string, "
-    "sku_id string, user_gender string, user_age int, user_level string, sku_price double, sku_name string, dt date"
+    "sku_id string, user_gender string, user_age int, user_level string, sku_price double, sku_name string, dt date, "
+    "arrival_ts timestamp, order_arrival_ts timestamp"
 )
 PANE_TABLE = "mid string, pane bigint, evid string, uid string, itemid string, n bigint, day date"
 ALERT_TABLE = (
     "mid string, window_end timestamp, uids array<string>, item_ids array<string>, "
     "events array<struct<evid: string, n: bigint>>, suppressed boolean, day date"
 )
+MINUTE_TABLE = (
+    "alert_id string, mid string, window_end timestamp, uids array<string>, item_ids array<string>, "
+    "events array<struct<evid: string, n: bigint>>, suppressed boolean, day date"
+)
 
 
 def text_struct(fields: list[str], extra: str | None = None) -> T.StructType:

@@ -1,12 +1,21 @@
 """Keyed table on Parquet: last write per key wins, replays of a batch change nothing.
 
-Every micro-batch is written to a folder of its own, named by the batch id, so writing costs what the
-batch holds and never rewrites old data. Reading merges the folders by key. ``compact`` folds them into
-one folder that replaces all earlier ones; it is an ordinary Spark job to be run every now and then.
+Every micro-batch is written to a folder of its own, so writing costs what the batch holds and never
+rewrites old data. Reading merges the folders by key. ``compact`` folds them into one folder that replaces
+all earlier ones; it is an ordinary Spark job to be run every now and then.
 
-Folders are ``gen=<2*batch>`` for batches and ``gen=<2*batch+1>`` for the compaction up to that batch.
-A folder counts once its job has committed (``_SUCCESS``); a batch that failed half-way is invisible and
-is overwritten when it is replayed.
+A batch is known by its source (the id of a streaming query, the name of a load) and its number there. A
+new pair gets the next generation; a repeated pair writes its own generation again, and nothing at all
+once a compaction covers it. A stream with a fresh checkpoint is a new source, so it neither overwrites
+nor hides what an earlier one has written. Which pair has which generation is kept as the names of empty
+files in ``_pairs``; a table has one writer at a time.
+
+Folders are ``gen=<2*n>`` for batches and ``gen=<2*n+1>`` for the compaction up to that batch. A folder
+counts once its job has committed (``_SUCCESS``); a batch that failed half-way is invisible and is
+overwritten when it is replayed.
+
+``merge`` says what becomes of several rows of a key: the last write stays, or the first in ``order``
+whenever it was written, or the column ``n`` is summed.
 
 Batches are flat files sorted by the partition columns: a batch of a few seconds must not become a file
 per day and task. The compacted folder holds nearly all data and has a sub-folder per day. A filter on
@@ -15,12 +24,13 @@ the day skips sub-folders there and row groups in the batches.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tillpulse.operators.latest import latest_rows
+from tillpulse.operators.latest import first_rows, latest_rows
 
 
 @dataclass(frozen=True)
@@ -33,20 +43,19 @@ class KeyedTable:
     partition_by: list[str] = field(default_factory=list)
     # Whether NULL in a key column is a value; otherwise such rows have no key and all stay.
     null_is_value: bool = False
+    merge: str = "last"  # or "first", "sum"
 
     def columns(self) -> list[str]:
         return self._fields().fieldNames()
 
-    def upsert(self, df: DataFrame, batch_id: int) -> None:
-        """Write one batch; several rows of a key are settled when reading."""
+    def upsert(self, df: DataFrame, batch: int | str, source: str = "") -> str:
+        """Write one batch and give its folder; several rows of a key are settled when reading."""
         rows = df.select(*self.columns())
         if self.partition_by:
             rows = rows.sortWithinPartitions(*self.partition_by)
-        rows.write.mode("overwrite").parquet(self._dir(2 * batch_id))
-
-    def folder(self, batch_id: int) -> str:
-        """Where a batch has been written."""
-        return self._dir(2 * batch_id)
+        target = self._dir(self._generation(df.sparkSession, f"{source}#{batch}"))
+        rows.write.mode("overwrite").parquet(target)
+        return target
 
     def latest(self, spark: SparkSession) -> DataFrame:
         """One row per key over all committed batches."""
@@ -83,8 +92,28 @@ class KeyedTable:
         return len(stale)
 
     def _merge(self, rows: DataFrame) -> DataFrame:
+        if self.merge == "sum":
+            return rows.groupBy(*self.keys).agg(F.sum("n").alias("n")).select(*self.columns())
+        if self.merge == "first":
+            return first_rows(rows.drop("gen"), self.keys, self.order)
         return latest_rows(rows, self.keys, ["gen", *self.order], self.null_is_value).drop("gen")
 
+    def _generation(self, spark: SparkSession, pair: str) -> int:
+        """The generation of a batch, now or from when it was first written."""
+        fs, folder = self._fs(spark)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        pairs = path(folder, "_pairs")
+        name = hashlib.sha256(pair.encode()).hexdigest()
+        known = {}
+        if fs.exists(pairs):
+            known = dict(reversed(s.getPath().getName().split("-")) for s in fs.listStatus(pairs))
+        if name in known:
+            return int(known[name])
+        last = max([*map(int, known.values()), *self._committed(spark)], default=-2)
+        gen = last // 2 * 2 + 2
+        fs.create(path(pairs, f"{gen}-{name}"), False).close()
+        return gen
+
     def _dir(self, gen: int) -> str:
         return f"{self.path}/gen={gen}"
 

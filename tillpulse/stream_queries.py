@@ -79,7 +79,7 @@ def stream_first_startup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in _event_slices(_startup_rows(spark, sf_dir)):
         _publish(part, topics.STARTUP_TOPIC, f"{work}/topics")
         _run(spark, lambda: streaming.dau_job(
-            _parsed_startups(spark, f"{work}/topics"), table, f"{work}/checkpoint", lateness=REPLAY_LATENESS
+            _parsed_startups(spark, f"{work}/topics"), table, f"{work}/checkpoint"
         ))
     return table.latest(spark).select("mid", "uid", "os", "area", "ts", "log_date", "log_hour")
 
@@ -180,21 +180,34 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_columns(table.latest(spark))
 
 
-@query
-def stream_coupon_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = shared_dir(spark, "alerts")
-    panes, alerts = streaming.pane_table(f"{work}/panes"), streaming.alert_table(f"{work}/alerts")
+def _run_alerts(spark: SparkSession, sf_dir: str, work: str, alerts, minutes=None) -> None:
+    panes = streaming.pane_table(f"{work}/panes")
     events = t.event_log(t.table(spark, sf_dir, "events"))
     rows = _json_rows(events, F.col("event_ts"), ["mid", "uid", "evid", "itemid", "ts"])
     for part in _event_slices(rows):
         _publish(part, topics.EVENT_TOPIC, f"{work}/topics")
         _run(spark, lambda: streaming.alert_job(
             sources.accepted(sources.parse_event(_source(spark, topics.EVENT_TOPIC, f"{work}/topics"))),
-            panes, alerts, f"{work}/checkpoint", REPLAY_LATENESS,
+            panes, alerts, f"{work}/checkpoint", minutes,
         ))
+
+
+@query
+def stream_coupon_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = shared_dir(spark, "alerts")
+    alerts = streaming.alert_table(f"{work}/alerts")
+    _run_alerts(spark, sf_dir, work, alerts)
     return q._alert_text(alerts.latest(spark).where(~F.col("suppressed")))
 
 
+@query
+def stream_alerts_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = shared_dir(spark, "minutes")
+    minutes = streaming.minute_table(f"{work}/minutes")
+    _run_alerts(spark, sf_dir, work, streaming.alert_table(f"{work}/alerts"), minutes)
+    return q._alert_text(minutes.latest(spark).where(~F.col("suppressed")), "alert_id")
+
+
 @query
 def stream_sale_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines arrive from four minutes before to three minutes after their order."""
@@ -218,7 +231,7 @@ def stream_sale_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
             sources.accepted(sources.parse_user(_source(spark, topics.USER_TOPIC, replay))),
             users_table, sales_table, f"{work}/checkpoint", q.AS_OF,
         ))
-    return q._age_as_double(sales_table.latest(spark))
+    return q._age_as_double(sales_table.latest(spark).drop("arrival_ts", "order_arrival_ts"))
 
 
 @query
@@ -234,3 +247,48 @@ def upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     table.compact(spark)
     table.upsert(odd.where(F.col("id").cast("bigint") % 3 == 1).withColumn("user_level", F.lit("2")), 2)
     return table.latest(spark).drop("arrival_ts")
+
+
+def _restarted(spark: SparkSession, sf_dir: str, compact: bool) -> DataFrame:
+    """Two batches of a stream, then a stream with a fresh checkpoint whose batches have the same numbers: users that
+    are new or have changed. Half of the users come with the first stream."""
+    work = shared_dir(spark, "restart")
+    table = streaming.user_table(f"{work}/users")
+    users = t.user_info(t.table(spark, sf_dir, "customer")).withColumn("arrival_ts", F.lit("2024-01-01").cast("timestamp"))
+    key = F.col("id").cast("bigint") % 4
+    table.upsert(users.where(key == 0), 0, "first")
+    table.upsert(users.where(key == 1), 1, "first")
+    if compact:
+        table.compact(spark)
+        table.vacuum(spark)
+    table.upsert(users.where(key.isin(0, 2)).withColumn("user_level", F.lit("new")), 0, "second")
+    table.upsert(users.where(key == 3), 1, "second")
+    return table.latest(spark).drop("arrival_ts")
+
+
+@query
+def upsert_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restarted(spark, sf_dir, compact=True)
+
+
+@query
+def upsert_restart_uncompacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restarted(spark, sf_dir, compact=False)
+
+
+@query
+def stream_order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of every order, two in the first batch and one in the second; the later ones are smaller as text."""
+    work = shared_dir(spark, "order-changes")
+    table = streaming.order_table(f"{work}/orders")
+    orders = t.order_info(t.table(spark, sf_dir, "orders"), t.table(spark, sf_dir, "customer"))
+
+    def version(status: str, seconds: int) -> DataFrame:
+        at = F.timestamp_seconds(F.lit(1704067200 + seconds))
+        return _json_rows(orders.withColumn("order_status", F.lit(status)), at, ORDER_COLUMNS)
+
+    third = version("1", 60).where(F.get_json_object("value", "$.id").cast("bigint") % 2 == 0)
+    for part in (version("9", 0).unionByName(version("5", 1)), third):
+        _publish(part, topics.ORDER_TOPIC, f"{work}/topics")
+        _run(spark, lambda: streaming.order_job(_parsed_orders(spark, f"{work}/topics"), table, f"{work}/checkpoint"))
+    return _order_columns(table.latest(spark)).select("id", "order_status", "create_date", "create_hour")

@@ -11,6 +11,7 @@ from tillpulse.streaming.jobs import (
 from tillpulse.streaming.tables import (
     alert_table,
     dau_table,
+    minute_table,
     order_table,
     pane_table,
     sale_table,
@@ -25,6 +26,6 @@ from tillpulse.streaming.transforms import (
 
 __all__ = [
     "alert_job", "alert_table", "change_job", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
-    "first_startup_stream", "ingest_job", "join_order_detail_stream", "order_job", "order_table", "pane_table",
+    "first_startup_stream", "ingest_job", "join_order_detail_stream", "minute_table", "order_job", "order_table", "pane_table",
     "reject_job", "sale_job", "sale_table", "start", "user_table",
 ]

@@ -1,33 +1,36 @@
 """The streaming jobs. Each takes parsed streams and keyed tables and gives a writer to start.
 
-Output happens in ``foreachBatch``; tables are keyed and a replayed batch id overwrites its own folder,
-so a restart from the checkpoint repeats no effect.
+Output happens in ``foreachBatch``; tables are keyed and a replayed batch overwrites its own folder, so a
+restart from the checkpoint repeats no effect. Batches are named by the stream's own id, so that a stream
+with a fresh checkpoint adds to a table. First startups and pane counts keep no state in the stream: every
+batch writes its own, and the table merges them, however late they come.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tillpulse.operators.alerts import (
     CHUNK_SECONDS,
+    CONTENT,
     SIZE_SECONDS,
     SLIDE_SECONDS,
+    alerts_per_minute,
+    pane_counts,
     windows_from_panes,
 )
-from tillpulse.operators.devices import observed
+from tillpulse.operators.devices import first_startup, observed
 from tillpulse.operators.ingest import route_cdc, route_logs, stamp_ingest
 from tillpulse.operators.sales import enrich_user
 from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.topics import topic_sink
 from tillpulse.sources.records import rejects
-from tillpulse.streaming.transforms import (
-    coupon_panes_stream,
-    first_startup_stream,
-    join_order_detail_stream,
-)
+from tillpulse.streaming.transforms import join_order_detail_stream
 
 TRIGGER = "5 seconds"
 
@@ -38,8 +41,17 @@ def start(writer: DataStreamWriter, available_now: bool = False, every: str = TR
     return writer.start()
 
 
-def _into(stream: DataFrame, mode: str, checkpoint: str, each) -> DataStreamWriter:
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+def _into(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int, str], object]) -> DataStreamWriter:
+    """Write with ``each(batch, batch id, stream id)``."""
+    source: list[str] = []
+
+    def named(batch: DataFrame, batch_id: int) -> None:
+        if not source:
+            # Written when the stream first starts, and the same whenever it starts again from this checkpoint.
+            source.append(json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        each(batch, batch_id, source[0])
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(named)
 
 
 def ingest_job(
@@ -68,11 +80,19 @@ def dau_job(
     table: KeyedTable,
     checkpoint: str,
     tie_break: list[str] | None = None,
-    lateness: str = "25 hours",
+    counted: Callable[[int], object] = lambda rows: None,
 ) -> DataStreamWriter:
-    """First startups per device and day into the DAU table; rows before and after are observed."""
-    first = first_startup_stream(observed(startups, "startups_in"), tie_break, lateness)
-    return _into(observed(first, "first_startups_out"), "update", checkpoint, table.upsert)
+    """First startups per device and day into the DAU table.
+
+    The rows of a batch are observed as ``startups_in``; ``counted`` gets the number of first startups that
+    it writes. A batch writes the earliest of its own; the table keeps the earliest of all.
+    """
+
+    def each(batch: DataFrame, batch_id: int, source: str) -> None:
+        folder = table.upsert(first_startup(batch, tie_break), batch_id, source)
+        counted(batch.sparkSession.read.schema(table.schema).parquet(folder).count())
+
+    return _into(observed(startups, "startups_in"), "append", checkpoint, each)
 
 
 def order_job(orders: DataFrame, table: KeyedTable, checkpoint: str) -> DataStreamWriter:
@@ -81,27 +101,26 @@ def order_job(orders: DataFrame, table: KeyedTable, checkpoint: str) -> DataStre
 
 
 def alert_job(
-    events: DataFrame, panes: KeyedTable, alerts: KeyedTable, checkpoint: str, lateness: str = "10 minutes"
+    events: DataFrame, panes: KeyedTable, alerts: KeyedTable, checkpoint: str, minutes: KeyedTable | None = None
 ) -> DataStreamWriter:
-    """Pane counts into one table, and the windows they touch into another.
+    """Pane counts into one table, the windows they touch into another, and the alert of each minute into a third.
 
     A window is written again whenever one of its panes changes, with ``suppressed`` telling whether a
-    click has cleared the device meanwhile; readers keep the rows that are not suppressed. A batch reads
-    only the days around its own panes and only its own devices.
+    click has cleared the device meanwhile; readers keep the rows that are not suppressed. So is the alert
+    of a minute, once per device and minute. A batch reads only the days around its own panes and only its
+    own devices.
     """
     per_window = SIZE_SECONDS // SLIDE_SECONDS
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, batch_id: int, source: str) -> None:
         spark = batch.sparkSession
-        panes.upsert(batch, batch_id)
-        # The written rows, so that the stateful step is not run twice.
-        written = spark.read.schema(panes.schema).parquet(panes.folder(batch_id))
-        lo, hi = written.agg(F.min("pane"), F.max("pane")).first()
+        day = F.to_date(F.timestamp_seconds(F.col("pane") * SLIDE_SECONDS))
+        folder = panes.upsert(pane_counts(batch).withColumn("day", day), batch_id, source)
+        # The written rows, so that the batch is not read twice.
+        changed = spark.read.schema(panes.schema).parquet(folder).select("mid", "pane").distinct()
+        lo, hi = changed.agg(F.min("pane"), F.max("pane")).first()
         if lo is None:
             return
-        first_day = _day(lo - per_window)
-        last_day = _day(hi + per_window)
-        changed = written.select("mid", "pane")
         ends = (
             changed.select("mid", F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + per_window)).alias("w"))
             .distinct()
@@ -109,14 +128,37 @@ def alert_job(
         )
         near = (
             panes.latest(spark)
-            .where(F.col("day").between(F.lit(first_day), F.lit(last_day)))
+            .where(F.col("day").between(F.lit(_day(lo - per_window)), F.lit(_day(hi + per_window))))
             .where(F.col("pane").between(lo - per_window + 1, hi + per_window - 1))
             .join(changed.select("mid").distinct(), "mid", "left_semi")
         )
         windows = windows_from_panes(near, chunk=CHUNK_SECONDS).join(ends, ["mid", "window_end"], "left_semi")
-        alerts.upsert(windows.withColumn("day", F.to_date("window_end")), batch_id)
-
-    return _into(coupon_panes_stream(events, lateness), "update", checkpoint, each)
+        alerts.upsert(windows.withColumn("day", F.to_date("window_end")), batch_id, source)
+        if minutes:
+            minutes.upsert(_minutes(spark, alerts, ends, lo, hi + per_window), batch_id, source)
+
+    return _into(events, "append", checkpoint, each)
+
+
+def _minutes(spark, alerts: KeyedTable, ends: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The alert of every device and minute that ``ends`` touches; where a click has cleared all its windows, a row
+    that says so."""
+    minute = F.floor(F.unix_seconds("window_end") / 60)
+    touched = ends.select("mid", minute.alias("minute")).distinct()
+    current = (
+        alerts.latest(spark)
+        .where(F.col("day").between(F.lit(_day(lo - 6)), F.lit(_day(hi + 6))) & ~F.col("suppressed"))
+        .withColumn("minute", minute)
+        .join(touched, ["mid", "minute"], "left_semi")
+    )
+    found = alerts_per_minute(current.drop("minute")).withColumn("minute", minute).drop("alert_id")
+    start = F.timestamp_seconds(F.col("minute") * 60)
+    return touched.join(found, ["mid", "minute"], "left").select(
+        F.concat_ws("_", "mid", F.col("minute").cast("string")).alias("alert_id"),
+        "mid", "window_end", *CONTENT,
+        F.col("window_end").isNull().alias("suppressed"),
+        F.to_date(start).alias("day"),
+    )
 
 
 def _day(pane: int) -> dt.date:
@@ -145,13 +187,13 @@ def sale_job(
         F.struct(*sales.columns).alias("sale"), F.lit(None).cast(people.schema).alias("user")
     ).unionByName(people.select(F.lit(None).cast(sales.schema).alias("sale"), F.struct(*people.columns).alias("user")))
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, batch_id: int, source: str) -> None:
         batch.persist()
         try:
-            user_table.upsert(batch.where(F.col("user").isNotNull()).select("user.*"), batch_id)
+            user_table.upsert(batch.where(F.col("user").isNotNull()).select("user.*"), batch_id, source)
             fresh = batch.where(F.col("sale").isNotNull()).select("sale.*")
             known = user_table.lookup(batch.sparkSession, fresh.select(F.col("user_id").alias("id")))
-            sale_table.upsert(enrich_user(fresh, known, as_of), batch_id)
+            sale_table.upsert(enrich_user(fresh, known, as_of), batch_id, source)
         finally:
             batch.unpersist()
 

@@ -11,13 +11,16 @@ from tillpulse.sinks.keyed import KeyedTable
 
 
 def dau_table(path: str) -> KeyedTable:
-    return KeyedTable(path, schemas.DAU_TABLE, ["log_date", "mid"], partition_by=["log_date"], null_is_value=True)
+    """First startups: the earliest of a device and day stays, whenever it is written."""
+    return KeyedTable(
+        path, schemas.DAU_TABLE, ["log_date", "mid"], ["ts"], partition_by=["log_date"], null_is_value=True, merge="first"
+    )
 
 
 def order_table(path: str) -> KeyedTable:
     """Creation day is part of the key: it never changes for an order, and readers may prune by it."""
     return KeyedTable(
-        path, schemas.ORDER_TABLE, ["create_date", "id"], partition_by=["create_date"], null_is_value=True
+        path, schemas.ORDER_TABLE, ["create_date", "id"], ["arrival_ts"], partition_by=["create_date"], null_is_value=True
     )
 
 
@@ -26,15 +29,22 @@ def user_table(path: str) -> KeyedTable:
 
 
 def sale_table(path: str) -> KeyedTable:
-    return KeyedTable(path, schemas.SALE_TABLE, ["dt", "order_detail_id"], partition_by=["dt"])
+    order = ["arrival_ts", "order_arrival_ts"]
+    return KeyedTable(path, schemas.SALE_TABLE, ["dt", "order_detail_id"], order, partition_by=["dt"])
 
 
 def pane_table(path: str) -> KeyedTable:
+    """Event counts: every batch adds its own."""
     keys = ["day", "mid", "pane", "evid", "uid", "itemid"]
-    return KeyedTable(path, schemas.PANE_TABLE, keys, partition_by=["day"], null_is_value=True)
+    return KeyedTable(path, schemas.PANE_TABLE, keys, partition_by=["day"], null_is_value=True, merge="sum")
 
 
 def alert_table(path: str) -> KeyedTable:
     return KeyedTable(
         path, schemas.ALERT_TABLE, ["day", "mid", "window_end"], partition_by=["day"], null_is_value=True
     )
+
+
+def minute_table(path: str) -> KeyedTable:
+    """One alert per device and minute; rows with ``suppressed`` take an earlier alert back."""
+    return KeyedTable(path, schemas.MINUTE_TABLE, ["day", "alert_id"], partition_by=["day"], null_is_value=True)

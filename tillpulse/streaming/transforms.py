@@ -91,4 +91,7 @@ def join_order_detail_stream(
         & (F.col("d.arrival_ts") >= F.col("o.arrival_ts") - F.expr(f"interval {early}"))
         & (F.col("d.arrival_ts") <= F.col("o.arrival_ts") + F.expr(f"interval {horizon}"))
     )
-    return o.join(d, within).select(*sale_columns())
+    arrival = [
+        F.greatest("o.arrival_ts", "d.arrival_ts").alias("arrival_ts"), F.col("o.arrival_ts").alias("order_arrival_ts")
+    ]
+    return o.join(d, within).select(*sale_columns(), *arrival)
