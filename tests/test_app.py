@@ -5,7 +5,7 @@ import json
 import pytest
 
 from test_streaming import BASE, Topics, at, event, line, order, user
-from tillpulse import app
+from tillpulse import app, streaming
 
 
 def test_jobs_and_reports(spark, tmp_path):
@@ -35,7 +35,17 @@ def test_jobs_and_reports(spark, tmp_path):
     assert report("hours", "--metric", "order_amount") == {"today": {"12": 10.0}, "yesterday": {}}
     found = report("search", "--keyword", "ring", "--size", "1")
     assert found["total"] == 2 and [d["order_detail_id"] for d in found["detail"]] == ["l1"]
-    alerts = spark.read.parquet(str(tmp_path / "tables" / "alerts"))
+    for _ in range(2):
+        minutes = [json.loads(d) for d in app.main(["alerts-of-day", *places[:2], "--date", str(BASE.date())], spark).split("\n")]
+        assert len(minutes) == 6 and {m["mid"] for m in minutes} == {"a"} and all("_" in m["alert_id"] for m in minutes)
+        provinces = report("provinces")
+        assert (provinces["n_orders"], provinces["amount"]) == (2, 10.0)
+        app.main(["compact", *places[:2]], spark)
+        app.main(["vacuum", *places[:2]], spark)
+    assert report("search", "--keyword", "ring", "--size", "1") == found
+    stamped = [json.loads(r[0])["ts"] for r in spark.read.text(str(tmp_path / "tables" / "raw_log")).collect() if r[0] != "?"]
+    assert len(stamped) == 4 and all(isinstance(t, int) for t in stamped)
+    alerts = streaming.alert_table(str(tmp_path / "tables" / "alerts")).latest(spark)
     assert alerts.where("mid = 'a'").count() == 30
 
 

@@ -84,3 +84,44 @@ def test_day_filter_reaches_both_layouts(spark, table):
     assert plan.count("isnotnull(day#") >= 2 and "EqualTo(day,2024-01-01)" in plan
     assert any("PartitionFilters: [" in line and "(day#" in line.split("PartitionFilters: [")[1].split("]")[0] for line in plan.splitlines())
     assert rows(day) == [("a", 2, D1)]
+
+
+def test_a_fresh_source_adds_to_the_table(spark, table):
+    """A stream with a new checkpoint counts its batches from 0 again."""
+    for compacted in (False, True):
+        table.upsert(frame(spark, ("a", 1, D1)), 0, "one")
+        table.upsert(frame(spark, ("b", 1, D1)), 1, "one")
+        if compacted:
+            table.compact(spark)
+            table.vacuum(spark)
+        table.upsert(frame(spark, ("b", 2, D1), ("c", 2, D2)), 0, f"two {compacted}")
+        assert rows(table.latest(spark), "id") == [("a", 1, D1), ("b", 2, D1), ("c", 2, D2)]
+    # The same pair again is the same batch, also when a compaction has taken it in.
+    table.upsert(frame(spark, ("b", 9, D1)), 1, "one")
+    assert rows(table.latest(spark), "id")[1] == ("b", 2, D1)
+    table.upsert(frame(spark, ("b", 5, D1)), "named load")
+    assert rows(table.latest(spark), "id")[1] == ("b", 5, D1)
+
+
+@pytest.mark.parametrize("merge", ["first", "sum"])
+def test_other_merges_do_not_depend_on_batches(spark, tmp_path, merge):
+    own = KeyedTable(str(tmp_path / "m"), "id string, n int", ["id"], [] if merge == "sum" else ["n"], null_is_value=True, merge=merge)
+    parts = [[("a", 5), (None, 3)], [("a", 2), ("b", 1)], [("a", 4), (None, 7)]]
+    for i, part in enumerate(parts):
+        own.upsert(spark.createDataFrame(part, "id string, n int"), i)
+        if i == 1:
+            own.compact(spark)
+    want = {"first": [(None, 3), ("a", 2), ("b", 1)], "sum": [(None, 10), ("a", 11), ("b", 1)]}[merge]
+    assert rows(own.latest(spark), "id") == want
+    own.compact(spark)
+    assert rows(own.latest(spark), "id") == want
+
+
+def test_compacted_rows_are_read_as_they_are(spark, table):
+    table.upsert(frame(spark, ("a", 1, D1), ("b", 1, D2)), 0)
+    table.compact(spark)
+    plan = table.latest(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Aggregate" not in plan
+    table.upsert(frame(spark, ("a", 2, D1)), 1)
+    kept = table.latest(spark)._jdf.queryExecution().executedPlan().toString().split("Union")[1]
+    assert "LeftAnti" in kept and rows(table.latest(spark), "id") == [("a", 2, D1), ("b", 1, D2)]

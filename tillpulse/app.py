@@ -11,8 +11,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillpulse import plans, sources, streaming
-from tillpulse.functions import with_log_time
+from tillpulse import operators as ops, plans, sources, streaming
+from tillpulse.operators import stamp_ingest
 from tillpulse.plans.search import DEFAULT_DATE, PAGE_SIZE
 from tillpulse.session import configure
 from tillpulse.sinks import archive_logs
@@ -20,7 +20,12 @@ from tillpulse.sources import topics
 
 RAW_TOPIC, CHANGE_TOPIC = "raw_log", "row_changes"
 JOBS = ["ingest", "archive", "changes", "dau", "orders", "alerts", "sales"]
-REPORTS = ["tiles", "hours", "search"]
+REPORTS = ["tiles", "hours", "search", "alerts-of-day", "provinces"]
+UPKEEP = ["compact", "vacuum"]
+TABLES = {
+    "dau": streaming.dau_table, "orders": streaming.order_table, "users": streaming.user_table, "sales": streaming.sale_table,
+    "panes": streaming.pane_table, "alerts": streaming.alert_table, "alert_minutes": streaming.minute_table,
+}
 
 
 def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list:
@@ -29,7 +34,7 @@ def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list
     checkpoint = f"{args.checkpoints}/{job}"
 
     def read(topic: str) -> DataFrame:
-        return topics.topic_source(spark, topic, **where)
+        return topics.topic_source(spark, topic, **where, options=dict(o.split("=", 1) for o in args.option))
 
     def with_rejects(writer, *parsed: DataFrame) -> list:
         rejected = [
@@ -41,7 +46,8 @@ def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list
     if job == "ingest":
         return [streaming.ingest_job(read(RAW_TOPIC), checkpoint, **where)]
     if job == "archive":
-        return [archive_logs(read(RAW_TOPIC), f"{args.tables}/raw_log", checkpoint)]
+        stamped = stamp_ingest(read(RAW_TOPIC), F.unix_millis("arrival_ts"))
+        return [archive_logs(stamped, f"{args.tables}/raw_log", checkpoint)]
     if job == "changes":
         parsed = sources.parse_change(read(CHANGE_TOPIC))
         return with_rejects(streaming.change_job(sources.accepted(parsed), checkpoint, **where), parsed)
@@ -51,8 +57,8 @@ def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list
         return with_rejects(streaming.dau_job(sources.accepted(parsed), table, checkpoint), parsed)
     if job == "alerts":
         parsed = sources.parse_event(read(topics.EVENT_TOPIC))
-        panes, alerts = streaming.pane_table(f"{args.tables}/panes"), streaming.alert_table(f"{args.tables}/alerts")
-        return with_rejects(streaming.alert_job(sources.accepted(parsed), panes, alerts, checkpoint), parsed)
+        panes, alerts, minutes = (TABLES[t](f"{args.tables}/{t}") for t in ("panes", "alerts", "alert_minutes"))
+        return with_rejects(streaming.alert_job(sources.accepted(parsed), panes, alerts, checkpoint, minutes), parsed)
     orders = sources.parse_order(read(topics.ORDER_TOPIC))
     if job == "orders":
         table = streaming.order_table(f"{args.tables}/orders")
@@ -64,18 +70,27 @@ def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list
         streaming.sale_table(f"{args.tables}/sales"),
         checkpoint,
         F.current_date(),
+        args.early,
+        args.horizon,
     )
-    return with_rejects(writer, details, users)
+    return with_rejects(writer, orders, details, users)
 
 
 def report(name: str, spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """One row with the JSON document of a report."""
+    """The JSON documents of a report, one per row."""
     if name == "search":
         sales = streaming.sale_table(f"{args.tables}/sales").latest(spark)
         return plans.sale_search_document(sales, args.date or DEFAULT_DATE, args.keyword, args.page, args.size)
     day = args.date or str(dt.datetime.now(dt.timezone.utc).date())
-    startups = with_log_time(streaming.dau_table(f"{args.tables}/dau").latest(spark))
+    if name == "alerts-of-day":
+        alerts = streaming.minute_table(f"{args.tables}/alert_minutes").latest(spark)
+        found = alerts.where((F.col("day") == F.lit(day).cast("date")) & ~F.col("suppressed"))
+        return ops.alert_documents(found).orderBy("alert_id").select(F.to_json(F.struct("*")))
+    # The stored day stays as it is: a filter on it skips folders.
+    startups = streaming.dau_table(f"{args.tables}/dau").latest(spark).withColumn("event_ts", F.timestamp_millis("ts"))
     orders = streaming.order_table(f"{args.tables}/orders").latest(spark)
+    if name == "provinces":
+        return ops.sales_by_province(orders, day).orderBy("province_id").select(F.to_json(F.struct("*")))
     if name == "tiles":
         return plans.kpi_document(plans.kpi_tiles(startups, orders, day))
     return plans.hourly_document(plans.hourly_compare(startups if args.metric == "dau" else orders, args.metric, day))
@@ -83,11 +98,14 @@ def report(name: str, spark: SparkSession, args: argparse.Namespace) -> DataFram
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    parser.add_argument("command", choices=JOBS + REPORTS)
+    parser.add_argument("command", choices=JOBS + REPORTS + UPKEEP)
     parser.add_argument("--tables", required=True, help="folder of the keyed tables")
     parser.add_argument("--checkpoints", help="folder of the job checkpoints")
     parser.add_argument("--brokers", help="Kafka brokers")
     parser.add_argument("--replay", help="folder of recorded topics, instead of brokers")
+    parser.add_argument("--option", action="append", default=[], help="name=value for the topic source; may be repeated")
+    parser.add_argument("--early", default="10 minutes", help="how long a line may come before its order")
+    parser.add_argument("--horizon", default="1 day", help="how long a line may come after its order")
     parser.add_argument("--once", action="store_true", help="process what is there and stop")
     parser.add_argument("--date", help="day of a report")
     parser.add_argument("--metric", default="dau", choices=["dau", "order_amount"])
@@ -104,9 +122,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     args = arguments(argv)
     spark = configure(spark or SparkSession.builder.appName(f"tillpulse-{args.command}").getOrCreate())
     if args.command in REPORTS:
-        document = report(args.command, spark, args).first()[0]
-        print(document)
-        return document
+        documents = [row[0] for row in report(args.command, spark, args).toLocalIterator()]
+        print(*documents, sep="\n")
+        return "\n".join(documents)
+    if args.command in UPKEEP:
+        for name, table in TABLES.items():
+            print(name, getattr(table(f"{args.tables}/{name}"), args.command)(spark))
+        return None
     running = [streaming.start(w, available_now=args.once) for w in job_writers(args.command, spark, args)]
     if not args.once:
         spark.streams.awaitAnyTermination()

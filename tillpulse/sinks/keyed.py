@@ -59,12 +59,33 @@ class KeyedTable:
 
     def latest(self, spark: SparkSession) -> DataFrame:
         """One row per key over all committed batches."""
-        return self._merge(self._read(spark, self._live(spark)))
+        live = self._live(spark)
+        return self._latest(self._read(spark, [g for g in live if g % 2]), self._read(spark, [g for g in live if not g % 2]), live)
 
     def lookup(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
         """The latest rows of the keys in ``wanted`` only: other rows are dropped before the merge."""
-        rows = self._read(spark, self._live(spark))
-        return self._merge(rows.join(wanted.select(*self.keys).distinct(), self.keys, "left_semi"))
+        live = self._live(spark)
+        keys = wanted.select(*self.keys).distinct()
+        base, newer = (
+            self._read(spark, [g for g in live if g % 2 == odd]).join(keys, self.keys, "left_semi") for odd in (1, 0)
+        )
+        return self._latest(base, newer, live)
+
+    def _latest(self, base: DataFrame, newer: DataFrame, live: list[int]) -> DataFrame:
+        """The compacted part has one row per key already: only keys that newer batches hold are merged again, all other
+        rows pass as they are, without a sort or an aggregate."""
+        if not any(g % 2 for g in live):
+            return self._merge(newer)
+        if all(g % 2 for g in live):
+            return base.drop("gen")
+        changed = newer.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
+        same = reduce(lambda x, y: x & y, (
+            base[k].eqNullSafe(F.col(f"_{k}")) if self.null_is_value else base[k] == F.col(f"_{k}") for k in self.keys
+        ))
+        kept = base.join(changed, same, "left_anti").drop("gen")
+        if self.merge != "last":  # the last write of a changed key is never in the compacted part
+            newer = newer.unionByName(base.join(changed, same, "left_semi"))
+        return kept.unionByName(self._merge(newer))
 
     def compact(self, spark: SparkSession) -> int | None:
         """Fold all committed batches into one folder; gives the last batch id covered."""
@@ -72,7 +93,7 @@ class KeyedTable:
         if not live or (len(live) == 1 and live[0] % 2 == 1):
             return None
         covered = live[-1] // 2
-        merged = self._merge(self._read(spark, live))
+        merged = self.latest(spark)
         target = self._dir(2 * covered + 1)
         if not self.partition_by:
             merged.write.mode("overwrite").parquet(target)
@@ -93,7 +114,7 @@ class KeyedTable:
 
     def _merge(self, rows: DataFrame) -> DataFrame:
         if self.merge == "sum":
-            return rows.groupBy(*self.keys).agg(F.sum("n").alias("n")).select(*self.columns())
+            return rows.groupBy(*self.keys).agg(F.sum("n").cast(self._fields()["n"].dataType).alias("n")).select(*self.columns())
         if self.merge == "first":
             return first_rows(rows.drop("gen"), self.keys, self.order)
         return latest_rows(rows, self.keys, ["gen", *self.order], self.null_is_value).drop("gen")
