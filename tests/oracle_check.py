@@ -60,7 +60,7 @@ if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     spark = local_session(8)
     con = oracle_connection(folder)
-    chosen = sys.argv[2:] or list(entry.queries())
+    chosen = sys.argv[2:] or list(entry.oracle_sql())
     bad = 0
     for name in chosen:
         started = time.time()

@@ -3,12 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tillpulse import operators as ops, plans
+from tillpulse.queries import all_queries
 from tillpulse.sources import tables as t
 
 FOLDER = "/root/testdata/sf0.001"
-BATCH = [n for n in entry.queries() if not n.startswith(("stream_", "upsert_"))]
+BATCH = [n for n in all_queries() if not n.startswith(("stream_", "upsert_"))]
 
 
 def physical(df):
@@ -21,7 +21,7 @@ def exchanges(df):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_python_no_cross_join_no_single_task_sort(spark, name):
-    plan = physical(entry.queries()[name](spark, FOLDER))
+    plan = physical(all_queries()[name](spark, FOLDER))
     for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin", "RowDataSourceScan"):
         assert word not in plan
     # Only aggregates of one row and pages may come together in one partition.
@@ -31,11 +31,11 @@ def test_no_python_no_cross_join_no_single_task_sort(spark, name):
 
 def test_filters_and_columns_reach_the_scan(spark, settings):
     settings(spark__sql__maxMetadataStringLength="10000")
-    plan = physical(entry.queries()["dau_hourly_compare"](spark, FOLDER))
+    plan = physical(all_queries()["dau_hourly_compare"](spark, FOLDER))
     assert "GreaterThanOrEqual(ts,2024-01-14T00:00)" in plan and "LessThan(ts,2024-01-16T00:00)" in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
     assert plan.count("FileScan") == 1
-    plan = physical(entry.queries()["order_amount_on_day"](spark, FOLDER))
+    plan = physical(all_queries()["order_amount_on_day"](spark, FOLDER))
     assert "GreaterThanOrEqual(o_orderdate,1998-06-14T00:00)" in plan
     assert "o_orderpriority" not in plan
 
@@ -97,3 +97,12 @@ def test_hot_key_is_split_in_joins(spark, settings, how):
         df, want = ops.exclude_seen(startups, seen), n // 3
     assert len(df.toPandas()) == want
     assert "skew=true" in physical(df)
+
+
+def test_searches_read_what_they_need_once(spark, settings):
+    settings(spark__sql__maxMetadataStringLength="10000")
+    document = physical(all_queries()["sale_search_document"](spark, FOLDER))
+    assert document.count("FileScan") <= 5
+    total = physical(all_queries()["sale_search_total"](spark, FOLDER))
+    assert "l_extendedprice" not in total and "l_quantity" not in total
+    assert "l_quantity" not in physical(all_queries()["sale_detail_enriched"](spark, FOLDER))

@@ -76,7 +76,9 @@ def test_pages(sales):
 
 
 def test_facets(sales):
-    assert rows(plans.gender_facet(sales).select("bucket", "count", "ratio"), "bucket") == [("F", 1, 20.0), ("M", 2, 40.0)]
+    assert rows(plans.gender_facet(sales).select("bucket", "count", "ratio"), "bucket") == [
+        ("F", 1, 20.0), ("M", 2, 40.0), ("unknown", 2, 40.0),
+    ]
     ages = {r.bucket: (r["count"], r.ratio) for r in plans.age_facet(sales).collect()}
     assert ages == {"<20": (2, 40.0), "20-29": (0, 0.0), ">=30": (1, 20.0), "unknown": (2, 40.0)}
     nothing = sales.where("false")
@@ -91,8 +93,9 @@ def test_document(sales):
     assert [d["order_detail_id"] for d in doc["detail"]] == ["d6"]
     assert doc["stat"] == [
         {"title": "用户年龄占比", "options": [
-            {"name": "20岁以下", "value": 50.0}, {"name": "20岁到30岁", "value": 0.0}, {"name": "30岁及以上", "value": 0.0}]},
-        {"title": "用户性别占比", "options": [{"name": "男", "value": 50.0}, {"name": "女", "value": 0.0}]},
+            {"name": "20岁以下", "value": 50.0}, {"name": "20岁到30岁", "value": 0.0}, {"name": "30岁及以上", "value": 0.0},
+            {"name": "未知", "value": 50.0}]},
+        {"title": "用户性别占比", "options": [{"name": "男", "value": 50.0}, {"name": "女", "value": 0.0}, {"name": "未知", "value": 50.0}]},
     ]
     empty = json.loads(plans.sale_search_document(sales, "2030-01-01").first()[0])
     assert empty["total"] == 0 and empty["detail"] == []

@@ -45,7 +45,8 @@ def route_cdc(
 ) -> DataFrame:
     """Row changes of the known tables as flat JSON records with text values, one per row.
 
-    Other entry types, event types and tables are dropped before the rows are unpacked.
+    Other entry types, event types and tables are dropped before the rows are unpacked. A column named
+    twice in a row keeps its last value.
     """
     topic: Column = F.lit(None).cast("string")
     for name, target in (table_topics or CDC_TOPICS).items():
@@ -57,5 +58,8 @@ def route_cdc(
         .where(wanted & F.col("topic").isNotNull())
         .select("topic", *kept, F.explode("rows").alias("row"))
     )
-    after = F.map_from_entries(F.col("row"))
+    def is_last(entry: Column, i: Column) -> Column:
+        return ~F.exists(F.slice("row", i + 2, F.size("row")), lambda other: other["name"] == entry["name"])
+
+    after = F.map_from_entries(F.filter("row", is_last))
     return rows.select("topic", F.to_json(after, {"ignoreNullFields": "false"}).alias("value"), *kept)

@@ -27,7 +27,10 @@ def sale_columns(order: str = "o", line: str = "d") -> list[Column]:
 
 
 def join_order_detail(orders: DataFrame, details: DataFrame) -> DataFrame:
-    """Every order line with its order. An order with very many lines is split at run time."""
+    """Every order line with its order. An order with very many lines is split at run time. Without
+    ``order_price`` in the lines the price is NULL."""
+    if "order_price" not in details.columns:
+        details = details.withColumn("order_price", F.lit(None).cast("string"))
     joined = orders.alias("o").join(details.alias("d"), F.col("o.id") == F.col("d.order_id"))
     return joined.select(*sale_columns())
 

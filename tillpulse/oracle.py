@@ -105,6 +105,8 @@ ORDER_HOURS = """select create_hour as hour, (date '1998-06-15' - create_date)::
 BUCKET = """case when user_age < 20 then '<20' when user_age < 30 then '20-29'
   when user_age >= 30 then '>=30' else 'unknown' end"""
 
+GENDER = "case when user_gender in ('F', 'M') then user_gender else 'unknown' end"
+
 
 def _facet(name: str, key: str, buckets: list[str]) -> str:
     values = ", ".join(f"('{b}')" for b in buckets)
@@ -168,7 +170,7 @@ from order_info group by create_date, create_hour""",
 from order_info where create_date = date '1998-06-15'""",
     "order_hourly_compare": f"with {ORDER} {_compare(ORDER_HOURS)}",
     "order_hour_map": f"""with {ORDER}, h as (
-  select create_hour, round(sum(total_amount))::bigint as amount from order_info group by create_hour)
+  select create_hour, (sum(total_amount) * 100)::bigint as amount from order_info group by create_hour)
 select '{{' || string_agg('"' || create_hour || '":' || amount::varchar, ',' order by create_hour) || '}}' as by_hour
 from h""",
     "sales_by_province": f"""with {ORDER}, p as (
@@ -191,18 +193,20 @@ from orders qualify row_number() over (partition by o_custkey order by o_orderda
     "sale_keyword_hits": f"with {SALE} select order_detail_id, sku_name, dt from hits",
     "sale_search_total": f"with {SALE} select count(*) as total from hits",
     "sale_search_page": f"with {SALE} select {SALE_COLUMNS} from hits order by order_detail_id limit 10 offset 10",
-    "sale_gender_facet": f"with {SALE} {_facet('gender', 'user_gender', ['F', 'M'])}",
+    "sale_gender_facet": f"with {SALE} {_facet('gender', GENDER, ['F', 'M', 'unknown'])}",
     "sale_age_facet": f"with {SALE} {_facet('age', BUCKET, ['<20', '20-29', '>=30', 'unknown'])}",
     "sale_gender_terms": f"""with {SALE} select user_gender, count(*) as n from sale where user_gender is not null
-group by user_gender order by n desc, user_gender limit 2""",
+group by user_gender order by n desc, user_gender""",
     "sale_age_terms": f"""with {SALE} select user_age::int as user_age, count(*) as n from sale where user_age is not null
-group by user_age order by n desc, user_age limit 100""",
+group by user_age order by n desc, user_age""",
     "sale_search_document": f"""with {SALE}, day_hits as (select * from sale where dt = date '1998-06-15'),
 page as (select order_detail_id from day_hits order by order_detail_id limit 10)
 select count(*) as total,
   (count(*) filter (user_age < 20) * 1000 // nullif(count(*), 0)) / 10.0 as under_20,
   (count(*) filter (user_age >= 20 and user_age < 30) * 1000 // nullif(count(*), 0)) / 10.0 as from_20_to_29,
   (count(*) filter (user_age >= 30) * 1000 // nullif(count(*), 0)) / 10.0 as over_29,
+  (count(*) filter (user_age is null) * 1000 // nullif(count(*), 0)) / 10.0 as age_unknown,
+  (count(*) filter (user_gender is null) * 1000 // nullif(count(*), 0)) / 10.0 as gender_unknown,
   {GENDER_RATIO.format(g="M")} as male, {GENDER_RATIO.format(g="F")} as female,
   (select coalesce(string_agg(order_detail_id, ',' order by order_detail_id), '') from page) as detail_ids
 from day_hits""",
@@ -212,12 +216,17 @@ from event_log group by all""",
     "coupon_alerts": f"with {windows_sql()} select {ALERT_COLUMNS} from alert",
     "coupon_alerts_per_minute": f"""with {windows_sql()}
 select mid || '_' || (window_end_s // 60)::varchar as alert_id, {ALERT_COLUMNS} from last_alert""",
-    "coupon_alerts_three_users": f"with {windows_sql(600, 60)} select {ALERT_COLUMNS} from alert where n_uids >= 3",
+    "coupon_alerts_three_users": f"with {windows_sql(7200, 600)} select {ALERT_COLUMNS} from alert where n_uids >= 3",
     "alert_documents": f"""with {windows_sql()}
 select mid || '_' || (window_end_s // 60)::varchar as alert_id, mid, uids, item_ids, event_list as events,
   window_end_s * 1000 as ts from last_alert""",
     "stamp_ingest": """select event_id, case when event_type = 'signup' then 'startup' else 'event' end as type,
-  'mid_' || (user_id % 20)::varchar as mid, (epoch_us(ts) // 1000) as ts from events""",
+  'mid_' || (user_id % 20)::varchar as mid, user_id::varchar as uid,
+  case when user_id % 10 < 3 then 'ios' else 'android' end as os, 'area_' || (user_id % 10)::varchar as area,
+  case event_type when 'purchase' then 'coupon' when 'click' then 'clickItem' when 'view' then 'addCart'
+                  when 'signup' then null else 'addComment' end as evid,
+  case when event_type <> 'signup' then (event_id % 50)::double end as itemid,
+  (epoch_us(ts) // 1000) as ts from events""",
     "route_logs": """select case when event_type = 'signup' then 'startup_log' else 'event_log' end as topic, event_id
 from events""",
     "route_cdc": CHANGES,

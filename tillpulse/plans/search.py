@@ -7,18 +7,18 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillpulse.functions.scalars import AGE_BUCKETS, UNKNOWN, age_bucket, match_all_terms, on_date, trunc_pct
+from tillpulse.session import written
 
 Day = str | dt.date
 
-# Day searched when none is given, size of a page, largest number of term buckets.
+# Day searched when none is given, size of a page.
 DEFAULT_DATE = "2019-03-04"
 PAGE_SIZE = 10
-GENDER_TERMS, AGE_TERMS = 2, 100
 
 # Facet titles and labels of the result document.
 AGE_TITLE, GENDER_TITLE = "用户年龄占比", "用户性别占比"
-AGE_LABELS = {"<20": "20岁以下", "20-29": "20岁到30岁", ">=30": "30岁及以上"}
-GENDER_LABELS = {"M": "男", "F": "女"}
+AGE_LABELS = {"<20": "20岁以下", "20-29": "20岁到30岁", ">=30": "30岁及以上", UNKNOWN: "未知"}
+GENDER_LABELS = {"M": "男", "F": "女", UNKNOWN: "未知"}
 
 
 def sale_search(sales: DataFrame, date: Day | None = DEFAULT_DATE, keyword: str = "") -> DataFrame:
@@ -33,25 +33,28 @@ def total_hits(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("total"))
 
 
-def _terms(hits: DataFrame, column: str, size: int) -> DataFrame:
+def _terms(hits: DataFrame, column: str, size: int | None) -> DataFrame:
     counts = hits.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), column).limit(size)
+    ranked = counts.orderBy(F.desc("n"), column)
+    return ranked if size is None else ranked.limit(size)
 
 
-def gender_terms(hits: DataFrame, size: int = GENDER_TERMS) -> DataFrame:
-    """The most frequent genders; hits without one are not counted."""
+def gender_terms(hits: DataFrame, size: int | None = None) -> DataFrame:
+    """Genders by frequency, all or the ``size`` most frequent; hits without one are not counted."""
     return _terms(hits, "user_gender", size)
 
 
-def age_terms(hits: DataFrame, size: int = AGE_TERMS) -> DataFrame:
-    """The most frequent ages in years."""
+def age_terms(hits: DataFrame, size: int | None = None) -> DataFrame:
+    """Ages in years by frequency, all or the ``size`` most frequent."""
     return _terms(hits, "user_age", size)
 
 
 def _profile(hits: DataFrame) -> DataFrame:
     """Hit counts by gender and age group: one partial aggregate, a handful of rows, from which
     total and both facets follow."""
-    return hits.groupBy("user_gender", age_bucket(F.col("user_age")).alias("age_group")).agg(
+    known = F.col("user_gender").isin(*[g for g in GENDER_LABELS if g != UNKNOWN])
+    gender = F.when(known, F.col("user_gender")).otherwise(UNKNOWN).alias("user_gender")
+    return hits.groupBy(gender, age_bucket(F.col("user_age")).alias("age_group")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -78,7 +81,7 @@ def _age_tests() -> dict[str, Column]:
 
 
 def _gender_tests() -> dict[str, Column]:
-    return {g: F.col("user_gender") == g for g in ("F", "M")}
+    return {g: F.col("user_gender") == g for g in sorted(GENDER_LABELS)}
 
 
 def age_facet(hits: DataFrame) -> DataFrame:
@@ -108,10 +111,10 @@ def sale_search_document(
 ) -> DataFrame:
     """Total, facets and one page as a single JSON document.
 
-    Two passes over the hits: the counts and the page. What reaches the last task is a handful of
-    counts and the rows of the page.
+    The hits are worked out once and written to the shared folder; counts and page are two passes over
+    those. What reaches the last task is a handful of counts and the rows of the page.
     """
-    hits = sale_search(sales, date, keyword)
+    hits = written(sale_search(sales, date, keyword), "search-hits")
     profile = _profile(hits).select(
         F.struct("user_gender", "age_group", "n").alias("counts"), F.lit(None).cast(hits.schema).alias("hit")
     )

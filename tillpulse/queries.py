@@ -51,16 +51,18 @@ def _orders(spark: SparkSession, sf_dir: str, since: str | None = None, until: s
     return t.order_info(t.table(spark, sf_dir, "orders"), t.table(spark, sf_dir, "customer"), since, until)
 
 
-def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.order_detail(t.table(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"))
+def _details(spark: SparkSession, sf_dir: str, values: tuple[str, ...] = ("order_price", "sku_num")) -> DataFrame:
+    return t.order_detail(t.table(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"), values)
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.user_info(t.table(spark, sf_dir, "customer"))
 
 
-def _sales(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
-    sales = ops.join_order_detail(_orders(spark, sf_dir, day, day), _details(spark, sf_dir))
+def _sales(
+    spark: SparkSession, sf_dir: str, day: str | None = None, values: tuple[str, ...] = ("order_price",)
+) -> DataFrame:
+    sales = ops.join_order_detail(_orders(spark, sf_dir, day, day), _details(spark, sf_dir, values))
     return ops.enrich_user(sales, _users(spark, sf_dir), AS_OF)
 
 
@@ -161,9 +163,9 @@ def order_hourly_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def order_hour_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by hour of the day over all days, as one map; shown as text."""
-    by_hour = ops.order_amount_by_hour(_orders(spark, sf_dir)).groupBy("create_hour")
-    total = by_hour.agg(F.round(F.sum("amount")).cast("bigint").alias("amount"))
+    """Revenue in cents by hour of the day over all days, as one map; shown as text."""
+    by_hour = _orders(spark, sf_dir).groupBy("create_hour")
+    total = by_hour.agg((F.sum("total_amount") * 100).cast("bigint").alias("amount"))
     as_map = plans.as_hour_map(total, "amount", "create_hour")
     return as_map.select(F.to_json("by_hour").alias("by_hour"))
 
@@ -198,7 +200,7 @@ def kpi_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sale_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.join_order_detail(_orders(spark, sf_dir), _details(spark, sf_dir))
+    return ops.join_order_detail(_orders(spark, sf_dir), _details(spark, sf_dir, ("order_price",)))
 
 
 @query
@@ -226,12 +228,12 @@ def latest_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sale_keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.sale_search(_sales(spark, sf_dir), None, KEYWORD).select("order_detail_id", "sku_name", "dt")
+    return plans.sale_search(_sales(spark, sf_dir, values=()), None, KEYWORD).select("order_detail_id", "sku_name", "dt")
 
 
 @query
 def sale_search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.total_hits(plans.sale_search(_sales(spark, sf_dir), None, KEYWORD))
+    return plans.total_hits(plans.sale_search(_sales(spark, sf_dir, values=()), None, KEYWORD))
 
 
 @query
@@ -242,22 +244,22 @@ def sale_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sale_gender_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.gender_facet(plans.sale_search(_sales(spark, sf_dir), None, KEYWORD))
+    return plans.gender_facet(plans.sale_search(_sales(spark, sf_dir, values=()), None, KEYWORD))
 
 
 @query
 def sale_age_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.age_facet(plans.sale_search(_sales(spark, sf_dir), None, KEYWORD))
+    return plans.age_facet(plans.sale_search(_sales(spark, sf_dir, values=()), None, KEYWORD))
 
 
 @query
 def sale_gender_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.gender_terms(_sales(spark, sf_dir))
+    return plans.gender_terms(_sales(spark, sf_dir, values=()))
 
 
 @query
 def sale_age_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.age_terms(_sales(spark, sf_dir))
+    return plans.age_terms(_sales(spark, sf_dir, values=()))
 
 
 @query
@@ -274,6 +276,8 @@ def sale_search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("d.stat")[0]["options"][0]["value"].alias("under_20"),
         F.col("d.stat")[0]["options"][1]["value"].alias("from_20_to_29"),
         F.col("d.stat")[0]["options"][2]["value"].alias("over_29"),
+        F.col("d.stat")[0]["options"][3]["value"].alias("age_unknown"),
+        F.col("d.stat")[1]["options"][2]["value"].alias("gender_unknown"),
         F.col("d.stat")[1]["options"][0]["value"].alias("male"),
         F.col("d.stat")[1]["options"][1]["value"].alias("female"),
         F.array_join(F.col("d.detail.order_detail_id"), ",").alias("detail_ids"),
@@ -312,8 +316,8 @@ def coupon_alerts_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def coupon_alerts_three_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-minute windows sliding by a minute, with at least three coupon users."""
-    return _alert_text(ops.coupon_alerts(_events(spark, sf_dir), size=600, slide=60, min_uids=3))
+    """Two-hour windows sliding by ten minutes, with at least three coupon users."""
+    return _alert_text(ops.coupon_alerts(_events(spark, sf_dir), size=7200, slide=600, min_uids=3))
 
 
 @query
@@ -349,8 +353,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stamp_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamped = ops.stamp_ingest(log_lines(spark, sf_dir), F.unix_millis("arrival_ts"))
-    r = F.from_json("value", "event_id bigint, type string, mid string, ts bigint")
-    return stamped.select(r.alias("r")).select("r.*")
+    fields = "event_id bigint, type string, mid string, uid string, os string, area string, evid string, itemid bigint, ts bigint"
+    r = stamped.select(F.from_json("value", fields).alias("r")).select("r.*")
+    return r.withColumn("itemid", F.col("itemid").cast("double"))
 
 
 @query

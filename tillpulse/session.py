@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Days and hours are cut in UTC. Joins may meet one key that holds a large share
 # of the rows (a device, an order, a user): adaptive execution then splits that
@@ -15,8 +15,6 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A column named twice in a change record keeps its last value.
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 # Streaming state lives off-heap and on disk, so that it may outgrow executor heaps.
@@ -54,3 +52,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, below ``spark.checkpoint.dir`` or else below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tillpulse/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to a fresh shared folder and read back: computed once, whatever reads it, and safe from lost executors."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -98,16 +98,22 @@ def user_info(customer: DataFrame) -> DataFrame:
     )
 
 
-def order_detail(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+def order_detail(lineitem: DataFrame, part: DataFrame, values: tuple[str, ...] = ("order_price", "sku_num")) -> DataFrame:
     """Order lines. A line number that occurs again replaces the earlier line (last write wins);
-    the repeats collapse in a partial aggregate before the shuffle and before the product join."""
-    last = F.max(F.struct("l_shipdate", "l_partkey", "l_extendedprice", "l_quantity")).alias("line")
+    the repeats collapse in a partial aggregate before the shuffle and before the product join.
+
+    ``values``: which of the two figures are wanted. Nothing can be pruned through the aggregate, so the
+    others are not put in.
+    """
+    figures = {
+        "order_price": ("l_extendedprice", to_money(F.col("l_extendedprice"))), "sku_num": ("l_quantity", F.col("l_quantity")),
+    }
+    last = F.max(F.struct("l_shipdate", "l_partkey", *[figures[v][0] for v in values])).alias("line")
     lines = lineitem.groupBy("l_orderkey", "l_linenumber").agg(last).select("l_orderkey", "l_linenumber", "line.*")
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("l_partkey").cast("string").alias("sku_id"),
         F.col("p_name").alias("sku_name"),
-        to_money(F.col("l_extendedprice")).alias("order_price"),
-        F.col("l_quantity").alias("sku_num"),
+        *[figures[v][1].alias(v) for v in values],
     )
