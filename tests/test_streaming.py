@@ -116,13 +116,14 @@ def user(user_id, when, level, birthday="2000-01-01"):
 def test_sale_job(spark, topics, tmp_path):
     people = streaming.user_table(str(tmp_path / "users"))
     sales = streaming.sale_table(str(tmp_path / "sales"))
+    alone = streaming.unmatched_table(str(tmp_path / "alone"))
 
     def go():
         run(streaming.sale_job(
             sources.accepted(sources.parse_order(topics.read("o"))),
             sources.accepted(sources.parse_order_detail(topics.read("d"))),
             sources.accepted(sources.parse_user(topics.read("u"))),
-            people, sales, str(tmp_path / "cp"), dt.date(2024, 1, 1),
+            people, sales, str(tmp_path / "cp"), dt.date(2024, 1, 1), unmatched_table=alone,
         ))
 
     # Lines 5 and 20 minutes before their order, an order without lines so far, a user of the same batch.
@@ -148,6 +149,13 @@ def test_sale_job(spark, topics, tmp_path):
         ("two", "o1", "u1", "3", day),
         ("x", "o3", "nobody", None, day),
     ]
+    # Later arrivals tell that no order can come any more: one line was too early, one has no order.
+    for days in (2, 4):
+        topics.send("d", line(f"far{days}", f"f{days}", at(days=days)))
+        topics.send("o", order(f"f{days}", at(days=days)))
+        go()
+    assert rows(alone.latest(spark).select("order_detail_id", "order_id"), "order_detail_id") == [("alone", "o9"), ("l20", "o1")]
+    assert sales.latest(spark).count() == 7
 
 
 def event(mid, evid, when, uid="u", item=1):

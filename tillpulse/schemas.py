@@ -48,6 +48,9 @@ SALE_TABLE = (
     "sku_id string, user_gender string, user_age int, user_level string, sku_price double, sku_name string, dt date, "
     "arrival_ts timestamp, order_arrival_ts timestamp"
 )
+UNMATCHED_TABLE = (
+    "order_detail_id string, order_id string, sku_id string, sku_name string, sku_price double, arrival_ts timestamp"
+)
 PANE_TABLE = "mid string, pane bigint, evid string, uid string, itemid string, n bigint, day date"
 ALERT_TABLE = (
     "mid string, window_end timestamp, uids array<string>, item_ids array<string>, "

@@ -15,6 +15,7 @@ from tillpulse.streaming.tables import (
     order_table,
     pane_table,
     sale_table,
+    unmatched_table,
     user_table,
 )
 from tillpulse.streaming.transforms import (
@@ -27,5 +28,5 @@ from tillpulse.streaming.transforms import (
 __all__ = [
     "alert_job", "alert_table", "change_job", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
     "first_startup_stream", "ingest_job", "join_order_detail_stream", "minute_table", "order_job", "order_table", "pane_table",
-    "reject_job", "sale_job", "sale_table", "start", "user_table",
+    "reject_job", "sale_job", "sale_table", "start", "unmatched_table", "user_table",
 ]

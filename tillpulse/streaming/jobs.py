@@ -175,13 +175,17 @@ def sale_job(
     as_of: Column | str | dt.date,
     early: str = "10 minutes",
     horizon: str = "1 day",
+    lateness: str = "10 minutes",
+    salts: int = 4,
+    unmatched_table: KeyedTable | None = None,
 ) -> DataStreamWriter:
-    """Orders, order lines and user changes into the sale table.
+    """Orders, order lines and user changes into the sale table; lines whose order does not come in time into
+    another, if one is given.
 
     One query for all three, so that users of a batch are stored before the sales of the same batch
     look them up.
     """
-    sales = join_order_detail_stream(orders, details, early, horizon)
+    sales = join_order_detail_stream(orders, details, early, horizon, lateness, salts, unmatched_table is not None)
     people = users.select(*user_table.columns())
     both = sales.select(
         F.struct(*sales.columns).alias("sale"), F.lit(None).cast(people.schema).alias("user")
@@ -191,7 +195,11 @@ def sale_job(
         batch.persist()
         try:
             user_table.upsert(batch.where(F.col("user").isNotNull()).select("user.*"), batch_id, source)
-            fresh = batch.where(F.col("sale").isNotNull()).select("sale.*")
+            found = batch.where(F.col("sale").isNotNull()).select("sale.*")
+            if unmatched_table:
+                alone = found.where(F.col("order_id").isNull()).drop("order_id").withColumnRenamed("line_order_id", "order_id")
+                unmatched_table.upsert(alone, batch_id, source)
+            fresh = found.where(F.col("order_id").isNotNull())
             known = user_table.lookup(batch.sparkSession, fresh.select(F.col("user_id").alias("id")))
             sale_table.upsert(enrich_user(fresh, known, as_of), batch_id, source)
         finally:

@@ -33,6 +33,11 @@ def sale_table(path: str) -> KeyedTable:
     return KeyedTable(path, schemas.SALE_TABLE, ["dt", "order_detail_id"], order, partition_by=["dt"])
 
 
+def unmatched_table(path: str) -> KeyedTable:
+    """Order lines whose order did not come in time."""
+    return KeyedTable(path, schemas.UNMATCHED_TABLE, ["order_detail_id"], ["arrival_ts"])
+
+
 def pane_table(path: str) -> KeyedTable:
     """Event counts: every batch adds its own."""
     keys = ["day", "mid", "pane", "evid", "uid", "itemid"]

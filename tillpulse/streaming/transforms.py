@@ -73,9 +73,13 @@ def join_order_detail_stream(
     horizon: str = "1 day",
     lateness: str = "10 minutes",
     salts: int = 4,
+    unmatched: bool = False,
 ) -> DataFrame:
     """Every order line with its order, whichever arrives first (append mode).
 
+    With ``unmatched`` also the lines for which no order came within the bounds, once the watermark has passed them:
+    ``order_id`` is NULL there. ``line_order_id`` is the order that the line names.
+
     A line may arrive up to ``early`` before its order and up to ``horizon`` after it. Both bounds are
     on arrival time, because lines carry no time of their own; together with the watermarks they tell
     the join when state can go. Stateful joins are not re-planned at run time, so the lines of an order
@@ -94,4 +98,7 @@ def join_order_detail_stream(
     arrival = [
         F.greatest("o.arrival_ts", "d.arrival_ts").alias("arrival_ts"), F.col("o.arrival_ts").alias("order_arrival_ts")
     ]
-    return o.join(d, within).select(*sale_columns(), *arrival)
+    if not unmatched:
+        return o.join(d, within).select(*sale_columns(), *arrival)
+    named = F.col("d.order_id").alias("line_order_id")
+    return d.join(o, within, "left_outer").select(*sale_columns(), *arrival, named)
