@@ -254,7 +254,9 @@ select '{{"ts":"1","mid":"' || mid || '","event_id":"' || event_id::varchar || '
     # Streaming jobs replayed to the end must give what the batch form gives.
     "stream_first_startup": f"with {FIRST} select mid, uid, os, area, ts, log_date, log_hour from first_log",
     "stream_first_seen": f"with {STARTUP} select distinct log_date, mid from startup_log",
-    "stream_log_archive": f"""select ts::date as dt, count(*) as n_lines from events group by 1""",
+    "stream_log_archive": """select ts::date as dt, event_id,
+  case when event_type = 'signup' then 'startup' else 'event' end as type, 'mid_' || (user_id % 20)::varchar as mid,
+  (epoch_us(ts) // 1000) as ts from events""",
     "stream_topics": """select case when event_type = 'signup' then 'startup_log' else 'event_log' end as topic,
   event_id, (epoch_us(ts) // 1000) as ts from events""",
     "stream_orders": f"""with {ORDER} select id, province_id,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillpulse import queries as q, sources, streaming
+from tillpulse.operators import stamp_ingest
 from tillpulse.queries import query
 from tillpulse.session import shared_dir
 from tillpulse.sinks import archive_logs
@@ -105,9 +106,12 @@ def stream_log_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "archive")
     for part in _raw_slices(spark, sf_dir):
         _publish(part, "raw", f"{work}/topics")
-        _run(spark, lambda: archive_logs(_source(spark, "raw", f"{work}/topics"), f"{work}/archive", f"{work}/checkpoint"))
+        _run(spark, lambda: archive_logs(
+            stamp_ingest(_source(spark, "raw", f"{work}/topics"), F.unix_millis("arrival_ts")), f"{work}/archive", f"{work}/checkpoint"
+        ))
     lines = spark.read.text(f"{work}/archive")
-    return lines.groupBy(F.to_date("dt").alias("dt")).agg(F.count(F.lit(1)).alias("n_lines"))
+    r = F.from_json("value", "event_id bigint, type string, mid string, ts bigint")
+    return lines.select(F.to_date("dt").alias("dt"), r.alias("r")).select("dt", "r.*")
 
 
 @query
