@@ -133,6 +133,12 @@ def brute_units(docs, least):
     for d, own in units.items():
         later = {i for i, u in enumerate(own) if first[u[:2]] != (d, i)}
         gone = {i for i in later if own[i][4] >= least}
+        for i in later:
+            for j in range(i, len(own)):
+                if j not in later:
+                    break
+                if sum(own[k][4] for k in range(i, j + 1)) >= 2 * least:
+                    gone |= set(range(i, j + 1))
         while more := {i for i in later - gone if i - 1 in gone or i + 1 in gone}:
             gone |= more
         out[d] = [own[i][2:4] for i in sorted(gone)]

@@ -1,8 +1,8 @@
 """Substring deduplication by hashing units of text: lines, and the sentences inside a line.
 
 Units are normalised (lower case, no ASCII punctuation, single spaces) and digested. Digests are grouped over the whole
-corpus; the occurrence with the lowest rank (doc_id, then offset) stays, every other one of ``least_words`` words or more
-goes, together with shorter repeated units that touch it. Spans are in code points of the original text, so the text that
+corpus; the occurrence with the lowest rank (doc_id, then offset) stays. Every other one of ``least_words`` words or more
+goes, and so do runs of shorter ones that touch it or that have twice as many words together. Spans are in code points of the original text, so the text that
 stays can be traced back.
 
 Hashing sentences, not only lines, finds passages that were set into the middle of a line. Digests have 128 bits: at 10^12
@@ -46,13 +46,18 @@ def text_units(text: str) -> list[Unit]:
 
 
 def removed_units(words: list[int], later: dict[int, int | None], least_words: int) -> list[int]:
-    """Positions to remove. ``later``: the units that have an earlier occurrence."""
-    gone = {i for i in later if words[i] >= least_words}
-    for step in (1, -1):
-        for i in sorted(gone, reverse=step < 0):
-            while (i := i + step) in later and i not in gone:
-                gone.add(i)
-    return sorted(gone)
+    """Positions to remove. ``later``: the units that have an earlier occurrence. Of each run of such units without a gap all
+    go if one has ``least_words`` words or all together have twice as many."""
+    gone: list[int] = []
+    run: list[int] = []
+    for i in [*sorted(later), None]:
+        if run and i != run[-1] + 1:
+            if max(words[j] for j in run) >= least_words or sum(words[j] for j in run) >= 2 * least_words:
+                gone += run
+            run = []
+        if i is not None:
+            run.append(i)
+    return gone
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
