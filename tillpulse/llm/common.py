@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import pathlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpulse.session import shared_dir
+from tillpulse.session import written as stored
 
 
+SLICE_ROWS = 512
+
 # For bytes.translate: A-Z to lower case, other ASCII that is no letter or digit to a space.
 PLAIN = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -32,14 +33,6 @@ def row_identity(docs: DataFrame) -> list:
     ]
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to a fresh shared folder and read back: later stages do not compute it again, and lost executors
-    cannot lose it."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` by workers that find this package also when only the driver's path has it (one machine); on a
     cluster it comes with ``--py-files``."""
@@ -48,8 +41,11 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
     known = environment.get("PYTHONPATH", "").split(":")
     if root not in known:
         environment["PYTHONPATH"] = ":".join(filter(None, [root, *known]))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: function(_slices(batches)), schema)
 
 
-def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def _slices(batches):
+    """The same rows in smaller batches: Python objects are made for a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
