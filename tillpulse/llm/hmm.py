@@ -5,7 +5,7 @@ P(text) = sum over state paths of the product of transitions, P(class | state) a
 function of the word (its ending and length), so the table of P(class | state) has a fixed size, while P(word | class)
 comes from the corpus counts of all words, however many there are.
 
-Texts are encoded once, in blocks of about a million tokens with a dictionary each. Word counts are summed over the blocks'
+Texts are encoded once, in blocks of about five million tokens with a dictionary each. Word counts are summed over the blocks'
 dictionaries and joined back to them, so a word travels once per block and not once per occurrence; the counts are
 written before that join, so that the adaptive join can split a word that every block has. Baum-Welch runs over the blocks:
 every task adds up expected counts, Spark sums them per class, and the driver gets one row per class. Training cuts
@@ -36,7 +36,9 @@ END = b""
 CLASSES = 16384
 STATES = 8
 ITERATIONS = 4
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 5_000_000
+# Tokens of whole documents that a task works on at a time.
+PART_TOKENS = 500_000
 STRETCH = 256
 # Pseudo-counts: of a word within its class, of a class within a state, of a transition.
 WORD_PRIOR, CLASS_PRIOR, MOVE_PRIOR = 0.5, 0.01, 1.0
@@ -201,8 +203,27 @@ def _stretches(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack_numbers(row["tokens"]), np.array(row["classes"], np.int32), np.array(row["lengths"], np.int64)
+def _blocks(batches):
+    """Rows one by one, as functions that give a column's value; lists as arrays."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            def value(name, arrow=False, batch=batch, i=i):
+                cell = batch.column(name).slice(i, 1)
+                if not pa.types.is_list(cell.type):
+                    return cell[0].as_py()
+                return cell.flatten() if arrow else cell.flatten().to_numpy(zero_copy_only=False)
+
+            yield value
+
+
+def _parts(lengths: np.ndarray):
+    """(documents, tokens) as slices of about ``PART_TOKENS`` tokens, in order."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    at = 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_TOKENS, side="right")) - 1)
+        yield slice(at, to), slice(int(ends[at]), int(ends[to]))
+        at = to
 
 
 def baum_welch_step(blocks: DataFrame, model: Model) -> tuple[Model, float]:
@@ -212,14 +233,13 @@ def baum_welch_step(blocks: DataFrame, model: Model) -> tuple[Model, float]:
 
     def count(batches):
         start, moves, emitted, logs = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, classes, lengths = _block_arrays(row)
-                train = ~np.array(row["held_out"], bool)
-                if train.any():
-                    tokens = tokens[np.repeat(train, lengths)]
-                    found = expected_counts(model, classes[tokens], _stretches(lengths[train]))
-                    start, moves, emitted, logs = start + found[0], moves + found[1], emitted + found[2], logs + found[3]
+        for row in _blocks(batches):
+            lengths, train = row("lengths").astype(np.int64), ~row("held_out").astype(bool)
+            tokens = unpack_numbers(row("tokens"))[np.repeat(train, lengths)]
+            classes, lengths = row("classes"), lengths[train]
+            for docs, part in _parts(lengths):
+                found = expected_counts(model, classes[tokens[part]], _stretches(lengths[docs]))
+                start, moves, emitted, logs = start + found[0], moves + found[1], emitted + found[2], logs + found[3]
         used = np.flatnonzero(emitted.sum(axis=1))
         kinds = np.concatenate([used, [-1], -2 - np.arange(k), [-2 - k]])
         values = np.concatenate([emitted[used], start[None], moves, np.full((1, k), logs)])
@@ -262,20 +282,21 @@ def hidden_markov_scores(docs: DataFrame, states: int = STATES, iterations: int
 
     def score(batches):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, classes, lengths = _block_arrays(row)
-                counts = np.zeros(len(classes))
-                counts[np.array(row["known_places"] or [], np.int64)] = row["known_counts"] or []
-                base = np.log10((counts + 1) / (train_tokens + train_words + 1))
-                inside = np.log10((counts + WORD_PRIOR) / (class_tokens + WORD_PRIOR * (class_words + 1))[classes])
-                begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                total = log_likelihoods(model, classes[tokens], lengths) + np.add.reduceat(inside[tokens], begins)
+        for row in _blocks(batches):
+            tokens, classes, lengths = unpack_numbers(row("tokens")), row("classes"), row("lengths").astype(np.int64)
+            counts = np.zeros(len(classes))
+            counts[row("known_places").astype(np.int64)] = row("known_counts")
+            base = np.log10((counts + 1) / (train_tokens + train_words + 1))
+            inside = np.log10((counts + WORD_PRIOR) / (class_tokens + WORD_PRIOR * (class_words + 1))[classes])
+            for docs, part in _parts(lengths):
+                own, n = tokens[part], lengths[docs]
+                begins = np.concatenate([[0], np.cumsum(n)[:-1]])
+                total = log_likelihoods(model, classes[own], n) + np.add.reduceat(inside[own], begins)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"]), pa.array(lengths),
-                    pa.array(np.add.reduceat((counts > 0).astype(np.int64)[tokens], begins)),
-                    pa.array(np.full(len(lengths), train_tokens, np.int64)),
-                    pa.array(np.add.reduceat(base[tokens], begins)), pa.array(total),
+                    row("doc_ids", arrow=True)[docs], pa.array(row("held_out")[docs].astype(bool)), pa.array(n),
+                    pa.array(np.add.reduceat((counts > 0).astype(np.int64)[own], begins)),
+                    pa.array(np.full(len(n), train_tokens, np.int64)),
+                    pa.array(np.add.reduceat(base[own], begins)), pa.array(total),
                 ], names)
 
     wanted = blocks.select("block", "doc_ids", "held_out", "lengths", "tokens", "classes").join(known, "block", "left")
