@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tillpulse.llm import decontaminate, lines, simhash
 from tillpulse.llm.components import components
 
@@ -122,6 +123,30 @@ def test_one_of_equal_rows_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 3, 5]
 
 
+def test_near_dedup_stage_equals_all_pairs(spark):
+    """Five-word shingles with a similarity of 0.8 or more, linked through others too."""
+    pick = random.Random(10)
+    docs = [(1000, None), (1001, ""), (1002, "one two"), (1003, "One  two")]
+    for c in range(25):
+        words = words_of(pick, pick.choice([12, 60, 200, 900]))
+        for _ in range(8):
+            words = list(words)  # each an edit of the one before, so that the first and the last differ much
+            for _ in range(pick.randint(0, max(1, len(words) // 50))):
+                words[pick.randrange(len(words))] = "changed" + str(pick.random())
+            docs.append((len(docs), " ".join(words)))
+    pick.shuffle(docs)
+
+    def parts(text):
+        words = (text or "").lower().split()
+        return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = {d: parts(t) for d, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    expected = set(roots_of(sets, links).values())
+    kept = corpus_pipeline.near_dedup(spark, as_docs(spark, docs), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(expected) and 10 < len(expected) < len(docs) / 2
+
+
 def brute_units(docs, least):
     """doc_id -> removed (start, end), for different doc_ids."""
     units = {d: lines.text_units(t or "") for d, t in docs}

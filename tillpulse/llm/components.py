@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpulse.llm.common import stored
+from tillpulse.llm.common import row_identity, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -45,3 +45,18 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def one_row_of_each(docs: DataFrame, marked: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` per ``root``, that with the smallest ``first``. ``marked`` has the row identity of all rows,
+    ``rooted`` (first, root) the smallest row identity of each node."""
+    row = ["row_id", "row_digest"]
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    dropped = stored(marked.select(*row).distinct().join(kept, row, "left_anti"), "dropped-documents")
+    row_id, row_digest = row_identity(docs)
+    left = docs.join(dropped, (row_id == dropped["row_id"]) & (row_digest == dropped["row_digest"]), "left_anti")
+    repeated = marked.groupBy(*row).count().where("count > 1").limit(1).count()
+    if not repeated:
+        return left
+    keyed = left.select(F.struct(*left.columns).alias("_whole"), *row_identity(left))
+    return keyed.dropDuplicates(row).select("_whole.*")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpulse.llm.common import keyed_text, map_batches, row_identity, stored
-from tillpulse.llm.components import components
+from tillpulse.llm.components import components, one_row_of_each
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
@@ -123,12 +123,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     row = ["row_id", "row_digest"]
     marked = stored(fingerprints(docs.select(*row_identity(docs), "text")), "fingerprints")
     nodes = stored(marked.groupBy("fingerprint").agg(F.min(F.struct(*row)).alias("first")), "fingerprint-nodes")
-    kept = fingerprint_roots(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    dropped = stored(marked.select(*row).distinct().join(kept, row, "left_anti"), "dropped-documents")
-    row_id, row_digest = row_identity(docs)
-    left = docs.join(dropped, (row_id == dropped["row_id"]) & (row_digest == dropped["row_digest"]), "left_anti")
-    repeated = marked.groupBy(*row).count().where("count > 1").limit(1).count()
-    if not repeated:
-        return left
-    keyed = left.select(F.struct(*left.columns).alias("_whole"), *row_identity(left))
-    return keyed.dropDuplicates(row).select("_whole.*")
+    return one_row_of_each(docs, marked, fingerprint_roots(nodes))
