@@ -248,3 +248,29 @@ def test_decontamination_of_odd_documents(spark, odd, nothing):
     assert clean.schema == odd.schema and clean.count() == len(ODD) - 4
     assert decontaminate.decontamination_report(nothing, items).count() == 0
     assert decontaminate.clean_documents(odd, items.limit(0)).count() == len(ODD)
+
+
+def test_short_and_scattered_items_are_found(spark):
+    pick = random.Random(8)
+    items = [(i, " ".join(words_of(pick, pick.choice([5, 5, 6, 7, 25])))) for i in range(100)]
+    docs = []
+    for d, (_, text) in enumerate(items):
+        words = words_of(pick, 300)
+        # An item of 25 words lies in two pieces, far apart.
+        for at, part in ((250, text.split()[:14]), (20, text.split()[10:])):
+            words[at:at] = part if d % 2 or len(text.split()) == 25 else text.split()
+        docs.append((d, " ".join(words)))
+    docs.append((None, items[0][1]))
+    expected = contained(docs, items)
+    found = {r["doc_id"]: r["items"] for r in decontaminate.decontamination_report(as_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == expected and sum(map(bool, expected.values())) > 80
+
+
+def test_items_without_an_id_of_their_own(spark):
+    pick = random.Random(9)
+    texts = [" ".join(words_of(pick, 12)) for _ in range(3)]
+    items = spark.createDataFrame([(None, texts[0]), (7, texts[1]), (7, texts[2])], "item_id long, text string")
+    docs = as_docs(spark, [(0, texts[0] + " end"), (1, texts[1]), (2, texts[2]), (3, texts[1][:20])])
+    report = {r["doc_id"]: (r["contaminated"], r["n_items"], r["items"], r["containment"]) for r in decontaminate.decontamination_report(docs, items).collect()}
+    assert report == {0: (True, 1, [], 1.0), 1: (True, 1, [7], 1.0), 2: (True, 1, [7], 1.0), 3: (False, 0, [], None)}
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect()] == [3]

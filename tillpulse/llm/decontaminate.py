@@ -1,20 +1,20 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination: exact shingle containment, candidates by a prefix filter over each item's shingles.
 
-An item is contained in a document if at least ``THRESHOLD`` of its distinct five-word shingles occur there. The Jaccard
-similarity of a short item and a long document is close to zero, so MinHash cannot compare them as wholes. Items are
-therefore partitioned by size (powers of two), and for each size class a document is seen as windows of twice that size
-that overlap by half: a passage of the class lies whole in one of them, with a similarity of 0.19 at least. Of 64 minima
-one or more then agree with the item's, except once in about 700,000 cases at the very threshold and 10^8 for a whole
-passage. Agreeing minima give candidates; for candidates the shared shingles themselves are joined and counted, over the
-whole document.
+An item is contained in a document if at least ``THRESHOLD`` of its distinct five-word shingles occur there, anywhere. Of an
+item with n shingles a document that contains it lacks at most n - ceil(THRESHOLD * n). So it has at least one of any
+n - ceil(THRESHOLD * n) + 1 of them: these few, the least by hash, are the item's keys. Documents that hold a key are the
+candidates; none is missed, whatever the item's size and wherever its shingles lie. For candidates the shared shingles
+themselves are joined and counted, over the whole document.
 
-Documents are read once. What leaves that pass is only what a bit map of the items' minima and shingles lets through; the
+Documents are read once. What leaves that pass is only what a bit map of the items' keys and shingles lets through; the
 map's size is bounded (``MAP_BITS``) and its errors are removed by the joins. Words are lower-cased runs without ASCII
 punctuation, so that marks around a passage do not hide it.
 
 Cases: null and empty texts contain nothing, empty items are contained in nothing; an item of fewer than five words is one
 shingle of all its words and found where a document has these words as one whole text of that length; items with the same
-words are one item, named by the smallest item_id; repeated rows give repeated results; without items nothing is found.
+words are one item, named by the smallest item_id; texts that share an item_id are items of their own; an item without id
+contaminates and counts like any other but has no id to be listed; repeated rows give repeated results; without items
+nothing is found.
 """
 
 from __future__ import annotations
@@ -31,12 +31,8 @@ from tillpulse.llm.common import PLAIN, map_batches, row_identity, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-MINIMA = 64
-LEAST_CLASS = 16
 # The bit maps take 64 bits an entry, between these bounds: at most 16 MB each.
 MAP_BITS = (1 << 20, 1 << 27)
-_MULTIPLIERS = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, MINIMA, dtype=np.uint64) | np.uint64(1)
-_SLICE = 1 << 13
 
 
 def shingles(text: str) -> tuple[bytes, list[int], list[int]]:
@@ -55,19 +51,10 @@ def _hashes(joined: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
     return np.array([digest(joined[a:b]) for a, b in zip(starts, ends)], np.uint64)
 
 
-def _minima(hashes: np.ndarray, block: int) -> np.ndarray:
-    """Minimum of each permutation over each block of ``block`` shingles."""
-    out = []
-    for at in range(0, len(hashes), _SLICE):
-        values = (hashes[at:at + _SLICE, None] * _MULTIPLIERS) >> np.uint64(32)
-        out.append(np.minimum.reduceat(values, np.arange(0, len(values), block), axis=0))
-    return np.concatenate(out)
-
-
-def _keys(minima: np.ndarray, size_class: int) -> np.ndarray:
-    """One number for size class, permutation and minimum."""
-    place = np.arange(MINIMA, dtype=np.uint64) + np.uint64(MINIMA * size_class.bit_length())
-    return (minima << np.uint64(16)) | place
+def key_count(size: int, threshold: float) -> int:
+    """How many of an item's shingles are looked up, so that a document that contains it holds one of them."""
+    needed = next(n for n in range(max(1, int(threshold * size) - 1), size + 2) if n / size >= threshold or n > size)
+    return max(0, size - needed + 1)
 
 
 def _bit(values: np.ndarray, bits: int) -> np.ndarray:
@@ -75,26 +62,8 @@ def _bit(values: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
 
 
-def size_class(shingle_count: int) -> int:
-    return max(LEAST_CLASS, 1 << (shingle_count - 1).bit_length())
-
-
-def window_keys(hashes: np.ndarray, classes: list[int]) -> np.ndarray:
-    """Keys of all windows of a document in all size classes."""
-    blocks, width, found = _minima(hashes, LEAST_CLASS), LEAST_CLASS, []
-    for wanted in sorted(classes):
-        while width < wanted:
-            odd = blocks[-1:] if len(blocks) % 2 else blocks[:0]
-            half = len(blocks) // 2 * 2
-            blocks = np.concatenate([np.minimum(blocks[0:half:2], blocks[1:half:2]), odd])
-            width *= 2
-        windows = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
-        found.append(_keys(windows, wanted).ravel())
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def _item_rows(items: DataFrame) -> DataFrame:
-    """(item_id, size, size_class, keys, shingles), one row per distinct text of an item."""
+def _item_rows(items: DataFrame, threshold: float) -> DataFrame:
+    """(item, item_id, size, keys, shingles), one row per distinct text of an item."""
 
     def sketch(batches):
         for batch in batches:
@@ -105,18 +74,17 @@ def _item_rows(items: DataFrame) -> DataFrame:
                     continue
                 own = sorted({joined[a:b] for a, b in zip(starts, ends)})
                 hashes = np.array([xxhash.xxh64_intdigest(s) for s in own], np.uint64)
-                kind = size_class(len(own))
-                minima = ((hashes[:, None] * _MULTIPLIERS) >> np.uint64(32)).min(axis=0)
-                rows.append((item_id, joined, len(own), kind, _keys(minima, kind).view(np.int64).tolist(), hashes.view(np.int64).tolist(), own))
+                keys = np.sort(hashes)[:key_count(len(own), threshold)]
+                rows.append((item_id, joined, len(own), keys.view(np.int64).tolist(), hashes.view(np.int64).tolist(), own))
             if rows:
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-                names = ["item_id", "words", "size", "size_class", "keys", "hashes", "shingles"]
+                types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+                names = ["item_id", "words", "size", "keys", "hashes", "shingles"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    schema = "item_id long, words binary, size int, size_class long, keys array<long>, hashes array<long>, shingles array<binary>"
+    schema = "item_id long, words binary, size int, keys array<long>, hashes array<long>, shingles array<binary>"
     rows = map_batches(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), sketch, schema)
-    rest = [F.first(c).alias(c) for c in ("size", "size_class", "keys", "hashes", "shingles")]
-    return rows.groupBy("words").agg(F.min("item_id").alias("item_id"), *rest)
+    rest = [F.first(c).alias(c) for c in ("size", "keys", "hashes", "shingles")]
+    return rows.groupBy("words").agg(F.min("item_id").alias("item_id"), *rest).withColumn("item", F.xxhash64("words"))
 
 
 def _bit_map(values: DataFrame, column: str) -> np.ndarray:
@@ -147,10 +115,9 @@ def _is_set(bit_map: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row_id, row_digest, item_id, containment): the items that each document contains, by document row identity."""
-    found_items = stored(_item_rows(items), "benchmark-items")
-    classes = [r[0] for r in found_items.select("size_class").distinct().collect()]  # one per power of two
-    item_keys = found_items.select("item_id", F.explode("keys").alias("key"))
-    item_shingles = found_items.select("item_id", "size", F.explode("shingles").alias("shingle"))
+    found_items = stored(_item_rows(items, threshold), "benchmark-items")
+    item_keys = found_items.select("item", F.explode("keys").alias("key"))
+    item_shingles = found_items.select("item", "item_id", "size", F.explode("shingles").alias("shingle"))
     key_map = _bit_map(item_keys, "key")
     shingle_map = _bit_map(found_items.select(F.explode("hashes").alias("hash")), "hash")
 
@@ -159,11 +126,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
             kept, keys, parts = [], [], []
             for i, text in enumerate(batch.column("text")):
                 joined, starts, ends = shingles(text.as_py() or "")
-                if not starts or not classes:
+                if not starts:
                     continue
                 hashes = _hashes(joined, starts, ends)
-                near = window_keys(hashes, classes)
-                near = np.unique(near[_is_set(key_map, near)])
+                near = np.unique(hashes[_is_set(key_map, hashes)])
                 if len(near):
                     kept.append(i)
                     keys.append(near.view(np.int64))
@@ -177,11 +143,13 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
     rows = docs.select(*row_identity(docs), "text")
     row = ["row_id", "row_digest"]
-    near = stored(map_batches(rows, sketch, "row_id long, row_digest long, keys array<long>, shingles array<binary>"), "benchmark-windows")
-    candidates = near.select(*row, F.explode("keys").alias("key")).join(item_keys, "key").select(*row, "item_id").distinct()
+    near = stored(map_batches(rows, sketch, "row_id long, row_digest long, keys array<long>, shingles array<binary>"), "benchmark-candidates")
+    candidates = near.select(*row, F.explode("keys").alias("key")).join(item_keys, "key").select(*row, "item").distinct()
     shared = near.select(*row, F.explode("shingles").alias("shingle")).distinct().join(item_shingles, "shingle")
-    counted = shared.groupBy(*row, "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
-    verified = counted.join(candidates, [*row, "item_id"]).withColumn("containment", F.col("shared") / F.col("size"))
+    counted = shared.groupBy(*row, "item").agg(
+        F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"), F.first("item_id").alias("item_id")
+    )
+    verified = counted.join(candidates, [*row, "item"]).withColumn("containment", F.col("shared") / F.col("size"))
     return verified.where(F.col("containment") >= threshold).select(*row, "item_id", "containment")
 
 
@@ -189,12 +157,13 @@ def decontamination_report(docs: DataFrame, items: DataFrame, threshold: float =
     """(doc_id, contaminated, n_items, items, containment) for every document: the items contained, ascending, and the
     greatest containment (null if none)."""
     found = contained_items(docs, items, threshold).groupBy("row_id", "row_digest").agg(
-        F.sort_array(F.collect_list("item_id")).alias("items"), F.max("containment").alias("containment")
+        F.sort_array(F.collect_list("item_id")).alias("items"), F.count(F.lit(1)).cast("int").alias("n_items"),
+        F.max("containment").alias("containment"),
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_identity(docs))
     return rows.join(found, ["row_id", "row_digest"], "left").select(
-        "doc_id", F.col("items").isNotNull().alias("contaminated"),
-        F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
+        "doc_id", F.col("n_items").isNotNull().alias("contaminated"),
+        F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items", F.array().cast("array<long>")).alias("items"), "containment",
     )
 
