@@ -10,8 +10,8 @@ Reading: each archive is read from front to back in blocks. zlib decompresses in
 the last one ended, the content length frames the record, and digests are verified. Memory is one record and one block.
 
 Cases: a null payload is empty; payloads below ``LEAST_REVISIT`` bytes are always written out; of equal payloads the one
-with the largest id (a null id is the smallest) is the response, of repeated rows with that id one; an empty table writes
-no archive and reads as no rows.
+with the largest id (a null id is the smallest) is the response; rows that repeat that id, and equal payloads of which none
+has an id, are each a response in full, as in the SQL check; an empty table writes no archive and reads as no rows.
 """
 
 from __future__ import annotations
