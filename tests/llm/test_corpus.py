@@ -125,6 +125,18 @@ def test_sharding_plan_has_no_python(spark, odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_copies_are_numbered_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 64)
+    docs = as_docs(spark, [(None, None)] * 1000 + [(i, "x") for i in range(64)] + [(70, "y")] * 65)
+    keys = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    numbered, n = sharding.row_numbers(keys, ["doc_id", "text"])
+    rows = numbered.withColumn("part", F.spark_partition_id()).collect()
+    assert n == 1129 and sorted(r["row_number"] for r in rows) == list(range(n))
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(map(tuple, keys.collect()))
+    sequences = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "+ 64" in sequences and "RepartitionByExpression" in sequences
+
+
 PAGES = [
     (1, "http://a", "x" * 1500), (9, "http://b", "x" * 1500), (4, None, "x" * 1500), (None, "http://c", "x" * 1500),
     (5, "http://d\r\nX: y", "short"), (6, "http://e", "short"), (7, "http://f", None), (8, "", ""), (2, "http://é", "é日" * 40_000),

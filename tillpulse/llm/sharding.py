@@ -27,6 +27,8 @@ from tillpulse.llm.common import stored
 ROUNDS = 6
 # Row numbers are counted off in this many groups; the groups' counts are the only broadcast table.
 NUMBERING_GROUPS = 4096
+# Copies of a row are numbered in chunks of this many, dealt out to all tasks.
+CHUNK_ROWS = 1 << 14
 
 
 def _sides(n: int) -> tuple[int, int]:
@@ -88,7 +90,10 @@ def row_numbers(rows: DataFrame, keys: list[str], number: str = "row_number") ->
     before = F.coalesce(F.sum("_copies").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = copies.withColumn("_before", before).join(starts, "_group")
     first = F.col("_start") + F.col("_before")
-    return numbered.select(*keys, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias(number)), n
+    chunks = F.sequence(first, first + F.col("_copies") - 1, F.lit(CHUNK_ROWS).cast("long"))
+    dealt = numbered.select(*keys, (first + F.col("_copies")).alias("_end"), F.explode(chunks).alias("_from")).repartition("_from")
+    last = F.least(F.col("_from") + CHUNK_ROWS, F.col("_end")) - 1
+    return dealt.select(*keys, F.explode(F.sequence("_from", last)).alias(number)), n
 
 
 def feistel_shards(docs: DataFrame, shards: int = 40, seed: int = 20240607) -> DataFrame:
