@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from tillpulse.llm import decontaminate, edits, hmm, lines, packing, quality, secret_scan, sharding, simhash, warc
+from tillpulse.llm import (
+    decontaminate, edits, hmm, lines, merkle, mixing, packing, quality, search, secret_scan, sharding, simhash, warc
+)
 from tillpulse.llm.common import read_table
 
 SHARDS = 40
@@ -87,8 +89,21 @@ def op10_feistel_shards(spark, sf_dir):
     return sharding.feistel_shards(read_table(spark, sf_dir, "documents"), SHARDS).drop("row_number", "position")
 
 
+def op11_mix_sources(spark, sf_dir):
+    return mixing.mixed(read_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(read_table(spark, sf_dir, "documents")).drop("steps")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_warc, op3_pack, op4_hidden_markov, op5_repeated_units, op6_simhash, op7_decontaminate, op8_quality_rules, op9_edited_counts, op10_feistel_shards,
+    op11_mix_sources, op12_ranked_search, op13_merkle_manifest,
 )}
 
 ORACLE: dict[str, str] = {
@@ -132,4 +147,92 @@ ORACLE: dict[str, str] = {
                coalesce(list_aggregate(items, 'string_agg', ','), '') as items, containment
         from documents left join found on documents.doc_id = found.doc_id
     """,
+    "op12_ranked_search": r"""
+        with d as (
+            select row_number() over () as row, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents
+        ), used as (select * from d where len(words) > 0),
+        corpus as (select count(*) as docs, sum(len(words))::bigint as terms from used),
+        postings as (
+            select row, doc_id, len(words)::bigint as n, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+            from (select row, doc_id, words, unnest(words) as word from used)
+        ), tf as (select row, doc_id, n, term, count(*) as tf from postings group by all),
+        df as (select term, count(*) as df from tf group by term),
+        asked as (
+            select item, item_id, term, count(*) as times from (
+                select item, item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+                from (select row_number() over () as item, * from benchmark)) group by all
+        ), weighed as (
+            select item, item_id, term, times * floor(1000 * ln((2.0::double * docs + 2) / (2 * df + 1)))::bigint as weight
+            from asked join df using (term) cross join corpus
+        ), scores as (
+            select item, item_id, row, doc_id,
+                   sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+            from weighed join tf using (term) cross join corpus group by all
+        ), best as (
+            select *, row_number() over (partition by item order by score desc, doc_id nulls first) as rank from scores where score > 0
+        )
+        select item_id, rank::integer as rank, doc_id, score from best where rank <= 10
+    """,
+    "op13_merkle_manifest": r"""
+        with recursive rows as (
+            select row_number() over () as row, doc_id, lang,
+                case when doc_id is null then '-' else length(doc_id::varchar) || ':' || doc_id end
+                || case when source is null then '-' else strlen(source) || ':' || source end
+                || case when lang is null then '-' else strlen(lang) || ':' || lang end
+                || case when n_chars is null then '-' else length(n_chars::varchar) || ':' || n_chars end as head,
+                text,
+                xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+                    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)::ubigint[]),
+                        lambda x, _: xor(x >> 1, 3988292384::ubigint * (x & 1::ubigint)))), 4294967295::ubigint) % 3 = 0 as tampered
+            from documents
+        ), leaves as (
+            select row, doc_id, lang, sha256(head || case when text is null then '-' else strlen(text) || ':' || text end) as leaf,
+                case when tampered then sha256(head || case when text is null then '-' else strlen(text) || ':'
+                    || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end) end as changed
+            from rows
+        ), ranked as (
+            select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as rank, count(*) over (partition by lang) as n
+            from leaves
+        ), nodes as (
+            select 0 as level, lang, n, rank, leaf as digest from ranked
+            union all
+            select level + 1, lang, n, rank // 8, sha256(string_agg(digest, '' order by rank)) from nodes
+            where n > 8 ** level group by level, lang, n, rank // 8
+        ), subroots as (
+            select lang, digest as subroot, row_number() over (order by lang nulls first) - 1 as rank, count(*) over () as n
+            from nodes where level = (case when n = 1 then 0 else ceil(round(log(n) / log(8), 9)) end)
+        ), tops as (
+            select 0 as level, n, rank, subroot as digest from subroots
+            union all
+            select level + 1, n, rank // 8, sha256(string_agg(digest, '' order by rank)) from tops
+            where n > 8 ** level group by level, n, rank // 8
+        ), root as (select digest as root from tops order by level desc limit 1),
+        every as (
+            select level, coalesce(lang, '-') as tree, lang is null as none, rank, digest, n from nodes
+            union all select level, null, null, rank, digest, n from tops
+        ), runs as (
+            select level, tree, none, rank // 8 as run, list(digest order by rank) as digests from every where n > 8 ** level group by all
+        ), steps as (
+            select row, 0 as part, level, list_aggregate(digests[1:(rank // (8 ** level)::bigint) % 8], 'string_agg', '') as before,
+                   list_aggregate(digests[(rank // (8 ** level)::bigint) % 8 + 2:], 'string_agg', '') as after
+            from ranked join runs on run = rank // (8 ** (level + 1))::bigint and tree = coalesce(lang, '-') and none = (lang is null)
+            union all
+            select row, 1, level, list_aggregate(digests[1:(subroots.rank // (8 ** level)::bigint) % 8], 'string_agg', ''),
+                   list_aggregate(digests[(subroots.rank // (8 ** level)::bigint) % 8 + 2:], 'string_agg', '')
+            from ranked join subroots on ranked.lang is not distinct from subroots.lang
+                join runs on run = subroots.rank // (8 ** (level + 1))::bigint and tree is null
+        ), proofs as (
+            select row, sha256(string_agg(coalesce(before, '') || coalesce(after, ''), '' order by part, level)) as proof,
+                   list([coalesce(before, ''), coalesce(after, '')] order by part, level) as path from steps group by row
+        ), folded as (
+            select row, 0::bigint as done, coalesce(changed, leaf) as node from ranked
+            union all
+            select row, done + 1, sha256(path[done + 1][1] || node || path[done + 1][2]) from folded join proofs using (row) where done < len(path)
+        )
+        select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, node as folded_root, node = root as verified
+        from ranked join subroots on ranked.lang is not distinct from subroots.lang cross join root left join proofs using (row)
+            join (select row, arg_max(node, done) as node from folded group by row) using (row)
+    """,
 }
