@@ -28,7 +28,7 @@ def test_jobs_and_reports(spark, tmp_path):
         app.main([job, *places, "--once"], spark)
 
     def report(*args):
-        return json.loads(app.main([*args, "--tables", str(tmp_path / "tables"), "--date", str(BASE.date())], spark))
+        return json.loads(app.main([*args, "--tables", places[1], "--date", str(BASE.date())], spark))
 
     assert [(t["id"], t["value"]) for t in report("tiles")] == [("dau", 2.0), ("new_mid", 2.0), ("order_amount", 10.0)]
     assert report("hours") == {"today": {"12": 2}, "yesterday": {}}
@@ -40,8 +40,11 @@ def test_jobs_and_reports(spark, tmp_path):
         assert len(minutes) == 6 and {m["mid"] for m in minutes} == {"a"} and all("_" in m["alert_id"] for m in minutes)
         provinces = report("provinces")
         assert (provinces["n_orders"], provinces["amount"]) == (2, 10.0)
-        app.main(["compact", *places[:2]], spark)
-        app.main(["vacuum", *places[:2]], spark)
+        into = tmp_path / f"{places[1]}-2"
+        app.main(["compact", *places[:2], "--into", str(into)], spark)
+        places[1] = str(into)
+    assert report("search", "--keyword", "ring", "--size", "1") == found
+    app.main(["reconcile", *places[:2], "--into", str(tmp_path / "rest")], spark)
     assert report("search", "--keyword", "ring", "--size", "1") == found
     stamped = [json.loads(r[0])["ts"] for r in spark.read.text(str(tmp_path / "tables" / "raw_log")).collect() if r[0] != "?"]
     assert len(stamped) == 4 and all(isinstance(t, int) for t in stamped)
@@ -50,5 +53,6 @@ def test_jobs_and_reports(spark, tmp_path):
 
 
 def test_a_job_needs_checkpoints(tmp_path):
-    with pytest.raises(SystemExit):
-        app.arguments(["dau", "--tables", str(tmp_path)])
+    for command in ("dau", "compact", "reconcile"):
+        with pytest.raises(SystemExit):
+            app.arguments([command, "--tables", str(tmp_path)])

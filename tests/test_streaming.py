@@ -156,6 +156,12 @@ def test_sale_job(spark, topics, tmp_path):
         go()
     assert rows(alone.latest(spark).select("order_detail_id", "order_id"), "order_detail_id") == [("alone", "o9"), ("l20", "o1")]
     assert sales.latest(spark).count() == 7
+    # The batch job finds the order of the line that was too early, and once it is there that of the other.
+    orders, rest = streaming.order_table(str(tmp_path / "orders")), streaming.unmatched_table(str(tmp_path / "rest"))
+    run(streaming.order_job(sources.accepted(sources.parse_order(topics.read("o"))), orders, str(tmp_path / "cp-orders")))
+    streaming.reconcile_lines(spark, orders, alone, people, sales, rest, dt.date(2024, 1, 1))
+    assert rows(rest.latest(spark).select("order_detail_id")) == [("alone",)] and sales.latest(spark).count() == 8
+    assert sales.latest(spark).where("order_detail_id = 'l20'").select("order_id", "user_level").first() == ("o1", "3")
 
 
 def event(mid, evid, when, uid="u", item=1):
@@ -206,6 +212,24 @@ def test_ingest_archive_and_orders(spark, topics, tmp_path):
     assert table.latest(spark).count() == 1
 
 
+def test_progress_of_two_batches(spark, topics, tmp_path):
+    log, table, written = streaming.ProgressLog(), streaming.dau_table(str(tmp_path / "dau")), []
+    spark.streams.addListener(log)
+    try:
+        for part in ([startup("a", at(1)), startup("a", at(2))], [startup("b", at(3))]):
+            topics.send("s", *part)
+            parsed = sources.accepted(sources.parse_startup(topics.read("s")))
+            run(streaming.dau_job(parsed, table, str(tmp_path / "cp"), counted=written.append))
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(log)
+    assert written == [1, 1]
+    assert log.write(spark, str(tmp_path / "progress")) == 2 and log.write(spark, str(tmp_path / "progress")) == 0
+    got = spark.read.parquet(str(tmp_path / "progress")).orderBy("batch").collect()
+    assert [(r["batch"], r["rows_in"], json.loads(r["observed"]["startups_in"])["rows"]) for r in got] == [(0, 2, 2), (1, 1, 1)]
+    assert all(r["batch_ms"] >= r["write_ms"] > 0 for r in got)
+
+
 def test_every_stateful_operator_evicts(spark, topics):
     parsed = sources.accepted(sources.parse_event(topics.read("e")))
     startups = sources.accepted(sources.parse_startup(topics.read("s")))

@@ -2,6 +2,7 @@
 
     spark-submit tillpulse/app.py dau --brokers host:9092 --tables /shop/tables --checkpoints /shop/cp
     spark-submit tillpulse/app.py hours --metric dau --date 2024-01-15 --tables /shop/tables
+    spark-submit tillpulse/app.py compact --tables /shop/tables --into /shop/tables-2
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from tillpulse.sources import topics
 RAW_TOPIC, CHANGE_TOPIC = "raw_log", "row_changes"
 JOBS = ["ingest", "archive", "changes", "dau", "orders", "alerts", "sales"]
 REPORTS = ["tiles", "hours", "search", "alerts-of-day", "provinces"]
-UPKEEP = ["compact", "vacuum"]
+UPKEEP = ["compact", "reconcile"]
 TABLES = {
     "dau": streaming.dau_table, "orders": streaming.order_table, "users": streaming.user_table, "sales": streaming.sale_table,
-    "panes": streaming.pane_table, "alerts": streaming.alert_table, "alert_minutes": streaming.minute_table,
+    "alerts": streaming.alert_table, "alert_minutes": streaming.minute_table,
     "unmatched_lines": streaming.unmatched_table,
 }
 
@@ -58,7 +59,8 @@ def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list
         return with_rejects(streaming.dau_job(sources.accepted(parsed), table, checkpoint), parsed)
     if job == "alerts":
         parsed = sources.parse_event(read(topics.EVENT_TOPIC))
-        panes, alerts, minutes = (TABLES[t](f"{args.tables}/{t}") for t in ("panes", "alerts", "alert_minutes"))
+        panes = streaming.pane_table(f"{args.tables}/panes")
+        alerts, minutes = (TABLES[t](f"{args.tables}/{t}") for t in ("alerts", "alert_minutes"))
         return with_rejects(streaming.alert_job(sources.accepted(parsed), panes, alerts, checkpoint, minutes), parsed)
     orders = sources.parse_order(read(topics.ORDER_TOPIC))
     if job == "orders":
@@ -105,6 +107,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("command", choices=JOBS + REPORTS + UPKEEP)
     parser.add_argument("--tables", required=True, help="folder of the keyed tables")
     parser.add_argument("--checkpoints", help="folder of the job checkpoints")
+    parser.add_argument("--into", help="folder that compact or reconcile writes; the jobs go on with it")
     parser.add_argument("--brokers", help="Kafka brokers")
     parser.add_argument("--replay", help="folder of recorded topics, instead of brokers")
     parser.add_argument("--option", action="append", default=[], help="name=value for the topic source; may be repeated")
@@ -121,6 +124,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     args = parser.parse_args(argv)
     if args.command in JOBS and not args.checkpoints:
         parser.error("a job needs --checkpoints")
+    if args.command in UPKEEP and not args.into:
+        parser.error(f"{args.command} needs --into")
     return args
 
 
@@ -131,9 +136,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         documents = [row[0] for row in report(args.command, spark, args).toLocalIterator()]
         print(*documents, sep="\n")
         return "\n".join(documents)
-    if args.command in UPKEEP:
+    if args.command == "compact":
         for name, table in TABLES.items():
-            print(name, getattr(table(f"{args.tables}/{name}"), args.command)(spark))
+            table(f"{args.tables}/{name}").compact(spark, f"{args.into}/{name}")
+        return None
+    if args.command == "reconcile":
+        orders, lines, users, sales = (TABLES[t](f"{args.tables}/{t}") for t in ("orders", "unmatched_lines", "users", "sales"))
+        run = int(dt.datetime.now(dt.timezone.utc).timestamp())
+        streaming.reconcile_lines(spark, orders, lines, users, sales, streaming.unmatched_table(args.into), F.current_date(), run)
         return None
     running = [streaming.start(w, available_now=args.once) for w in job_writers(args.command, spark, args)]
     if not args.once:

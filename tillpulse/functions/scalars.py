@@ -45,11 +45,18 @@ def with_create_time(df: DataFrame, column: str = "create_time") -> DataFrame:
     )
 
 
-def is_one_json_value(text: Column) -> Column:
-    """True where the text is one JSON value: nothing behind it, and no key twice in an object."""
-    beside = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
-    two = (F.try_variant_get(beside, "$[1]", "int") == 0) & F.try_variant_get(beside, "$[2]", "variant").isNull()
-    return F.coalesce(two, F.lit(False))
+# Put behind a JSON value, to see whether anything else stands there.
+_END = "end of this record"
+
+
+def one_json_value(text: Column, kind: str) -> Column:
+    """The JSON value that the text is, as ``kind``; NULL where it is no such value, where something stands behind it, or where
+    an object has a key twice. The text is parsed once."""
+    beside = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    # Two elements, the second of which is the one put there.
+    parts = beside.try_cast("array<variant>")
+    alone = (F.size(parts) == 2) & (parts[1].try_cast("string") == _END)
+    return F.when(alone, parts[0].try_cast(kind))
 
 
 def mask_phone(tel: Column) -> Column:

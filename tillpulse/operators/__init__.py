@@ -16,19 +16,19 @@ from tillpulse.operators.devices import (
     observed,
     roster,
 )
-from tillpulse.operators.ingest import route_cdc, route_logs, stamp_ingest
-from tillpulse.operators.latest import latest_rows
+from tillpulse.operators.ingest import changed_rows, route_cdc, route_logs, stamp_ingest
+from tillpulse.operators.latest import apply_changes, latest_rows
 from tillpulse.operators.orders import (
     order_amount_by_hour,
     order_amount_total,
     order_clean,
     sales_by_province,
 )
-from tillpulse.operators.sales import enrich_user, join_order_detail, latest_users
+from tillpulse.operators.sales import enrich_user, join_order_detail, late_sales, latest_users, waiting_lines
 
 __all__ = [
-    "alert_documents", "alerts_per_minute", "coupon_alerts", "coupon_alerts_per_minute", "dau_by_hour", "dau_total", "device_totals",
-    "enrich_user", "event_list", "exclude_seen", "first_startup", "join_order_detail", "latest_rows", "latest_users",
+    "alert_documents", "alerts_per_minute", "apply_changes", "changed_rows", "coupon_alerts", "coupon_alerts_per_minute", "dau_by_hour", "dau_total", "device_totals",
+    "enrich_user", "event_list", "exclude_seen", "first_startup", "join_order_detail", "late_sales", "latest_rows", "latest_users",
     "new_devices", "observed", "order_amount_by_hour", "order_amount_total", "order_clean", "pane_counts",
-    "roster", "route_cdc", "route_logs", "sales_by_province", "stamp_ingest",
+    "roster", "route_cdc", "route_logs", "sales_by_province", "stamp_ingest", "waiting_lines",
 ]

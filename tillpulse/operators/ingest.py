@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillpulse.functions.scalars import is_one_json_value
+from tillpulse.functions.scalars import one_json_value
 from tillpulse.sources import topics
 
 # Source tables of the three business topics.
@@ -24,9 +24,9 @@ def stamp_ingest(df: DataFrame, ts_ms: Column | None = None) -> DataFrame:
     now = F.unix_millis(F.current_timestamp()) if ts_ms is None else ts_ms
     stamp = F.create_map(F.lit("ts"), F.to_variant_object(F.create_map(F.lit("v"), now)))
     stamp = F.transform_values(stamp, lambda _, v: F.variant_get(v, "$.v", "variant"))
-    fields = F.try_parse_json(F.col("value")).try_cast("map<string, variant>")
+    fields = one_json_value(F.col("value"), "map<string, variant>")
     stamped = F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "ts"), stamp))
-    return df.withColumn("value", F.coalesce(F.when(is_one_json_value(F.col("value")), stamped), F.col("value")))
+    return df.withColumn("value", F.coalesce(stamped, F.col("value")))
 
 
 def route_logs(
@@ -58,8 +58,22 @@ def route_cdc(
         .where(wanted & F.col("topic").isNotNull())
         .select("topic", *kept, F.explode("rows").alias("row"))
     )
+    return rows.select("topic", F.to_json(_after_image(), {"ignoreNullFields": "false"}).alias("value"), *kept)
+
+
+def _after_image() -> Column:
+    """The columns of ``row`` as a map; of a column named twice the last value. Names are compared only where one repeats."""
     def is_last(entry: Column, i: Column) -> Column:
         return ~F.exists(F.slice("row", i + 2, F.size("row")), lambda other: other["name"] == entry["name"])
 
-    after = F.map_from_entries(F.filter("row", is_last))
-    return rows.select("topic", F.to_json(after, {"ignoreNullFields": "false"}).alias("value"), *kept)
+    repeats = F.size(F.array_distinct(F.transform("row", lambda e: e["name"]))) < F.size("row")
+    return F.map_from_entries(F.when(repeats, F.filter("row", is_last)).otherwise(F.col("row")))
+
+
+def changed_rows(changes: DataFrame, table_name: str, fields: list[str]) -> DataFrame:
+    """The row changes of one table, whatever the operation: (event_type, fields as text, further columns of ``changes``)."""
+    kept = [c for c in changes.columns if c not in ("entry_type", "event_type", "table_name", "rows")]
+    wanted = (F.col("entry_type") == "ROWDATA") & (F.col("table_name") == table_name)
+    rows = changes.where(wanted).select("event_type", *kept, F.explode("rows").alias("row"))
+    image = rows.select("event_type", *kept, _after_image().alias("image"))
+    return image.select("event_type", *[F.col("image")[f].alias(f) for f in fields], *kept)

@@ -32,6 +32,24 @@ def latest_rows(
     return newest(df.where(has_key)).unionByName(df.where(~has_key))
 
 
+# Of changes that arrive at the same moment the later of these counts.
+OPERATIONS = ("INSERT", "UPDATE", "DELETE")
+
+
+def apply_changes(
+    changes: DataFrame, key_cols: list[str], order_cols: list[str], operation: str = "event_type"
+) -> DataFrame:
+    """The rows that are left after all changes: of each key the after-image of its last one, none if that is a deletion.
+
+    ``changes`` has the columns of the table and the operation; a key may be inserted again after its deletion. Rows are
+    reduced to one per key and task before the shuffle, deletions are dropped only after all changes of a key have met.
+    """
+    at = F.array_position(F.array(*map(F.lit, OPERATIONS)), F.upper(operation))
+    ranked = changes.withColumn("_operation", at)
+    last = latest_rows(ranked, key_cols, [*order_cols, "_operation"], null_is_value=True)
+    return last.where(F.col("_operation") < len(OPERATIONS)).drop("_operation", operation)
+
+
 def first_rows(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
     """One row per key, the one with the smallest ``order_cols``, then the smallest other columns."""
     others = [*order_cols, *[c for c in df.columns if c not in (*key_cols, *order_cols)]]

@@ -35,6 +35,22 @@ def join_order_detail(orders: DataFrame, details: DataFrame) -> DataFrame:
     return joined.select(*sale_columns())
 
 
+def late_sales(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Sales of order lines (order_detail_id, order_id, sku_id, sku_name, sku_price, arrival_ts) that have waited, with the orders that
+    have come meanwhile. ``orders`` has one row per id; columns as from ``join_order_detail``."""
+    joined = orders.alias("o").join(lines.alias("d"), F.col("o.id") == F.col("d.order_id"))
+    return joined.select(
+        "d.order_detail_id", "d.order_id", "o.order_status", "o.create_time", "o.user_id", "d.sku_id", "d.sku_price", "d.sku_name",
+        F.col("o.create_date").alias("dt"), F.greatest("o.arrival_ts", "d.arrival_ts").alias("arrival_ts"),
+        F.col("o.arrival_ts").alias("order_arrival_ts"),
+    )
+
+
+def waiting_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines whose order has not come yet."""
+    return lines.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti").select(*lines.columns)
+
+
 def latest_users(users: DataFrame, order_cols: list[str]) -> DataFrame:
     """The last version of every user."""
     return latest_rows(users, ["id"], order_cols, null_is_value=True)

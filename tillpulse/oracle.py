@@ -274,4 +274,11 @@ select mid || '_' || (window_end_s // 60)::varchar as alert_id, {ALERT_COLUMNS}
     "upsert_users": f"""with {USER} select id, login_name, birthday, gender,
   case when id::bigint % 6 = 1 then '2' when id::bigint % 2 = 1 then '1' else user_level end as user_level
 from user_info""",
+    "sale_late_lines": f"""with {SALE} select {SALE_COLUMNS}, false as waiting from sale where order_id::bigint % 7 <> 0
+union all by name
+select id as order_detail_id, order_id, sku_id, sku_name, order_price::double as sku_price, true as waiting
+from order_detail where order_id::bigint % 7 = 0 or order_id not in (select id from order_info)""",
+    "apply_changes": f"""with {USER} select id, login_name, gender,
+  case when id::bigint % 10 = 0 then 'again' when id::bigint % 3 = 0 then 'changed' else user_level end as user_level
+from user_info where id::bigint % 10 = 0 or (id::bigint % 5 <> 0 and id::bigint % 7 <> 0)""",
 }

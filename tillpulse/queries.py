@@ -449,3 +449,32 @@ def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("value"))
     )
     return sources.rejects(sources.parse_startup(lines.withColumn("value", damaged)))
+
+
+@query
+def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users after inserts, updates, deletions and new inserts, the change entries in no order: every third user is updated, every
+    fifth deleted, every tenth inserted again; every seventh is updated and deleted at the same moment."""
+    users = _users(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in ("id", "login_name", "user_level", "gender")])
+    key = F.col("id").cast("bigint")
+
+    def change(rows: DataFrame, operation: str, minute: int) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in users.columns]
+        at = F.timestamp_seconds(F.lit(1704067200 + 60 * minute))
+        return rows.select(
+            F.lit("ROWDATA").alias("entry_type"), F.lit(operation).alias("event_type"), F.lit("user_info").alias("table_name"),
+            F.array(F.array(*pairs)).alias("rows"), at.alias("arrival_ts"),
+        )
+
+    def level(value: str) -> DataFrame:
+        return users.withColumn("user_level", F.lit(value))
+
+    entries = (
+        change(level("again").where(key % 10 == 0), "INSERT", 3)
+        .unionByName(change(users.where(key % 5 == 0), "DELETE", 2))
+        .unionByName(change(users.where(key % 7 == 0), "DELETE", 1))
+        .unionByName(change(level("changed").where(key % 3 == 0), "UPDATE", 1))
+        .unionByName(change(users, "INSERT", 0))
+    )
+    rows = ops.changed_rows(entries, "user_info", users.columns)
+    return ops.apply_changes(rows, ["id"], ["arrival_ts"]).drop("arrival_ts")

@@ -51,7 +51,7 @@ SALE_TABLE = (
 UNMATCHED_TABLE = (
     "order_detail_id string, order_id string, sku_id string, sku_name string, sku_price double, arrival_ts timestamp"
 )
-PANE_TABLE = "mid string, pane bigint, evid string, uid string, itemid string, n bigint, day date"
+PANE_TABLE = "mid string, pane bigint, evid string, uid string, itemid string, n bigint"
 ALERT_TABLE = (
     "mid string, window_end timestamp, uids array<string>, item_ids array<string>, "
     "events array<struct<evid: string, n: bigint>>, suppressed boolean, day date"
@@ -62,6 +62,5 @@ MINUTE_TABLE = (
 )
 
 
-def text_struct(fields: list[str], extra: str | None = None) -> T.StructType:
-    names = fields + ([extra] if extra else [])
-    return T.StructType([T.StructField(name, T.StringType()) for name in names])
+def text_struct(fields: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in fields])

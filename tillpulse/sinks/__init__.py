@@ -1,4 +1,5 @@
 from tillpulse.sinks.keyed import KeyedTable
+from tillpulse.sinks.panes import PaneStore
 from tillpulse.sinks.topics import archive_logs, topic_sink
 
-__all__ = ["KeyedTable", "archive_logs", "topic_sink"]
+__all__ = ["KeyedTable", "PaneStore", "archive_logs", "topic_sink"]

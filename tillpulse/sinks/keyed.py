@@ -1,37 +1,43 @@
-"""Keyed table on Parquet: last write per key wins, replays of a batch change nothing.
+"""Keyed table on Parquet: one row per key, settled when the table is read.
 
-Every micro-batch is written to a folder of its own, so writing costs what the batch holds and never
-rewrites old data. Reading merges the folders by key. ``compact`` folds them into one folder that replaces
-all earlier ones; it is an ordinary Spark job to be run every now and then.
+A micro-batch is one plain folder, ``batches/source=<stream>/batch=<number>``. Writing costs what the batch holds; a replayed
+batch overwrites its own folder, and a stream with a fresh checkpoint is another source. Of the rows of a key the one with
+the greatest ``order`` stays, of equal ones the one written last; with ``first`` the smallest ``order``, whenever it was
+written. So it makes no difference in which order batches are written or how often.
 
-A batch is known by its source (the id of a streaming query, the name of a load) and its number there. A
-new pair gets the next generation; a repeated pair writes its own generation again, and nothing at all
-once a compaction covers it. A stream with a fresh checkpoint is a new source, so it neither overwrites
-nor hides what an earlier one has written. Which pair has which generation is kept as the names of empty
-files in ``_pairs``; a table has one writer at a time.
+``compact`` reads, aggregates and writes a new table folder: all rows but those of each stream's last batch, settled, in
+``base``, with a sub-folder per day. The last batch stays a batch, because a stream may still replay it. Streams then go on with the new
+folder. Reading takes the base as it is and settles only keys that batches hold.
 
-Folders are ``gen=<2*n>`` for batches and ``gen=<2*n+1>`` for the compaction up to that batch. A folder
-counts once its job has committed (``_SUCCESS``); a batch that failed half-way is invisible and is
-overwritten when it is replayed.
-
-``merge`` says what becomes of several rows of a key: the last write stays, or the first in ``order``
-whenever it was written, or the column ``n`` is summed.
-
-Batches are flat files sorted by the partition columns: a batch of a few seconds must not become a file
-per day and task. The compacted folder holds nearly all data and has a sub-folder per day. A filter on
-the day skips sub-folders there and row groups in the batches.
+Batches are flat files sorted by the partition columns: a batch of a few seconds must not become a file per day and task. A
+filter on the day skips sub-folders of the base and row groups of the batches.
 """
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass, field
+import datetime as dt
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from operator import and_
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tillpulse.operators.latest import first_rows, latest_rows
 
+_WRITTEN = T.StructField("written_at", T.TimestampType())
+
+
+def read_folder(spark: SparkSession, schema: T.StructType, path: str, base: str | None = None) -> DataFrame | None:
+    """The rows below ``path``; nothing if there is no such folder yet."""
+    try:
+        return spark.read.schema(schema).option("basePath", base or path).parquet(path).select(*schema.fieldNames())
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
 
 @dataclass(frozen=True)
 class KeyedTable:
@@ -43,134 +49,80 @@ class KeyedTable:
     partition_by: list[str] = field(default_factory=list)
     # Whether NULL in a key column is a value; otherwise such rows have no key and all stay.
     null_is_value: bool = False
-    merge: str = "last"  # or "first", "sum"
+    first: bool = False
+    # A boolean column: where it is true in the row that stays, the key is deleted.
+    tombstone: str | None = None
 
     def columns(self) -> list[str]:
         return self._fields().fieldNames()
 
-    def upsert(self, df: DataFrame, batch: int | str, source: str = "") -> str:
+    def upsert(self, df: DataFrame, batch: int, source: str = "load") -> str:
         """Write one batch and give its folder; several rows of a key are settled when reading."""
-        rows = df.select(*self.columns())
+        rows = df.select(*self.columns(), F.lit(dt.datetime.now(dt.timezone.utc)).alias("written_at"))
         if self.partition_by:
             rows = rows.sortWithinPartitions(*self.partition_by)
-        target = self._dir(self._generation(df.sparkSession, f"{source}#{batch}"))
+        target = f"{self.path}/batches/source={quote(source, safe='')}/batch={batch}"
         rows.write.mode("overwrite").parquet(target)
         return target
 
     def latest(self, spark: SparkSession) -> DataFrame:
-        """One row per key over all committed batches."""
-        live = self._live(spark)
-        return self._latest(self._read(spark, [g for g in live if g % 2]), self._read(spark, [g for g in live if not g % 2]), live)
+        """One row per key; deleted keys have none."""
+        return self._alive(self._latest(spark, self._base(spark), self._batches(spark)))
 
     def lookup(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
-        """The latest rows of the keys in ``wanted`` only: other rows are dropped before the merge."""
-        live = self._live(spark)
+        """The latest rows of the keys in ``wanted`` only: other rows are dropped before they are settled."""
         keys = wanted.select(*self.keys).distinct()
-        base, newer = (
-            self._read(spark, [g for g in live if g % 2 == odd]).join(keys, self.keys, "left_semi") for odd in (1, 0)
+        base, batches = (
+            rows if rows is None else rows.join(keys, self.keys, "left_semi") for rows in (self._base(spark), self._batches(spark))
         )
-        return self._latest(base, newer, live)
-
-    def _latest(self, base: DataFrame, newer: DataFrame, live: list[int]) -> DataFrame:
-        """The compacted part has one row per key already: only keys that newer batches hold are merged again, all other
-        rows pass as they are, without a sort or an aggregate."""
-        if not any(g % 2 for g in live):
-            return self._merge(newer)
-        if all(g % 2 for g in live):
-            return base.drop("gen")
-        changed = newer.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
-        same = reduce(lambda x, y: x & y, (
-            base[k].eqNullSafe(F.col(f"_{k}")) if self.null_is_value else base[k] == F.col(f"_{k}") for k in self.keys
-        ))
-        kept = base.join(changed, same, "left_anti").drop("gen")
-        if self.merge != "last":  # the last write of a changed key is never in the compacted part
-            newer = newer.unionByName(base.join(changed, same, "left_semi"))
-        return kept.unionByName(self._merge(newer))
-
-    def compact(self, spark: SparkSession) -> int | None:
-        """Fold all committed batches into one folder; gives the last batch id covered."""
-        live = self._live(spark)
-        if not live or (len(live) == 1 and live[0] % 2 == 1):
-            return None
-        covered = live[-1] // 2
-        merged = self.latest(spark)
-        target = self._dir(2 * covered + 1)
+        return self._alive(self._latest(spark, base, batches))
+
+    def compact(self, spark: SparkSession, path: str) -> KeyedTable:
+        """The same table in a new folder, all but the last batch of each source settled. Run it while no stream writes."""
+        target = replace(self, path=path)
+        batches = self._batches(spark)
+        older = None
+        if batches is not None:
+            newest = batches.groupBy("source").agg(F.max("batch").alias("batch"))  # a row per stream
+            batches.join(newest, ["source", "batch"], "left_semi").write.partitionBy("source", "batch").parquet(f"{path}/batches")
+            older = batches.join(newest, ["source", "batch"], "left_anti")
+        merged = self._latest(spark, self._base(spark), older)
         if not self.partition_by:
-            merged.write.mode("overwrite").parquet(target)
-            return covered
+            merged.write.parquet(f"{path}/base")
+            return target
         # Ranges over day and key: a task writes few days, and a day with much data has many tasks.
         by_range = merged.repartitionByRange(*self.partition_by, *[k for k in self.keys if k not in self.partition_by])
-        by_range.sortWithinPartitions(*self.partition_by).write.mode("overwrite").partitionBy(*self.partition_by).parquet(target)
-        return covered
-
-    def vacuum(self, spark: SparkSession) -> int:
-        """Delete folders an earlier compaction has replaced. Run it when no reader uses them."""
-        committed = self._committed(spark)
-        stale = [g for g in committed if g < self._base(committed)]
-        fs, _ = self._fs(spark)
-        for gen in stale:
-            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._dir(gen)), True)
-        return len(stale)
-
-    def _merge(self, rows: DataFrame) -> DataFrame:
-        if self.merge == "sum":
-            return rows.groupBy(*self.keys).agg(F.sum("n").cast(self._fields()["n"].dataType).alias("n")).select(*self.columns())
-        if self.merge == "first":
-            return first_rows(rows.drop("gen"), self.keys, self.order)
-        return latest_rows(rows, self.keys, ["gen", *self.order], self.null_is_value).drop("gen")
-
-    def _generation(self, spark: SparkSession, pair: str) -> int:
-        """The generation of a batch, now or from when it was first written."""
-        fs, folder = self._fs(spark)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        pairs = path(folder, "_pairs")
-        name = hashlib.sha256(pair.encode()).hexdigest()
-        known = {}
-        if fs.exists(pairs):
-            known = dict(reversed(s.getPath().getName().split("-")) for s in fs.listStatus(pairs))
-        if name in known:
-            return int(known[name])
-        last = max([*map(int, known.values()), *self._committed(spark)], default=-2)
-        gen = last // 2 * 2 + 2
-        fs.create(path(pairs, f"{gen}-{name}"), False).close()
-        return gen
-
-    def _dir(self, gen: int) -> str:
-        return f"{self.path}/gen={gen}"
+        by_range.sortWithinPartitions(*self.partition_by).write.partitionBy(*self.partition_by).parquet(f"{path}/base")
+        return target
+
+    def _latest(self, spark: SparkSession, base: DataFrame | None, batches: DataFrame | None) -> DataFrame:
+        if batches is None:
+            return spark.createDataFrame([], self._fields()) if base is None else base
+        batches = batches.drop("source", "batch")
+        if base is None:
+            return self._settled(batches)
+        changed = batches.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
+        same = reduce(and_, (
+            base[k].eqNullSafe(F.col(f"_{k}")) if self.null_is_value else base[k] == F.col(f"_{k}") for k in self.keys
+        ))
+        # Whatever its order value, a row of the base was written before those of the batches.
+        earlier = base.join(changed, same, "left_semi").withColumn("written_at", F.lit(None).cast("timestamp"))
+        return base.join(changed, same, "left_anti").unionByName(self._settled(batches.unionByName(earlier)))
+
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        if self.first:
+            return first_rows(rows.drop("written_at"), self.keys, self.order)
+        return latest_rows(rows, self.keys, [*self.order, "written_at"], self.null_is_value).drop("written_at")
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        return rows.where(~F.coalesce(F.col(self.tombstone), F.lit(False))) if self.tombstone else rows
 
     def _fields(self) -> T.StructType:
         return self.schema if isinstance(self.schema, T.StructType) else T._parse_datatype_string(self.schema)
 
-    def _read(self, spark: SparkSession, gens: list[int]) -> DataFrame:
-        schema = T.StructType([*self._fields().fields, T.StructField("gen", T.LongType())])
-        found = [
-            spark.read.schema(schema)
-            .option("basePath", self.path)
-            .parquet(*[self._dir(g) for g in part])
-            .select(*schema.fieldNames())
-            for part in ([g for g in gens if g % 2 == 1], [g for g in gens if g % 2 == 0])
-            if part
-        ]
-        return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
-
-    def _fs(self, spark: SparkSession):
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
-
-    def _committed(self, spark: SparkSession) -> list[int]:
-        fs, folder = self._fs(spark)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        if not fs.exists(folder):
-            return []
-        found = fs.globStatus(hadoop.Path(folder, "gen=*/_SUCCESS"))
-        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
-
-    @staticmethod
-    def _base(committed: list[int]) -> int:
-        """The newest compaction; folders below it are replaced."""
-        return max((g for g in committed if g % 2 == 1), default=0)
-
-    def _live(self, spark: SparkSession) -> list[int]:
-        committed = self._committed(spark)
-        base = self._base(committed)
-        return [g for g in committed if g >= base]
+    def _base(self, spark: SparkSession) -> DataFrame | None:
+        return read_folder(spark, self._fields(), f"{self.path}/base")
+
+    def _batches(self, spark: SparkSession) -> DataFrame | None:
+        named = [_WRITTEN, T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
+        return read_folder(spark, T.StructType([*self._fields().fields, *named]), f"{self.path}/batches")

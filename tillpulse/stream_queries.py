@@ -248,7 +248,7 @@ def upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     table.upsert(users, 0)
     table.upsert(odd.withColumn("user_level", F.lit("1")), 1)
     table.upsert(odd.withColumn("user_level", F.lit("1")), 1)
-    table.compact(spark)
+    table = table.compact(spark, f"{work}/compacted")
     table.upsert(odd.where(F.col("id").cast("bigint") % 3 == 1).withColumn("user_level", F.lit("2")), 2)
     return table.latest(spark).drop("arrival_ts")
 
@@ -263,8 +263,7 @@ def _restarted(spark: SparkSession, sf_dir: str, compact: bool) -> DataFrame:
     table.upsert(users.where(key == 0), 0, "first")
     table.upsert(users.where(key == 1), 1, "first")
     if compact:
-        table.compact(spark)
-        table.vacuum(spark)
+        table = table.compact(spark, f"{work}/compacted")
     table.upsert(users.where(key.isin(0, 2)).withColumn("user_level", F.lit("new")), 0, "second")
     table.upsert(users.where(key == 3), 1, "second")
     return table.latest(spark).drop("arrival_ts")
@@ -296,3 +295,32 @@ def stream_order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         _publish(part, topics.ORDER_TOPIC, f"{work}/topics")
         _run(spark, lambda: streaming.order_job(_parsed_orders(spark, f"{work}/topics"), table, f"{work}/checkpoint"))
     return _order_columns(table.latest(spark)).select("id", "order_status", "create_date", "create_hour")
+
+
+@query
+def sale_late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines that come two days after their order. The stream has given them up; orders divisible by seven are not there
+    even now, so their lines go on waiting."""
+    work = shared_dir(spark, "late-lines")
+    orders = streaming.order_table(f"{work}/orders")
+    lines, rest = streaming.unmatched_table(f"{work}/unmatched"), streaming.unmatched_table(f"{work}/rest")
+    users, sales = streaming.user_table(f"{work}/users"), streaming.sale_table(f"{work}/sales")
+    day = F.lit("2024-01-01").cast("timestamp")
+    key = F.col("id").cast("bigint")
+    empty = [F.lit(None).cast("string").alias(f) for f in orders.columns()]
+    known = t.order_info(t.table(spark, sf_dir, "orders"), t.table(spark, sf_dir, "customer")).where(key % 7 != 0)
+    known = known.withColumn("arrival_ts", day)
+    missing = [c for f, c in zip(orders.columns(), empty) if f not in known.columns]
+    orders.upsert(known.select("*", *missing), 0)
+    people = t.user_info(t.table(spark, sf_dir, "customer")).withColumn("arrival_ts", day)
+    users.upsert(people, 0)
+    details = t.order_detail(t.table(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"))
+    late = details.withColumnRenamed("id", "order_detail_id").withColumns({
+        "sku_price": F.col("order_price").cast("double"), "arrival_ts": day + F.expr("interval 2 days"),
+    })
+    lines.upsert(late, 0)
+    for run in (0, 0):
+        streaming.reconcile_lines(spark, orders, lines, users, sales, rest, q.AS_OF, run)
+    sold = q._age_as_double(sales.latest(spark).drop("arrival_ts", "order_arrival_ts")).withColumn("waiting", F.lit(False))
+    waiting = rest.latest(spark).select("order_detail_id", "order_id", "sku_id", "sku_name", "sku_price").withColumn("waiting", F.lit(True))
+    return sold.unionByName(waiting, allowMissingColumns=True)

@@ -4,10 +4,12 @@ from tillpulse.streaming.jobs import (
     dau_job,
     ingest_job,
     order_job,
+    reconcile_lines,
     reject_job,
     sale_job,
     start,
 )
+from tillpulse.streaming.progress import ProgressLog
 from tillpulse.streaming.tables import (
     alert_table,
     dau_table,
@@ -26,7 +28,7 @@ from tillpulse.streaming.transforms import (
 )
 
 __all__ = [
-    "alert_job", "alert_table", "change_job", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
+    "ProgressLog", "alert_job", "alert_table", "change_job", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
     "first_startup_stream", "ingest_job", "join_order_detail_stream", "minute_table", "order_job", "order_table", "pane_table",
-    "reject_job", "sale_job", "sale_table", "start", "unmatched_table", "user_table",
+    "reconcile_lines", "reject_job", "sale_job", "sale_table", "start", "unmatched_table", "user_table",
 ]

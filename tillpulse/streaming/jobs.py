@@ -3,7 +3,7 @@
 Output happens in ``foreachBatch``; tables are keyed and a replayed batch overwrites its own folder, so a
 restart from the checkpoint repeats no effect. Batches are named by the stream's own id, so that a stream
 with a fresh checkpoint adds to a table. First startups and pane counts keep no state in the stream: every
-batch writes its own, and the table merges them, however late they come.
+batch writes its own, and they are put together when read, however late they come.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import datetime as dt
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tillpulse.operators.alerts import (
@@ -26,8 +26,9 @@ from tillpulse.operators.alerts import (
 )
 from tillpulse.operators.devices import first_startup, observed
 from tillpulse.operators.ingest import route_cdc, route_logs, stamp_ingest
-from tillpulse.operators.sales import enrich_user
+from tillpulse.operators.sales import enrich_user, late_sales, waiting_lines
 from tillpulse.sinks.keyed import KeyedTable
+from tillpulse.sinks.panes import PaneStore, hour_of
 from tillpulse.sinks.topics import topic_sink
 from tillpulse.sources.records import rejects
 from tillpulse.streaming.transforms import join_order_detail_stream
@@ -85,12 +86,13 @@ def dau_job(
     """First startups per device and day into the DAU table.
 
     The rows of a batch are observed as ``startups_in``; ``counted`` gets the number of first startups that
-    it writes. A batch writes the earliest of its own; the table keeps the earliest of all.
+    it writes, seen by the write itself. A batch writes the earliest of its own; the table keeps the earliest of all.
     """
 
     def each(batch: DataFrame, batch_id: int, source: str) -> None:
-        folder = table.upsert(first_startup(batch, tie_break), batch_id, source)
-        counted(batch.sparkSession.read.schema(table.schema).parquet(folder).count())
+        written = Observation()
+        table.upsert(first_startup(batch, tie_break).observe(written, F.count(F.lit(1)).alias("rows")), batch_id, source)
+        counted(written.get["rows"])
 
     return _into(observed(startups, "startups_in"), "append", checkpoint, each)
 
@@ -101,57 +103,49 @@ def order_job(orders: DataFrame, table: KeyedTable, checkpoint: str) -> DataStre
 
 
 def alert_job(
-    events: DataFrame, panes: KeyedTable, alerts: KeyedTable, checkpoint: str, minutes: KeyedTable | None = None
+    events: DataFrame, panes: PaneStore, alerts: KeyedTable, checkpoint: str, minutes: KeyedTable | None = None
 ) -> DataStreamWriter:
-    """Pane counts into one table, the windows they touch into another, and the alert of each minute into a third.
+    """Pane counts into one store, the windows they touch into a table, and the alert of each minute into another.
 
-    A window is written again whenever one of its panes changes, with ``suppressed`` telling whether a
-    click has cleared the device meanwhile; readers keep the rows that are not suppressed. So is the alert
-    of a minute, once per device and minute. A batch reads only the days around its own panes and only its
-    own devices.
+    A window is written again whenever one of its panes changes, with ``suppressed`` telling whether a click has cleared
+    the device meanwhile; readers keep the rows that are not suppressed. So is the alert of a minute, once per
+    device and minute. All windows of a touched minute are worked out, so its alert comes from what the batch has written itself:
+    a batch reads the hours of its own panes and windows and its own devices in them, and no table.
     """
-    per_window = SIZE_SECONDS // SLIDE_SECONDS
+    per_window, per_minute = SIZE_SECONDS // SLIDE_SECONDS, 60 // SLIDE_SECONDS
 
     def each(batch: DataFrame, batch_id: int, source: str) -> None:
         spark = batch.sparkSession
-        day = F.to_date(F.timestamp_seconds(F.col("pane") * SLIDE_SECONDS))
-        folder = panes.upsert(pane_counts(batch).withColumn("day", day), batch_id, source)
-        # The written rows, so that the batch is not read twice.
-        changed = spark.read.schema(panes.schema).parquet(folder).select("mid", "pane").distinct()
-        lo, hi = changed.agg(F.min("pane"), F.max("pane")).first()
-        if lo is None:
-            return
-        ends = (
-            changed.select("mid", F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + per_window)).alias("w"))
-            .distinct()
-            .select("mid", F.timestamp_seconds(F.col("w") * SLIDE_SECONDS).alias("window_end"))
-        )
-        near = (
-            panes.latest(spark)
-            .where(F.col("day").between(F.lit(_day(lo - per_window)), F.lit(_day(hi + per_window))))
-            .where(F.col("pane").between(lo - per_window + 1, hi + per_window - 1))
-            .join(changed.select("mid").distinct(), "mid", "left_semi")
-        )
-        windows = windows_from_panes(near, chunk=CHUNK_SECONDS).join(ends, ["mid", "window_end"], "left_semi")
-        alerts.upsert(windows.withColumn("day", F.to_date("window_end")), batch_id, source)
-        if minutes:
-            minutes.upsert(_minutes(spark, alerts, ends, lo, hi + per_window), batch_id, source)
+        counts = pane_counts(batch).persist()
+        try:
+            panes.add(counts, batch_id, source)
+            of_minute = F.sequence(F.floor((F.col("pane") + 1) / per_minute), F.floor((F.col("pane") + per_window) / per_minute))
+            touched = counts.select("mid", "pane").distinct().select("mid", F.explode(of_minute).alias("minute")).distinct().persist()
+            first = F.col("minute") * per_minute - per_window
+            inside = F.sequence(hour_of(first), hour_of(F.col("minute") * per_minute + per_minute - 2))
+            device_hours = touched.select("mid", F.explode(inside).alias("hour")).distinct()
+            hours = sorted(r["hour"] for r in device_hours.select("hour").distinct().collect())
+            near = panes.read(spark, hours).join(device_hours, ["mid", "hour"], "left_semi").drop("hour", "source", "batch")
+            windows = windows_from_panes(near, chunk=CHUNK_SECONDS).withColumn("minute", _minute())
+            windows = windows.join(touched, ["mid", "minute"], "left_semi").withColumn("day", F.to_date("window_end"))
+            written = alerts.upsert(windows, batch_id, source)
+            if minutes:
+                rows = spark.read.schema(alerts.schema).parquet(written)
+                minutes.upsert(_minutes(rows, touched), batch_id, source)
+            touched.unpersist()
+        finally:
+            counts.unpersist()
 
     return _into(events, "append", checkpoint, each)
 
 
-def _minutes(spark, alerts: KeyedTable, ends: DataFrame, lo: int, hi: int) -> DataFrame:
-    """The alert of every device and minute that ``ends`` touches; where a click has cleared all its windows, a row
-    that says so."""
-    minute = F.floor(F.unix_seconds("window_end") / 60)
-    touched = ends.select("mid", minute.alias("minute")).distinct()
-    current = (
-        alerts.latest(spark)
-        .where(F.col("day").between(F.lit(_day(lo - 6)), F.lit(_day(hi + 6))) & ~F.col("suppressed"))
-        .withColumn("minute", minute)
-        .join(touched, ["mid", "minute"], "left_semi")
-    )
-    found = alerts_per_minute(current.drop("minute")).withColumn("minute", minute).drop("alert_id")
+def _minute() -> Column:
+    return F.floor(F.unix_seconds("window_end") / 60)
+
+
+def _minutes(windows: DataFrame, touched: DataFrame) -> DataFrame:
+    """The alert of every device and minute of ``touched``; where a click has cleared all its windows, a row that says so."""
+    found = alerts_per_minute(windows.where(~F.col("suppressed"))).withColumn("minute", _minute()).drop("alert_id")
     start = F.timestamp_seconds(F.col("minute") * 60)
     return touched.join(found, ["mid", "minute"], "left").select(
         F.concat_ws("_", "mid", F.col("minute").cast("string")).alias("alert_id"),
@@ -161,10 +155,6 @@ def _minutes(spark, alerts: KeyedTable, ends: DataFrame, lo: int, hi: int) -> Da
     )
 
 
-def _day(pane: int) -> dt.date:
-    return dt.datetime.fromtimestamp(pane * SLIDE_SECONDS, dt.timezone.utc).date()
-
-
 def sale_job(
     orders: DataFrame,
     details: DataFrame,
@@ -206,3 +196,23 @@ def sale_job(
             batch.unpersist()
 
     return _into(both, "append", checkpoint, each)
+
+
+def reconcile_lines(
+    spark: SparkSession,
+    order_table: KeyedTable,
+    unmatched_table: KeyedTable,
+    user_table: KeyedTable,
+    sale_table: KeyedTable,
+    rest: KeyedTable,
+    as_of: Column | str | dt.date,
+    run: int = 0,
+) -> None:
+    """Order lines that have waited for their order: those whose order has come meanwhile become sales, however late; the others go
+    to ``rest``, the unmatched table of the next run. A batch job, to be run every now and then; a repeated ``run``
+    overwrites what it has written."""
+    lines, orders = unmatched_table.latest(spark), order_table.latest(spark)
+    found = late_sales(orders, lines)
+    known = user_table.lookup(spark, found.select(F.col("user_id").alias("id")))
+    sale_table.upsert(enrich_user(found, known, as_of), run, "late lines")
+    rest.upsert(waiting_lines(orders, lines), run, "late lines")

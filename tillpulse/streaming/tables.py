@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from tillpulse import schemas
 from tillpulse.sinks.keyed import KeyedTable
+from tillpulse.sinks.panes import PaneStore
 
 
 def dau_table(path: str) -> KeyedTable:
     """First startups: the earliest of a device and day stays, whenever it is written."""
     return KeyedTable(
-        path, schemas.DAU_TABLE, ["log_date", "mid"], ["ts"], partition_by=["log_date"], null_is_value=True, merge="first"
+        path, schemas.DAU_TABLE, ["log_date", "mid"], ["ts"], partition_by=["log_date"], null_is_value=True, first=True
     )
 
 
@@ -38,10 +39,9 @@ def unmatched_table(path: str) -> KeyedTable:
     return KeyedTable(path, schemas.UNMATCHED_TABLE, ["order_detail_id"], ["arrival_ts"])
 
 
-def pane_table(path: str) -> KeyedTable:
+def pane_table(path: str) -> PaneStore:
     """Event counts: every batch adds its own."""
-    keys = ["day", "mid", "pane", "evid", "uid", "itemid"]
-    return KeyedTable(path, schemas.PANE_TABLE, keys, partition_by=["day"], null_is_value=True, merge="sum")
+    return PaneStore(path)
 
 
 def alert_table(path: str) -> KeyedTable:
