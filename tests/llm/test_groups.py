@@ -1,6 +1,7 @@
 """Near-duplicates, repeated units, benchmark items: results that depend on other documents."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillpulse.llm import decontaminate, lines, simhash
+from tillpulse.llm import decontaminate, lines, resemblance, simhash
+from tillpulse.llm.common import row_identity, rows_among, rows_without, stored
 from tillpulse.llm.components import components
 
 from .conftest import ODD, SENTENCE, as_docs
@@ -202,18 +204,21 @@ def words_of(pick, n):
 
 
 def contained(docs, items, threshold=0.8):
-    def parts(text):
-        joined, starts, ends = decontaminate.shingles(text or "")
-        return frozenset(joined[a:b] for a, b in zip(starts, ends))
+    def words(text):
+        return tuple(re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", text or "").lower().split(" "))
+
+    def parts(own, n):
+        return frozenset(own[i:i + n] for i in range(len(own) - n + 1))
 
     named, out = {}, {}
     for i, t in items:
-        if parts(t):
-            key = decontaminate.shingles(t)[0]
-            named[key] = min(i, named.get(key, (i,))[0]), parts(t)
+        own = tuple(filter(None, words(t)))
+        if own:
+            named[own] = min(i, named.get(own, (i,))[0]), min(5, len(own))
     for d, t in docs:
-        own = parts(t)
-        out[d] = sorted(i for i, p in named.values() if len(p & own) / len(p) >= threshold)
+        own = tuple(filter(None, words(t)))
+        held = {n: parts(own, n) for n in range(1, 6)}
+        out[d] = sorted(i for item, (i, n) in named.items() if len(parts(item, n) & held[n]) / len(parts(item, n)) >= threshold)
     return out
 
 
@@ -274,3 +279,47 @@ def test_items_without_an_id_of_their_own(spark):
     report = {r["doc_id"]: (r["contaminated"], r["n_items"], r["items"], r["containment"]) for r in decontaminate.decontamination_report(docs, items).collect()}
     assert report == {0: (True, 1, [], 1.0), 1: (True, 1, [7], 1.0), 2: (True, 1, [7], 1.0), 3: (False, 0, [], None)}
     assert [r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect()] == [3]
+
+
+def test_items_of_one_to_eight_words(spark):
+    """Whole, in documents of any length; and one shingle that all items and most documents have."""
+    pick = random.Random(11)
+    items = [(i, " ".join(f"w{pick.randrange(10**6)}" for _ in range(1 + i % 8))) for i in range(80)]
+    items += [(100 + i, "this line is in all of them " + " ".join(f"v{pick.randrange(10**6)}" for _ in range(12))) for i in range(20)]
+    docs = [(1000, "quick brown fox"), (1001, "the Quick, brown fox jumps"), (1002, "quick fox brown")]
+    items.append((200, "quick brown fox"))
+    for d, (_, text) in enumerate(items):
+        words = words_of(pick, pick.choice([0, 2, 300])) + ["this line is in all of them"] * (d % 3)
+        words.insert(pick.randrange(len(words) + 1), text if d % 5 else " ".join(text.split()[::-1]))
+        docs.append((d, " ".join(words)))
+    expected = contained(docs, items)
+    assert expected[1000] == expected[1001] == [200] and expected[1002] == [] and sum(map(bool, expected.values())) > 70
+    report = decontaminate.decontamination_report(as_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["items"] for r in report.collect()} == expected
+
+
+def test_pages_of_one_template_are_not_paired(spark):
+    """Pages that share half of their words: the pairs looked at grow with the pages, not with their square."""
+    template = [f"t{i}" for i in range(60)]
+    looked_at = []
+    for n in (100, 200):
+        pick = random.Random(12)
+        docs = as_docs(spark, [(i, " ".join(template + [f"own{pick.random()}" for _ in range(40)])) for i in range(n)])
+        texts = docs.select(*row_identity(docs), "text")
+        found = stored(resemblance.signatures(texts), "test")
+        counts = resemblance.count_sketch(found.where("chunk is not null").select("chunk", "counts"))
+        assert counts.sum() == n * 96
+        keyed = stored(resemblance.prefixes(texts, counts), "test")
+        members = stored(keyed.select("node", "size", F.posexplode("keys").alias("at", "key")), "test")
+        none = spark.createDataFrame([], "node long, root long")
+        looked_at.append(resemblance.star_pairs(members).count() + resemblance.other_pairs(members, none).count())
+    assert looked_at == [0, 0]
+
+
+def test_rows_without_keep_all_others(spark, odd):
+    rows = odd.select(*row_identity(odd)).where("row_id in (3, 5, 8)").distinct()
+    left = rows_without(odd, stored(rows, "test"))
+    assert left.schema == odd.schema
+    assert Counter(map(tuple, left.collect())) == Counter(tuple(r) for r in odd.collect() if r["doc_id"] not in (3, 5, 8))
+    assert Counter(r["doc_id"] for r in rows_among(odd, stored(rows, "test")).collect()) >= Counter([3, 5, 5, 8])
+    assert rows_without(odd, stored(rows.limit(0), "test")).count() == odd.count()

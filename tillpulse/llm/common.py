@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import pathlib
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +36,19 @@ def row_identity(docs: DataFrame) -> list:
     ]
 
 
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` by workers that find this package also when only the driver's path has it (one machine); on a
-    cluster it comes with ``--py-files``."""
+def _known_to_workers(spark: SparkSession) -> None:
+    """Python workers find this package also when only the driver's path has it (one machine); on a cluster it comes with
+    ``--py-files``."""
     root = str(pathlib.Path(__file__).resolve().parents[2])
-    environment = df.sparkSession.sparkContext.environment
+    environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(":")
     if root not in known:
         environment["PYTHONPATH"] = ":".join(filter(None, [root, *known]))
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` by workers that find this package, over batches of few rows."""
+    _known_to_workers(df.sparkSession)
     return df.mapInArrow(lambda batches: function(_slices(batches)), schema)
 
 
@@ -49,3 +57,61 @@ def _slices(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
+
+
+# Bit maps take 64 bits an entry, between these bounds: at most 16 MB each.
+MAP_BITS = (1 << 20, 1 << 27)
+
+
+def _bit(values: np.ndarray, bits: int) -> np.ndarray:
+    mixed = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def bit_map(values: DataFrame, column: str) -> np.ndarray:
+    """Fixed-size map of the bits that the values set."""
+    n = values.count()
+    bits = min(max(1 << (64 * max(n, 1)).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+
+    def places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column(0).to_numpy(), bits) + 1)], ["place"])
+
+    set_bits = map_batches(values.select(F.col(column).cast("long")), places, "place long")
+    parts = set_bits.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
+    )
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, bitmap in parts.collect():  # bits / 32768 rows of 4 KB at most
+        part = np.frombuffer(bytes(bitmap), np.uint8)
+        at = (bucket - 1) * 4096
+        out[at:at + len(part)] = part[:len(out) - at]
+    return out
+
+
+def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = _bit(values, 8 * len(bits))
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _flagged(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` with ``_hit``: whether the bit map of the digests of ``rows`` lets a row through. Only digests go to Python."""
+    _known_to_workers(docs.sparkSession)
+    bits = bit_map(rows, "row_digest")
+    hit = F.pandas_udf(lambda digests: pd.Series(is_set(bits, digests.to_numpy())), "boolean")
+    return docs.withColumn("_hit", hit(row_identity(docs)[1]))
+
+
+def rows_among(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """At least the rows of ``docs`` whose identity is in ``rows`` (row_id, row_digest), and few others, whatever the size of either."""
+    return _flagged(docs, rows).where("_hit").drop("_hit")
+
+
+def rows_without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without those whose identity is in ``rows`` (row_id, row_digest). Rows that the bit map of ``rows`` does not know
+    stay where they are; only the others, mostly those to be left out, are exchanged."""
+    flagged = _flagged(docs, rows)
+    asked = flagged.where("_hit").drop("_hit")
+    row_id, row_digest = row_identity(asked)
+    same = (row_id == rows["row_id"]) & (row_digest == rows["row_digest"])
+    return flagged.where(~F.col("_hit")).drop("_hit").unionByName(asked.join(rows, same, "left_anti"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpulse.llm.common import row_identity, stored
+from tillpulse.llm.common import row_identity, rows_without, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -53,8 +53,7 @@ def one_row_of_each(docs: DataFrame, marked: DataFrame, rooted: DataFrame) -> Da
     row = ["row_id", "row_digest"]
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     dropped = stored(marked.select(*row).distinct().join(kept, row, "left_anti"), "dropped-documents")
-    row_id, row_digest = row_identity(docs)
-    left = docs.join(dropped, (row_id == dropped["row_id"]) & (row_digest == dropped["row_digest"]), "left_anti")
+    left = rows_without(docs, dropped)
     repeated = marked.groupBy(*row).count().where("count > 1").limit(1).count()
     if not repeated:
         return left

@@ -1,20 +1,22 @@
-"""Benchmark decontamination: exact shingle containment, candidates by a prefix filter over each item's shingles.
-
-An item is contained in a document if at least ``THRESHOLD`` of its distinct five-word shingles occur there, anywhere. Of an
-item with n shingles a document that contains it lacks at most n - ceil(THRESHOLD * n). So it has at least one of any
-n - ceil(THRESHOLD * n) + 1 of them: these few, the least by hash, are the item's keys. Documents that hold a key are the
-candidates; none is missed, whatever the item's size and wherever its shingles lie. For candidates the shared shingles
-themselves are joined and counted, over the whole document.
-
-Documents are read once. What leaves that pass is only what a bit map of the items' keys and shingles lets through; the
-map's size is bounded (``MAP_BITS``) and its errors are removed by the joins. Words are lower-cased runs without ASCII
-punctuation, so that marks around a passage do not hide it.
-
-Cases: null and empty texts contain nothing, empty items are contained in nothing; an item of fewer than five words is one
-shingle of all its words and found where a document has these words as one whole text of that length; items with the same
-words are one item, named by the smallest item_id; texts that share an item_id are items of their own; an item without id
-contaminates and counts like any other but has no id to be listed; repeated rows give repeated results; without items
-nothing is found.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+
+An item is contained in a document if at least ``THRESHOLD`` of its distinct shingles occur there, anywhere. Shingles have five
+words, those of a shorter item as many words as it has.
+
+Items are partitioned by size: 1, 2-3, 4-7, 8-15, ... shingles. A partition has a permutation of its own, under which an item's
+signature is its least values, its minima, ahead of them the shingles that fewer items have. Of an item with n shingles a document
+that contains it lacks at most n - ceil(THRESHOLD * n), so it holds at least one of any n - ceil(THRESHOLD * n) + 1 of them: that is
+the number of minima, and no item is missed, however short, however long the document, and wherever its shingles lie. A document is
+asked for by the partitions' values of its own shingles; those that hold a minimum are candidates. For each candidate the item's
+shingles themselves are looked up in the document and counted.
+
+Documents are read once. What leaves that pass is only what a bit map of the items' minima and shingles lets through; the map's size
+is bounded and its errors are removed by the joins. Words are lower-cased runs without ASCII punctuation, so that marks around a
+passage do not hide it.
+
+Cases: null and empty texts contain nothing, empty items are contained in nothing; items with the same words are one item, named by
+the smallest item_id; texts that share an item_id are items of their own; an item without id contaminates and counts like any
+other but has no id to be listed; repeated rows give repeated results; without items nothing is found.
 """
 
 from __future__ import annotations
@@ -27,23 +29,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpulse.llm.common import PLAIN, map_batches, row_identity, stored
+from tillpulse.llm.common import PLAIN, bit_map, is_set, map_batches, row_identity, rows_without, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-# The bit maps take 64 bits an entry, between these bounds: at most 16 MB each.
-MAP_BITS = (1 << 20, 1 << 27)
+PARTITIONS = 32
+_MULTIPLIERS = np.random.default_rng(17).integers(1 << 62, (1 << 63) - 1, PARTITIONS, dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: str) -> tuple[bytes, list[int], list[int]]:
-    """The plain words joined by single spaces, and where each shingle begins and ends."""
+def plain_words(text: str) -> tuple[bytes, list[int]]:
+    """The plain words joined by single spaces, and where each ends (the space behind it included)."""
     words = text.encode("utf-8").translate(PLAIN).split()
-    if not words:
-        return b"", [], []
-    ends = list(itertools.accumulate(len(w) + 1 for w in words))
-    last = min(SHINGLE_WORDS, len(words)) - 1
-    starts = [0, *ends[:-1]][:len(words) - last]
-    return b" ".join(words), starts, [e - 1 for e in ends[last:]]
+    return b" ".join(words), list(itertools.accumulate(len(w) + 1 for w in words))
+
+
+def runs(ends: list[int], words: int) -> tuple[list[int], list[int]]:
+    """Where each run of so many words begins and ends."""
+    return [0, *ends[:-1]][:max(0, len(ends) - words + 1)], [e - 1 for e in ends[words - 1:]]
+
+
+def shingles(text: str) -> tuple[bytes, list[int], list[int]]:
+    """The joined words, and where each shingle of an item begins and ends."""
+    joined, ends = plain_words(text)
+    return joined, *(runs(ends, min(SHINGLE_WORDS, len(ends))) if ends else ([], []))
+
+
+def partition_of(size: int) -> int:
+    return size.bit_length() - 1
 
 
 def _hashes(joined: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
@@ -57,13 +69,12 @@ def key_count(size: int, threshold: float) -> int:
     return max(0, size - needed + 1)
 
 
-def _bit(values: np.ndarray, bits: int) -> np.ndarray:
-    mixed = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+def _permuted(hashes: np.ndarray, partition: int) -> np.ndarray:
+    return (hashes * _MULTIPLIERS[partition]).view(np.int64)
 
 
 def _item_rows(items: DataFrame, threshold: float) -> DataFrame:
-    """(item, item_id, size, keys, shingles), one row per distinct text of an item."""
+    """(item, item_id, size, length, part, hashes, shingles), one row per distinct text of an item."""
 
     def sketch(batches):
         for batch in batches:
@@ -74,82 +85,93 @@ def _item_rows(items: DataFrame, threshold: float) -> DataFrame:
                     continue
                 own = sorted({joined[a:b] for a, b in zip(starts, ends)})
                 hashes = np.array([xxhash.xxh64_intdigest(s) for s in own], np.uint64)
-                keys = np.sort(hashes)[:key_count(len(own), threshold)]
-                rows.append((item_id, joined, len(own), keys.view(np.int64).tolist(), hashes.view(np.int64).tolist(), own))
+                length = min(SHINGLE_WORDS, joined.count(b" ") + 1)
+                rows.append((item_id, joined, len(own), length, partition_of(len(own)), hashes.view(np.int64).tolist(), own))
             if rows:
-                types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-                names = ["item_id", "words", "size", "keys", "hashes", "shingles"]
+                types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string())]
+                names = ["item_id", "words", "size", "length", "part", "hashes", "shingles"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    schema = "item_id long, words binary, size int, keys array<long>, hashes array<long>, shingles array<binary>"
+    schema = "item_id long, words binary, size int, length int, part int, hashes array<long>, shingles array<string>"
     rows = map_batches(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), sketch, schema)
-    rest = [F.first(c).alias(c) for c in ("size", "keys", "hashes", "shingles")]
+    rest = [F.first(c).alias(c) for c in ("size", "length", "part", "hashes", "shingles")]
     return rows.groupBy("words").agg(F.min("item_id").alias("item_id"), *rest).withColumn("item", F.xxhash64("words"))
 
 
-def _bit_map(values: DataFrame, column: str) -> np.ndarray:
-    """Fixed-size map of the bits that the values set."""
-    n = values.count()
-    bits = min(max(1 << (64 * max(n, 1)).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+def item_minima(found_items: DataFrame, threshold: float) -> DataFrame:
+    """(item, part, length, key): the signature of each item."""
+    hashes = found_items.select("item", F.explode("hashes").alias("hash"))
+    often = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("items"))
+    counted = hashes.join(often, "hash").groupBy("item").agg(F.collect_list(F.struct("hash", "items")).alias("counted"))
 
-    def places(batches):
+    def least(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column(0).to_numpy(), bits) + 1)], ["place"])
-
-    set_bits = map_batches(values.select(F.col(column).cast("long")), places, "place long")
-    parts = set_bits.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
-    )
-    out = np.zeros(bits // 8, np.uint8)
-    for bucket, bitmap in parts.collect():  # bits / 32768 rows of 4 KB at most
-        part = np.frombuffer(bytes(bitmap), np.uint8)
-        at = (bucket - 1) * 4096
-        out[at:at + len(part)] = part[:len(out) - at]
-    return out
-
+            keys = []
+            for size, part, own in zip(batch.column("size").to_pylist(), batch.column("part").to_pylist(), batch.column("counted").to_pylist()):
+                values = _permuted(np.array([x["hash"] for x in own], np.int64).view(np.uint64), part)
+                order = np.lexsort((values.view(np.uint64), [x["items"] for x in own]))
+                keys.append(values[order[:key_count(size, threshold)]])
+            columns = [*(batch.column(c) for c in ("item", "part", "length")), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "part", "length", "keys"])
 
-def _is_set(bit_map: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = _bit(values, 8 * len(bit_map))
-    return (bit_map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    signed = map_batches(found_items.select("item", "size", "part", "length").join(counted, "item"), least, "item long, part int, length int, keys array<long>")
+    return signed.select("item", "part", "length", F.explode("keys").alias("key"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row_id, row_digest, item_id, containment): the items that each document contains, by document row identity."""
     found_items = stored(_item_rows(items, threshold), "benchmark-items")
-    item_keys = found_items.select("item", F.explode("keys").alias("key"))
-    item_shingles = found_items.select("item", "item_id", "size", F.explode("shingles").alias("shingle"))
-    key_map = _bit_map(item_keys, "key")
-    shingle_map = _bit_map(found_items.select(F.explode("hashes").alias("hash")), "hash")
+    minima = stored(item_minima(found_items, threshold), "benchmark-minima")
+    key_map = bit_map(minima, "key")
+    shingle_map = bit_map(found_items.select(F.explode("hashes").alias("hash")), "hash")
+    kinds = sorted(tuple(r) for r in found_items.select("length", "part").distinct().collect())  # SHINGLE_WORDS * PARTITIONS at most
+    lengths = sorted({length for length, _ in kinds})
 
     def sketch(batches):
         for batch in batches:
-            kept, keys, parts = [], [], []
+            kept, parts, keys, own = [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                joined, starts, ends = shingles(text.as_py() or "")
-                if not starts:
-                    continue
-                hashes = _hashes(joined, starts, ends)
-                near = np.unique(hashes[_is_set(key_map, hashes)])
-                if len(near):
+                joined, ends = plain_words(text.as_py() or "")
+                asked_parts, asked_keys, words = [], [], set()
+                for length in lengths:
+                    starts, stops = runs(ends, length)
+                    if not starts:
+                        continue
+                    hashes = _hashes(joined, starts, stops)
+                    known = np.flatnonzero(is_set(shingle_map, hashes))
+                    if not len(known):
+                        continue
+                    words |= {joined[starts[j]:stops[j]] for j in known}
+                    for part in (p for n, p in kinds if n == length):
+                        values = np.unique(_permuted(hashes[known], part))
+                        values = values[is_set(key_map, values)]
+                        asked_parts += [part] * len(values)
+                        asked_keys += values.tolist()
+                if asked_keys:
                     kept.append(i)
-                    keys.append(near.view(np.int64))
-                    parts.append(sorted({joined[starts[j]:ends[j]] for j in np.flatnonzero(_is_set(shingle_map, hashes))}))
+                    parts.append(asked_parts)
+                    keys.append(asked_keys)
+                    own.append(sorted(words))
             if kept:
                 ids = [batch.column(c).take(pa.array(kept)) for c in ("row_id", "row_digest")]
+                types = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.binary()))],
-                    ["row_id", "row_digest", "keys", "shingles"],
+                    [*ids, *(pa.array(c, t) for c, t in zip((parts, keys, own), types))], ["row_id", "row_digest", "parts", "keys", "shingles"]
                 )
 
     rows = docs.select(*row_identity(docs), "text")
     row = ["row_id", "row_digest"]
-    near = stored(map_batches(rows, sketch, "row_id long, row_digest long, keys array<long>, shingles array<binary>"), "benchmark-candidates")
-    candidates = near.select(*row, F.explode("keys").alias("key")).join(item_keys, "key").select(*row, "item").distinct()
-    shared = near.select(*row, F.explode("shingles").alias("shingle")).distinct().join(item_shingles, "shingle")
-    counted = shared.groupBy(*row, "item").agg(
+    schema = "row_id long, row_digest long, parts array<int>, keys array<long>, shingles array<string>"
+    near = stored(map_batches(rows, sketch, schema).dropDuplicates(row), "benchmark-candidates")
+    asked = near.select(*row, F.explode(F.arrays_zip("parts", "keys")).alias("x")).select(*row, F.col("x.parts").alias("part"), F.col("x.keys").alias("key"))
+    candidates = stored(asked.join(minima, ["part", "key"]).select(*row, "item").distinct(), "benchmark-pairs")
+    # Only shingles of the candidates: one that all items have is looked up for no others.
+    wanted = candidates.join(found_items.select("item", "item_id", "size", F.explode("shingles").alias("shingle")), "item")
+    held = near.select(*row, F.explode("shingles").alias("shingle"))
+    counted = wanted.join(held, [*row, "shingle"]).groupBy(*row, "item").agg(
         F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"), F.first("item_id").alias("item_id")
     )
-    verified = counted.join(candidates, [*row, "item"]).withColumn("containment", F.col("shared") / F.col("size"))
+    verified = counted.withColumn("containment", F.col("shared") / F.col("size"))
     return verified.where(F.col("containment") >= threshold).select(*row, "item_id", "containment")
 
 
@@ -171,5 +193,4 @@ def decontamination_report(docs: DataFrame, items: DataFrame, threshold: float =
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain no item, with their columns."""
     found = contained_items(docs, items, threshold).select("row_id", "row_digest").distinct()
-    row_id, row_digest = row_identity(docs)
-    return docs.join(found, (row_id == found["row_id"]) & (row_digest == found["row_digest"]), "left_anti")
+    return rows_without(docs, stored(found, "contaminated-documents"))
