@@ -6,6 +6,7 @@ import io
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillpulse.llm import decontaminate, hmm, packing, quality, secret_scan, sharding, simhash, warc
+from tillpulse.llm import decontaminate, hmm, packing, quality, secret_scan, sharding, warc
 from tillpulse.llm.common import stored
 from tillpulse.llm.tokens import encoder
 
@@ -209,9 +210,12 @@ def test_forward_recursion_equals_all_paths():
     assert np.allclose(hmm.log_likelihoods(model, classes, lengths), [brute_likelihood(model, p) for p in parts])
 
 
-def test_expected_counts_equal_posteriors():
-    model, lengths = small_model(2), np.array([4, 1, 2])
-    classes = np.array([1, 2, 1, 3, 2, 3, 1])
+@pytest.mark.parametrize("stretch", [1, 2, 3, 1024])
+def test_expected_counts_equal_posteriors(monkeypatch, stretch):
+    """Whatever the stretches: documents of one to six tokens, over up to five borders."""
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    model, lengths = small_model(2), np.array([4, 1, 6, 2, 5])
+    classes = np.array([1, 2, 1, 3, 2, 3, 1, 2, 2, 1, 3, 1, 1, 3, 2, 1, 3, 3])
     start, move, emit, logs = hmm.expected_counts(model, classes, lengths)
     expected = [np.zeros(2), np.zeros((2, 2)), np.zeros((hmm.CLASSES, 2))]
     for part in np.split(classes, np.cumsum(lengths)[:-1]):
@@ -235,7 +239,8 @@ def test_expected_counts_equal_posteriors():
 def test_numbers_survive_packing():
     for numbers in ([], [0], [1, 70_000, 2**31 - 1]):
         assert hmm.unpack_numbers(hmm.pack_numbers(np.array(numbers, np.int32))).tolist() == numbers
-    assert hmm._stretches(np.array([1, hmm.STRETCH, hmm.STRETCH + 1])).tolist() == [1, hmm.STRETCH, hmm.STRETCH, 1]
+    owner, number, sizes = hmm._pieces(np.array([1, hmm.STRETCH, hmm.STRETCH + 1]))
+    assert (owner.tolist(), number.tolist(), sizes.tolist()) == ([0, 1, 2, 2], [0, 0, 0, 1], [1, hmm.STRETCH, hmm.STRETCH, 1])
 
 
 def language(pick, words, n):
@@ -260,6 +265,18 @@ def test_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 0.1 * sum(r["n_tokens"] for r in out)
 
 
+def test_long_documents_count_like_short_stretches(monkeypatch):
+    """A document over many borders, against one stretch for the whole of it."""
+    model, pick = small_model(4, 5), np.random.default_rng(6)
+    lengths = np.array([3000, 10, 1025, 1024])
+    classes = pick.integers(0, hmm.CLASSES, lengths.sum())
+    cut = hmm.expected_counts(model, classes, lengths)
+    monkeypatch.setattr(hmm, "STRETCH", 10**6)
+    whole = hmm.expected_counts(model, classes, lengths)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(cut, whole))
+    assert abs(cut[1].sum() - (lengths - 1).sum()) < 1e-2 and abs(cut[0].sum() - 4) < 1e-3
+
+
 def test_training_raises_the_likelihood(spark):
     pick = random.Random(4)
     kinds = [[c * n for c in letters for n in (1, 2, 3, 4)] for letters in ("abcd", "efgh")]
@@ -295,10 +312,13 @@ def brute_pipeline(spark, docs):
         n, repeats = row[0, 0], row[0, 4]
         if n >= 20 and 100 * repeats <= 30 * n and not any(quality._covered(rule, quality._features(row))[0] for rule in rules):
             kept[r["doc_id"]] = r["text"]
-    prints = {d: simhash.fingerprint(t) for d, t in kept.items()}
-    group = {d: d for d in kept}
+    def five(text):
+        words = re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").strip(" \t\n\x0b\x0c\r"))
+        return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words != [""] else frozenset()
+
+    sets, group = {d: five(t) for d, t in kept.items()}, {d: d for d in kept}
     for a, b in itertools.combinations(sorted(kept), 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 2 and group[a] != group[b]:
+        if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
             low, high = sorted((group[a], group[b]))
             group = {d: low if g == high else g for d, g in group.items()}
     kept = {d: t for d, t in kept.items() if group[d] == d}

@@ -5,12 +5,16 @@ P(text) = sum over state paths of the product of transitions, P(class | state) a
 function of the word (its ending and length), so the table of P(class | state) has a fixed size, while P(word | class)
 comes from the corpus counts of all words, however many there are.
 
-Texts are encoded once, in blocks of about five million tokens with a dictionary each. Word counts are summed over the blocks'
+Texts are encoded once, in blocks of about three million tokens with a dictionary each. Word counts are summed over the blocks'
 dictionaries and joined back to them, so a word travels once per block and not once per occurrence; the counts are
-written before that join, so that the adaptive join can split a word that every block has. Baum-Welch runs over the blocks:
-every task adds up expected counts, Spark sums them per class, and the driver gets one row per class. Training cuts
-documents into stretches; scoring does not: the scaled forward recursion runs over whole documents and gives the exact
-likelihood under the model.
+written before that join, so that the adaptive join can split a word that every block has. The blocks themselves are never
+shuffled: the known counts of a block are written to a folder of its own, and the task that holds the block reads them.
+
+Baum-Welch runs over the blocks: every task adds up expected counts, Spark sums them per class, and the driver gets one row per
+class. The counts are those of whole documents. For speed a task works on stretches of ``STRETCH`` tokens side by side: the products
+of the transfer matrices of the stretches carry the forward and backward vectors over their borders, and the move across a border
+is counted like any other. Scoring runs the scaled forward recursion over whole documents and gives the exact likelihood
+under the model.
 
 Documents with crc32(doc_id as text) mod 7 = 2 are held out of all counts.
 
@@ -26,20 +30,24 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpulse.llm.common import keyed_text, map_batches, stored
+from tillpulse.llm.warc import open_folder
+from tillpulse.session import shared_dir
 
 END = b""
 CLASSES = 16384
 STATES = 8
 ITERATIONS = 4
-BLOCK_TOKENS = 5_000_000
+BLOCK_TOKENS = 3_000_000
 # Tokens of whole documents that a task works on at a time.
 PART_TOKENS = 500_000
-STRETCH = 256
+STRETCH = 1024
 # Pseudo-counts: of a word within its class, of a class within a state, of a transition.
 WORD_PRIOR, CLASS_PRIOR, MOVE_PRIOR = 0.5, 0.01, 1.0
 
@@ -161,14 +169,60 @@ def log_likelihoods(model: Model, classes: np.ndarray, lengths: np.ndarray) -> n
     return out
 
 
+def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of ``STRETCH`` tokens at most that documents are cut into: document, number within it, length."""
+    parts = -(-lengths // STRETCH)
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return owner, number, np.minimum(lengths[owner] - number * STRETCH, STRETCH)
+
+
+def _carried(move, emit, start, classes, begins, number, sizes):
+    """For each stretch the forward vector before it (the start for the first of a document, else the state at the end of the one
+    before) and, up to a factor, the backward vector at its end."""
+    k, n = len(start), len(sizes)
+    before, after = np.tile(start, (n, 1)), np.ones((n, k), np.float32)
+    cut = np.flatnonzero(np.append(number[1:], 0) > 0)  # stretches with another one behind them
+    if not len(cut):
+        return before, after
+    # From before a stretch to its end; of the first of a document from its first token on.
+    asked = np.union1d(cut, cut + 1)
+    order = asked[np.argsort(-sizes[asked], kind="stable")]
+    running = np.searchsorted(-sizes[order], -np.arange(sizes[order].max()), side="left")
+    product = np.tile(np.eye(k, dtype=np.float32), (len(order), 1, 1))
+    first = number[order] == 0
+    for step, m in enumerate(running):
+        part = product[:m]
+        if step:
+            part = (part.reshape(-1, k) @ move).reshape(m, k, k)
+        else:
+            part = np.where(first[:m, None, None], part, move)
+        part = part * emit[classes[begins[order[:m]] + step]][:, None, :]
+        product[:m] = part / part.max(axis=(1, 2), keepdims=True)
+    place = np.full(n, -1)
+    place[order] = np.arange(len(order))
+    for level in range(1, int(number.max()) + 1):
+        at = np.flatnonzero(number == level)
+        vector = np.einsum("nk,nkj->nj", before[at - 1], product[place[at - 1]])
+        before[at] = vector / vector.sum(axis=1, keepdims=True)
+    for level in range(int(number.max()), 0, -1):
+        at = np.flatnonzero(number == level)
+        vector = np.einsum("nkj,nj->nk", product[place[at]], after[at])
+        after[at - 1] = vector / vector.sum(axis=1, keepdims=True)
+    return before, after
+
+
 def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray):
-    """Baum-Welch: expected starts, moves and emissions over the sequences, and their log10 likelihood."""
-    _, running, begins = _lanes(lengths)
+    """Baum-Welch: expected starts, moves and emissions over whole sequences, and their log10 likelihood."""
     k = len(model.start)
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
+    move, emit, start = model.move.astype(np.float32), model.emit.astype(np.float32), model.start.astype(np.float32)
+    _, number, sizes = _pieces(lengths)
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    before, after = _carried(move, emit, start, classes, begins, number, sizes)
+    order, running, begins = _lanes(sizes)
+    before, after, later_ones = before[order], after[order], number[order] > 0
     seen, states, scales = [], [], []
-    state = np.broadcast_to(model.start.astype(np.float32), (len(lengths), k))
-    logs = 0.0
+    state, logs = np.where(later_ones[:, None], before @ move, before), 0.0
     for step, n in enumerate(running):
         now = classes[begins[:n] + step]
         state = (state[:n] @ move if step else state) * emit[now]
@@ -182,25 +236,22 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray):
     later = None
     for step in range(len(running) - 1, -1, -1):
         n = running[step]
-        back = np.ones((n, k), np.float32)
-        if later is not None:
+        m = 0 if later is None else len(later)
+        back = np.empty((n, k), np.float32)
+        if m:
             ahead = emit[seen[step + 1]] * later / scales[step + 1]
-            m = len(ahead)
             moves += states[step][:m].T @ ahead
             back[:m] = ahead @ move.T
+        # Stretches that end here: scaled so that the states of the last token add up to one.
+        ends = after[m:n]
+        back[m:] = ends / (states[step][m:] * ends).sum(axis=1, keepdims=True)
         later = back
         states[step] = states[step] * back
+    crossed = (emit[seen[0]] * later / scales[0])[later_ones]
+    moves += before[later_ones].T @ crossed
     gamma, now = np.concatenate(states), np.concatenate(seen)
     emitted = np.stack([np.bincount(now, gamma[:, s], minlength=CLASSES) for s in range(k)], axis=1)
-    return states[0].sum(axis=0, dtype=float), moves * model.move, emitted, logs
-
-
-def _stretches(lengths: np.ndarray) -> np.ndarray:
-    """Lengths of the stretches of ``STRETCH`` tokens at most that sequences are cut into."""
-    parts = -(-lengths // STRETCH)
-    out = np.full(parts.sum(), STRETCH, np.int64)
-    out[np.cumsum(parts) - 1] = lengths - (parts - 1) * STRETCH
-    return out
+    return states[0][~later_ones].sum(axis=0, dtype=float), moves * model.move, emitted, logs
 
 
 def _blocks(batches):
@@ -238,7 +289,7 @@ def baum_welch_step(blocks: DataFrame, model: Model) -> tuple[Model, float]:
             tokens = unpack_numbers(row("tokens"))[np.repeat(train, lengths)]
             classes, lengths = row("classes"), lengths[train]
             for docs, part in _parts(lengths):
-                found = expected_counts(model, classes[tokens[part]], _stretches(lengths[docs]))
+                found = expected_counts(model, classes[tokens[part]], lengths[docs])
                 start, moves, emitted, logs = start + found[0], moves + found[1], emitted + found[2], logs + found[3]
         used = np.flatnonzero(emitted.sum(axis=1))
         kinds = np.concatenate([used, [-1], -2 - np.arange(k), [-2 - k]])
@@ -278,14 +329,27 @@ def hidden_markov_scores(docs: DataFrame, states: int = STATES, iterations: int
 
     looked_up = entries.select("block", "place", F.col("entry.words").alias("word")).join(counted.select("word", "count"), "word")
     known = looked_up.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "count"))).alias("known"))
+    folder = shared_dir(docs.sparkSession, "known-counts")
     known = known.select("block", F.col("known.place").alias("known_places"), F.col("known.count").alias("known_counts"))
+    known.write.partitionBy("block").parquet(folder)
+
+    def counts_of(block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of the words of a block that training documents have."""
+        store, path = open_folder(folder)
+        found = store.get_file_info(pa.fs.FileSelector(f"{path}/block={block}", allow_not_found=True))
+        tables = [pa.parquet.read_table(f.path, filesystem=store, partitioning=None) for f in found if f.path.endswith(".parquet")]
+        if not tables:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        whole = pa.concat_tables(tables)
+        return tuple(whole.column(c).combine_chunks().flatten().to_numpy() for c in ("known_places", "known_counts"))
 
     def score(batches):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for row in _blocks(batches):
             tokens, classes, lengths = unpack_numbers(row("tokens")), row("classes"), row("lengths").astype(np.int64)
             counts = np.zeros(len(classes))
-            counts[row("known_places").astype(np.int64)] = row("known_counts")
+            places, known_counts = counts_of(row("block"))
+            counts[places] = known_counts
             base = np.log10((counts + 1) / (train_tokens + train_words + 1))
             inside = np.log10((counts + WORD_PRIOR) / (class_tokens + WORD_PRIOR * (class_words + 1))[classes])
             for docs, part in _parts(lengths):
@@ -299,8 +363,7 @@ def hidden_markov_scores(docs: DataFrame, states: int = STATES, iterations: int
                     pa.array(np.add.reduceat(base[own], begins)), pa.array(total),
                 ], names)
 
-    wanted = blocks.select("block", "doc_ids", "held_out", "lengths", "tokens", "classes").join(known, "block", "left")
     return map_batches(
-        wanted, score,
+        blocks.select("block", "doc_ids", "held_out", "lengths", "tokens", "classes"), score,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

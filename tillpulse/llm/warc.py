@@ -151,7 +151,7 @@ def deduplicated(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return rows.join(holders, "digest", "left").withColumn("refers_to", F.when(is_revisit, F.col("holder"))).drop("holder")
 
 
-def _open_folder(folder: str) -> tuple[pa.fs.FileSystem, str]:
+def open_folder(folder: str) -> tuple[pa.fs.FileSystem, str]:
     if folder.startswith("file:"):
         return pa.fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
     return pa.fs.FileSystem.from_uri(folder)
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     folder = folder or shared_dir(pages.sparkSession, "archives")
 
     def write(batches):
-        files, at = _open_folder(folder)
+        files, at = open_folder(folder)
         files.create_dir(at, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         records, out = 0, None
@@ -203,7 +203,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     def read(batches):
         for batch in batches:
             for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
-                files, at = _open_folder(path)
+                files, at = open_folder(path)
                 rows, size, seen = [], 0, 0
                 with files.open_input_stream(at, compression=None) as stream:
                     for row in _rows(stream, with_payload):
