@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import rows as collected
 from tillpulse.llm import edits, quality, secret_scan
 from tillpulse.llm.automaton import Automaton, compiled
+from tillpulse.llm.common import stored
 from tillpulse.llm.tokens import encoder
 
 from .conftest import ODD, as_docs
@@ -175,7 +176,34 @@ def test_tree_after_edits_equals_a_full_count():
 def test_an_edit_encodes_its_region_only():
     tree = edits.TokenTree.of("plain words all the way " * 5000)
     tree.apply([(60_000, 60_005, "other")])
-    assert 0 < tree.encoded_chars < 4 * edits.LEAF_CHARS
+    assert 0 < tree.encoded_chars < 400
+
+
+def test_many_edits_at_one_place():
+    """Each costs a few leaves, however many there were before it."""
+    tree, text = edits.TokenTree.of("plain words all the way " * 50), "plain words all the way " * 50
+    for i in range(200):
+        before, new = tree.encoded_chars, f"some new words number {i} of forty letters "
+        tree.apply([(600, 600, new)])
+        text = text[:600] + new + text[600:]
+        assert tree.encoded_chars - before < 1000
+    assert tree.text == text and tree.tokens == whole_count(text)
+    assert max(map(len, tree.parts)) < 400 and tree.encoded_chars < 200 * 500
+
+
+def test_leaves_are_groups_of_pretokens():
+    text = "one two\n\n three  four " * 40
+    parts = edits.leaves(text)
+    assert "".join(parts) == text and all(len(re.findall(r"[ \n]*[^ \n]+", p)) == edits.LEAF_PIECES for p in parts[:-1])
+    assert edits.leaves("") == [] and edits.leaves(" \n") == [" \n"]
+
+
+def test_edits_of_stored_trees_equal_edits_of_texts(spark, odd):
+    find = lambda text: [(m.start(), m.end(), "-") for m in re.finditer("o", text)]
+    columns = ["doc_id", "tokens_before", "tokens_after", "n_edits", "text"]
+    small = odd.where("doc_id is null or doc_id not in (7, 8)")
+    stored_trees = edits.edited(stored(edits.counted(small), "test"), find).select(columns)
+    assert collected(stored_trees, *columns) == collected(edits.counted(small, find).select(columns), *columns)
 
 
 def test_stored_trees_follow_a_table_of_edits(spark, odd, nothing):

@@ -1,10 +1,14 @@
 """Token counts that follow edits.
 
-A document is kept as leaves: stretches of text that begin and end where no token can reach across (a visible character
-before, white space behind). A segment tree over the leaves holds the sums of characters and tokens of every subtree. An
-edit (or several that lie closer than a leaf) finds its leaves from the root by offset, changes their text, takes in neighbours as long as a border is no longer one
-that tokens cannot cross, encodes that region again, and updates the sums on the way back to the root. All other leaves
-keep their counts.
+A document is kept as leaves: groups of ``LEAF_PIECES`` pre-tokens, runs of white space with the visible characters behind
+them, so that no token reaches from one into the next. A segment tree over the leaves holds the sums of characters and tokens of
+every subtree. An edit (or several that lie closer than a leaf) finds its leaves from the root by offset, changes their text,
+takes in neighbours as long as a border is no longer one that tokens cannot cross, encodes that region again, and updates the
+sums on the way back to the root. All other leaves keep their counts. A region that has come to twice as many leaves as it had is
+split, and the tree is built anew over the counts of its leaves, without encoding anything; so a leaf does not grow
+however many edits fall on one place.
+
+Trees are stored as rows: text, and characters and tokens of every leaf. Edits apply to stored trees.
 
 Cases: a null or empty text has no leaves and no tokens; edits are taken by start; one that begins before the end of the one
 before it, or beyond the text, or has a null bound, is left out; a null replacement deletes; an edit that ends beyond the
@@ -24,21 +28,19 @@ from pyspark.sql import functions as F
 from tillpulse.llm.common import map_batches
 from tillpulse.llm.tokens import encoder
 
-LEAF_CHARS = 96
+LEAF_PIECES = 16
+# Edits closer than this become one: about a leaf.
+NEAR_CHARS = 96
 _BORDER = re.compile(r"(?<=\S)(?=[ \n\t\r])")
 
 Edit = tuple[int, int, str]  # start, end, replacement
 
 
 def leaves(text: str) -> list[str]:
-    """Consecutive parts of ``text`` of about ``LEAF_CHARS`` characters whose tokens do not depend on each other."""
-    out, start = [], 0
-    while start < len(text):
-        border = _BORDER.search(text, start + LEAF_CHARS)
-        end = border.start() if border else len(text)
-        out.append(text[start:end])
-        start = end
-    return out
+    """Consecutive groups of pre-tokens; tokens of one do not depend on another."""
+    borders = [m.start() for m in _BORDER.finditer(text)]
+    starts = [0, *borders[LEAF_PIECES - 1::LEAF_PIECES]]
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])] if text else []
 
 
 def _separate(left: str, right: str) -> bool:
@@ -113,12 +115,27 @@ class TokenTree:
             touched.append(i)
         self.encoded_chars += len(region)
         parts = leaves(region)
-        # As many leaves as were touched; what does not fit goes into the last of them.
+        if len(parts) > 2 * len(touched):
+            self._split(touched, parts)
+            return
+        # As many leaves as were touched; what does not fit goes into the last of them, until the region has doubled.
         if len(parts) > len(touched):
             parts[len(touched) - 1:] = ["".join(parts[len(touched) - 1:])]
         for leaf, part in zip(touched, parts + [""] * (len(touched) - len(parts))):
             self._put(leaf, part, _count(part))
 
+    def _split(self, touched: list[int], parts: list[str]) -> None:
+        """``parts`` take the place of the ``touched`` leaves; empty leaves go."""
+        tokens = self.sums[self.width:self.width + len(self.parts), 1].tolist()
+        first, last = touched[0], touched[-1]
+        every = [
+            *zip(self.parts[:first], tokens[:first]), *((p, _count(p)) for p in parts), *zip(self.parts[last + 1:], tokens[last + 1:])
+        ]
+        kept = [x for x in every if x[0]]
+        done = self.encoded_chars
+        self.__init__([p for p, _ in kept], [n for _, n in kept])
+        self.encoded_chars = done
+
     def apply(self, edits: Iterable[Edit]) -> int:
         """Make edits given in offsets of the present text; gives how many were made."""
         made, done = [], 0
@@ -135,7 +152,7 @@ class TokenTree:
         """Edits closer than a leaf as one, so that a region with many edits is encoded once."""
         source, out = self.text if len(made) > 1 else "", []
         for start, end, text in made:
-            if out and start - out[-1][1] < LEAF_CHARS:
+            if out and start - out[-1][1] < NEAR_CHARS:
                 out[-1][2] += [source[out[-1][1]:start], text]
                 out[-1][1] = end
             else:
@@ -190,6 +207,29 @@ def counted(docs: DataFrame, find_edits: Callable[[str], Iterable[Edit]] | None
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), build, _SCHEMA)
 
 
+def _tree(text: str, chars: np.ndarray, tokens: list[int]) -> TokenTree:
+    """A stored tree; nothing is encoded."""
+    ends = np.cumsum(chars, dtype=int).tolist()
+    return TokenTree([text[a:b] for a, b in zip([0, *ends], ends)], tokens)
+
+
+def edited(trees: DataFrame, find_edits: Callable[[str], Iterable[Edit]]) -> DataFrame:
+    """The stored trees (the result of ``counted``) after the edits that ``find_edits`` finds in their texts."""
+
+    def change(batches):
+        for batch in batches:
+            rows = []
+            for text, chars, tokens in zip(*(batch.column(c) for c in ("text", "leaf_chars", "leaf_tokens"))):
+                text = text.as_py()
+                found = list(find_edits(text))
+                tree = _tree(text, chars.values.to_numpy(), tokens.values.to_numpy())
+                before = tree.tokens
+                rows.append(_result(tree, before, tree.apply(found)))
+            yield _batches(batch.column("doc_id").to_pylist(), rows)
+
+    return map_batches(trees.select("doc_id", "text", "leaf_chars", "leaf_tokens"), change, _SCHEMA)
+
+
 def recounted(trees: DataFrame, edits: DataFrame) -> DataFrame:
     """The stored trees (the result of ``counted``) after a table of edits (doc_id, start, end, replacement)."""
     changes = edits.groupBy(F.col("doc_id").alias("edited_id")).agg(
@@ -202,8 +242,7 @@ def recounted(trees: DataFrame, edits: DataFrame) -> DataFrame:
         for batch in batches:
             ids, rows = [], []
             for row in batch.to_pylist():
-                ends = np.cumsum(row["leaf_chars"], dtype=int).tolist()
-                tree = TokenTree([row["text"][a:b] for a, b in zip([0, *ends], ends)], row["leaf_tokens"])
+                tree = _tree(row["text"], row["leaf_chars"], row["leaf_tokens"])
                 before = tree.tokens
                 made = tree.apply((e["start"], e["end"], e["replacement"]) for e in row["changes"] or ())
                 ids.append(row["doc_id"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tillpulse.llm import (
     decontaminate, edits, hmm, lines, merkle, mixing, packing, quality, search, secret_scan, sharding, simhash, warc
 )
-from tillpulse.llm.common import read_table
+from tillpulse.llm.common import read_table, stored
 
 SHARDS = 40
 
@@ -81,7 +81,8 @@ def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def op9_edited_counts(spark, sf_dir):
-    found = edits.counted(read_table(spark, sf_dir, "documents"), cleaning_edits)
+    trees = stored(edits.counted(read_table(spark, sf_dir, "documents")), "token-trees")
+    found = edits.edited(trees, cleaning_edits)
     return found.select("doc_id", "tokens_before", "tokens_after", "n_edits", "encoded_chars", F.char_length("text").cast("long").alias("chars_after"))
 
 
@@ -128,10 +129,13 @@ ORACLE: dict[str, str] = {
                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[\x01-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' '), lambda w: w <> '') as w
             from texts
+        ), spans as (
+            -- An item of fewer words than five is one shingle of all its words; documents have shingles of those lengths too.
+            select distinct least(len(w), 5) as n from words where side = 'b' and len(w) > 0
         ), shingles as (
             select distinct side, id, unnest(list_transform(
-                range(1, greatest(len(w) - 3, 2)), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) as shingle
-            from words where len(w) > 0
+                range(1, len(w) - n + 2), lambda i: list_aggregate(w[i:i + n - 1], 'string_agg', ' '))) as shingle
+            from words join spans on len(w) >= n and (side = 'd' or n = least(len(w), 5))
         ), sizes as (select id as item_id, count(*) as size from shingles where side = 'b' group by id),
         named as (
             select min(item_id) as item_id, any_value(size) as size from sizes
