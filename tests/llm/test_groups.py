@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tillpulse.llm import decontaminate, lines, resemblance, simhash
-from tillpulse.llm.common import row_identity, rows_among, rows_without, stored
+from tillpulse.llm.common import map_among, row_identity, rows_without, stored
 from tillpulse.llm.components import components
 
 from .conftest import ODD, SENTENCE, as_docs
@@ -310,7 +310,10 @@ def test_pages_of_one_template_are_not_paired(spark):
         counts = resemblance.count_sketch(found.where("chunk is not null").select("chunk", "counts"))
         assert counts.sum() == n * 96
         keyed = stored(resemblance.prefixes(texts, counts), "test")
-        members = stored(keyed.select("node", "size", F.posexplode("keys").alias("at", "key")), "test")
+        every = stored(keyed.select("node", "size", F.posexplode("keys").alias("at", "key")), "test")
+        members = resemblance.key_members(keyed)
+        shared = [r["key"] for r in every.groupBy("key").count().where("count > 1").collect()]
+        assert Counter(map(tuple, members.collect())) == Counter(map(tuple, every.where(F.col("key").isin(shared)).collect()))
         none = spark.createDataFrame([], "node long, root long")
         looked_at.append(resemblance.star_pairs(members).count() + resemblance.other_pairs(members, none).count())
     assert looked_at == [0, 0]
@@ -321,5 +324,6 @@ def test_rows_without_keep_all_others(spark, odd):
     left = rows_without(odd, stored(rows, "test"))
     assert left.schema == odd.schema
     assert Counter(map(tuple, left.collect())) == Counter(tuple(r) for r in odd.collect() if r["doc_id"] not in (3, 5, 8))
-    assert Counter(r["doc_id"] for r in rows_among(odd, stored(rows, "test")).collect()) >= Counter([3, 5, 5, 8])
+    among = map_among(odd, stored(rows, "test"), lambda batches: batches, odd.schema)
+    assert Counter(r["doc_id"] for r in among.collect()) >= Counter([3, 5, 5, 8])
     assert rows_without(odd, stored(rows.limit(0), "test")).count() == odd.count()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pathlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,19 +35,14 @@ def row_identity(docs: DataFrame) -> list:
     ]
 
 
-def _known_to_workers(spark: SparkSession) -> None:
-    """Python workers find this package also when only the driver's path has it (one machine); on a cluster it comes with
-    ``--py-files``."""
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow``, over batches of few rows, by workers that find this package also when only the driver's path has it (one
+    machine); on a cluster it comes with ``--py-files``."""
     root = str(pathlib.Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
+    environment = df.sparkSession.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(":")
     if root not in known:
         environment["PYTHONPATH"] = ":".join(filter(None, [root, *known]))
-
-
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` by workers that find this package, over batches of few rows."""
-    _known_to_workers(df.sparkSession)
     return df.mapInArrow(lambda batches: function(_slices(batches)), schema)
 
 
@@ -94,24 +88,28 @@ def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _flagged(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` with ``_hit``: whether the bit map of the digests of ``rows`` lets a row through. Only digests go to Python."""
-    _known_to_workers(docs.sparkSession)
-    bits = bit_map(rows, "row_digest")
-    hit = F.pandas_udf(lambda digests: pd.Series(is_set(bits, digests.to_numpy())), "boolean")
-    return docs.withColumn("_hit", hit(row_identity(docs)[1]))
+def _sifted(docs: DataFrame, bits: np.ndarray, known: bool, function=lambda batches: batches, schema=None) -> DataFrame:
+    """The rows of ``docs`` whose digest the bit map lets through (``known``) or does not; ``function`` goes on with their batches in
+    the same worker."""
+    def sift(batches):
+        for batch in batches:
+            hit = is_set(bits, batch.column("_row_digest").to_numpy())
+            yield batch.drop_columns(["_row_digest"]).filter(pa.array(hit if known else ~hit))
 
+    return map_batches(docs.withColumn("_row_digest", row_identity(docs)[1]), lambda batches: function(sift(batches)), schema or docs.schema)
 
-def rows_among(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """At least the rows of ``docs`` whose identity is in ``rows`` (row_id, row_digest), and few others, whatever the size of either."""
-    return _flagged(docs, rows).where("_hit").drop("_hit")
+
+def map_among(docs: DataFrame, rows: DataFrame, function, schema) -> DataFrame:
+    """``map_batches`` over at least the rows of ``docs`` whose identity is in ``rows`` (row_id, row_digest), and few others, whatever
+    the size of either."""
+    return _sifted(docs, bit_map(rows, "row_digest"), True, function, schema)
 
 
 def rows_without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without those whose identity is in ``rows`` (row_id, row_digest). Rows that the bit map of ``rows`` does not know
     stay where they are; only the others, mostly those to be left out, are exchanged."""
-    flagged = _flagged(docs, rows)
-    asked = flagged.where("_hit").drop("_hit")
+    bits = bit_map(rows, "row_digest")
+    asked = _sifted(docs, bits, True)
     row_id, row_digest = row_identity(asked)
     same = (row_id == rows["row_id"]) & (row_digest == rows["row_digest"])
-    return flagged.where(~F.col("_hit")).drop("_hit").unionByName(asked.join(rows, same, "left_anti"))
+    return _sifted(docs, bits, False).unionByName(asked.join(rows, same, "left_anti"))

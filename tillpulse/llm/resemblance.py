@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpulse.llm import simhash
-from tillpulse.llm.common import map_batches, row_identity, rows_among, stored
+from tillpulse.llm.common import bit_map, is_set, map_among, map_batches, row_identity, stored
 from tillpulse.llm.components import components, one_row_of_each
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = (4, 5)  # as a fraction, so that all comparisons are exact
 # Counters of the sketch, in chunks of so many; a task's counters stop at 255.
 SLOTS, CHUNK = 1 << 20, 1 << 12
-SIZE_BUCKET = 1.03
+SIZE_BUCKET = 1.12
 _BLOCK = 1 << 15
 
 
@@ -156,18 +156,16 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "alike-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(nodes.join(wanted, "node").select("node", "first.row_id", "first.row_digest"), "alike-nodes")
-    texts = rows_among(docs.select("doc_id", "text"), wanted)
-    row_id, row_digest = row_identity(texts)
 
     def hashed(batches):
         for batch in batches:
             sets = [shingle_hashes(t.as_py() or "").tobytes() for t in batch.column("text")]
-            columns = [batch.column(c) for c in ("row_id", "row_digest")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], ["row_id", "row_digest", "shingles"])
+            nodes = _signed([xxhash.xxh3_64_intdigest(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    sets = map_batches(texts.select(row_id, row_digest, "text"), hashed, "row_id long, row_digest long, shingles binary")
-    sets = sets.join(wanted, ["row_id", "row_digest"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = stored(sets, "alike-shingles")
+    # Nodes that the bit map lets through by error find no pair below.
+    sets = map_among(docs.select("doc_id", "text"), wanted, hashed, "node long, shingles binary")
+    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "alike-shingles")
 
     def similar(batches):
         over, under = LEAST_SIMILARITY
@@ -207,6 +205,28 @@ def _bucket(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(SIZE_BUCKET)).cast("int")
 
 
+def key_members(keyed: DataFrame) -> DataFrame:
+    """(node, size, at, key): the keys of ``keyed`` (node, size, keys) that several nodes have, ``at`` their places. Most keys are their
+    node's alone; a bit map of the others keeps those from leaving their task."""
+    keys = keyed.select(F.explode("keys").alias("key"))
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
+    bits = bit_map(shared, "key")
+
+    def known(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            ends = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()[ends[0]:ends[-1]]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            at = np.arange(len(values)) - (ends[:-1] - ends[0])[owner]
+            kept = np.flatnonzero(is_set(bits, values))
+            columns = [batch.column(c).take(pa.array(owner[kept])) for c in ("node", "size")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at[kept], pa.int32()), pa.array(values[kept])], ["node", "size", "at", "key"])
+
+    listed = map_batches(keyed.select("node", "size", "keys"), known, "node long, size int, at int, key long")
+    return stored(listed.join(shared, "key", "left_semi"), "key-members")
+
+
 def star_pairs(members: DataFrame) -> DataFrame:
     """(a, b): every node of a key with that in which the key comes earliest."""
     # Few shingles of its own come before it: of copies with edits, the one with the fewest.
@@ -242,9 +262,7 @@ def roots(docs: DataFrame, nodes: DataFrame, counts: np.ndarray) -> DataFrame:
     links = stored(verified(simhash_pairs(nodes), docs, nodes), "fingerprint-links")
     keyed = prefixes(docs, counts).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     keyed = stored(keyed, "node-keys")
-    listed = keyed.select("node", "size", F.posexplode("keys").alias("at", "key"))
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stored(listed.join(stored(shared, "shared-keys"), "key", "left_semi"), "key-members")
+    members = key_members(keyed)
     links = stored(links.unionByName(verified(star_pairs(members), docs, nodes)), "star-links")
     classes = stored(components(links).toDF("node", "root"), "star-classes")
     more = verified(other_pairs(members, classes), docs, nodes)
