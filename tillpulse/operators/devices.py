@@ -81,6 +81,25 @@ def new_devices(startups: DataFrame, date: Day | None = None) -> DataFrame:
     return first_day.groupBy("log_date").agg(F.count(F.lit(1)).alias("new_mid"))
 
 
+def first_day_changes(startups: DataFrame, known: DataFrame) -> DataFrame:
+    """What startups change about the first days of devices: (mid, first_day, moved). ``known`` (mid, first_day, ...) has a row per
+    device. Rows with ``moved`` take an entry back, where an earlier day turns up."""
+    days = startups.where(F.col("mid").isNotNull()).groupBy("mid").agg(F.min("log_date").alias("first_day"))
+    met = days.join(known.select("mid", F.col("first_day").alias("known_day")), "mid", "left")
+    earlier = met.where(F.col("known_day").isNull() | (F.col("first_day") < F.col("known_day")))
+    new = F.struct("first_day", F.lit(False).alias("moved"))
+    old = F.when(F.col("known_day").isNotNull(), F.struct(F.col("known_day").alias("first_day"), F.lit(True).alias("moved")))
+    return earlier.select("mid", F.explode(F.array_compact(F.array(new, old))).alias("c")).select("mid", "c.*")
+
+
+def new_devices_known(devices: DataFrame, date: Day | None = None) -> DataFrame:
+    """``new_devices`` from the table of first days: a day reads its own folder."""
+    found = on_date(devices, date, "first_day")
+    if date is not None:
+        return found.agg(F.count(F.lit(1)).alias("new_mid")).select(F.lit(as_date(date)).alias("log_date"), "new_mid")
+    return found.groupBy(F.col("first_day").alias("log_date")).agg(F.count(F.lit(1)).alias("new_mid"))
+
+
 def observed(df: DataFrame, name: str) -> DataFrame:
     """Report the number of rows passing this point with the query's metrics, without another job."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"))

@@ -281,4 +281,8 @@ from order_detail where order_id::bigint % 7 = 0 or order_id not in (select id f
     "apply_changes": f"""with {USER} select id, login_name, gender,
   case when id::bigint % 10 = 0 then 'again' when id::bigint % 3 = 0 then 'changed' else user_level end as user_level
 from user_info where id::bigint % 10 = 0 or (id::bigint % 5 <> 0 and id::bigint % 7 <> 0)""",
+    "dau_hourly_from_rollup": f"with {FIRST} {_compare(DAU_HOURS)}",
+    "new_devices_from_table": f"""with {STARTUP}, f as (select mid, min(log_date) as log_date from startup_log group by mid)
+select log_date, count(*) as new_mid from f group by log_date""",
+    "order_hourly_from_rollup": f"with {ORDER} {_compare(ORDER_HOURS)}",
 }

@@ -4,6 +4,7 @@ from tillpulse.plans.dashboard import (
     fill_hours,
     hourly_compare,
     hourly_document,
+    hourly_from_totals,
     kpi_document,
     kpi_tiles,
 )
@@ -21,5 +22,5 @@ from tillpulse.plans.search import (
 __all__ = [
     "TILES",
     "age_facet", "age_terms", "as_hour_map", "fill_hours", "gender_facet", "gender_terms", "hourly_compare",
-    "hourly_document", "kpi_document", "kpi_tiles", "sale_page", "sale_search", "sale_search_document", "total_hits",
+    "hourly_document", "hourly_from_totals", "kpi_document", "kpi_tiles", "sale_page", "sale_search", "sale_search_document", "total_hits",
 ]

@@ -76,6 +76,17 @@ def hourly_compare(df: DataFrame, metric: str, date: Day) -> DataFrame:
     return rows.groupBy("hour").agg(value(day).alias("today"), value(before).alias("yesterday"))
 
 
+def hourly_from_totals(totals: DataFrame, date: Day, day: str, hour: str, value: str) -> DataFrame:
+    """``hourly_compare`` from sums that are kept per day and hour: a row per hour is read, not the records behind it."""
+    today, before = as_date(date), previous_day(date)
+
+    def of(on: dt.date) -> Column:
+        return F.max(F.when(F.col(day) == F.lit(on), F.col(value).cast("double")))
+
+    two = totals.where(F.col(day).isin(today, before) & (F.col(value) != 0))
+    return two.groupBy(F.col(hour).alias("hour")).agg(of(today).alias("today"), of(before).alias("yesterday"))
+
+
 def fill_hours(df: DataFrame, hour: str = "hour") -> DataFrame:
     """All 24 hours; missing values become 0."""
     names = [c for c in df.columns if c != hour]

@@ -35,6 +35,7 @@ DAU_TABLE = (
     "mid string, uid string, appid string, area string, os string, ch string, log_type string, vs string, "
     "log_hour string, ts bigint, log_date date"
 )
+DEVICE_TABLE = "mid string, first_day date, moved boolean"
 ORDER_TABLE = (
     "id string, province_id string, consignee string, order_comment string, consignee_tel string, "
     "order_status string, payment_way string, user_id string, img_url string, total_amount decimal(18,2), "

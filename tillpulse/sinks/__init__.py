@@ -1,5 +1,6 @@
 from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.panes import PaneStore
+from tillpulse.sinks.rollup import Rollup
 from tillpulse.sinks.topics import archive_logs, topic_sink
 
-__all__ = ["KeyedTable", "PaneStore", "archive_logs", "topic_sink"]
+__all__ = ["KeyedTable", "PaneStore", "Rollup", "archive_logs", "topic_sink"]

@@ -65,18 +65,25 @@ class KeyedTable:
         rows.write.mode("overwrite").parquet(target)
         return target
 
-    def latest(self, spark: SparkSession) -> DataFrame:
-        """One row per key; deleted keys have none."""
-        return self._alive(self._latest(spark, self._base(spark), self._batches(spark)))
+    def latest(self, spark: SparkSession, but: tuple[str, int] | None = None) -> DataFrame:
+        """One row per key; deleted keys have none. ``but``: as if this batch (source, number) had not been written."""
+        return self._alive(self._latest(spark, self._base(spark), self._batches(spark, but)))
 
-    def lookup(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
+    def lookup(self, spark: SparkSession, wanted: DataFrame, but: tuple[str, int] | None = None) -> DataFrame:
         """The latest rows of the keys in ``wanted`` only: other rows are dropped before they are settled."""
         keys = wanted.select(*self.keys).distinct()
         base, batches = (
-            rows if rows is None else rows.join(keys, self.keys, "left_semi") for rows in (self._base(spark), self._batches(spark))
+            rows if rows is None else rows.join(keys, self.keys, "left_semi") for rows in (self._base(spark), self._batches(spark, but))
         )
         return self._alive(self._latest(spark, base, batches))
 
+    def effect(self, rows: DataFrame, batch: int, source: str) -> tuple[DataFrame, DataFrame]:
+        """The latest rows of the keys of a batch without it and with it, whether it has been written already or not."""
+        before = self.lookup(rows.sparkSession, rows, (source, batch))
+        own = rows.select(*self.columns(), F.current_timestamp().alias("written_at"))
+        both = own.unionByName(before.withColumn("written_at", F.lit(None).cast("timestamp")))
+        return before, self._alive(self._settled(both))
+
     def compact(self, spark: SparkSession, path: str) -> KeyedTable:
         """The same table in a new folder, all but the last batch of each source settled. Run it while no stream writes."""
         target = replace(self, path=path)
@@ -123,6 +130,9 @@ class KeyedTable:
     def _base(self, spark: SparkSession) -> DataFrame | None:
         return read_folder(spark, self._fields(), f"{self.path}/base")
 
-    def _batches(self, spark: SparkSession) -> DataFrame | None:
+    def _batches(self, spark: SparkSession, but: tuple[str, int] | None = None) -> DataFrame | None:
         named = [_WRITTEN, T.StructField("source", T.StringType()), T.StructField("batch", T.LongType())]
-        return read_folder(spark, T.StructType([*self._fields().fields, *named]), f"{self.path}/batches")
+        found = read_folder(spark, T.StructType([*self._fields().fields, *named]), f"{self.path}/batches")
+        if found is None or but is None:
+            return found
+        return found.where((F.col("source") != but[0]) | (F.col("batch") != but[1]))

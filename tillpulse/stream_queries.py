@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillpulse import queries as q, sources, streaming
+from tillpulse import operators as ops, plans, queries as q, sources, streaming
 from tillpulse.operators import stamp_ingest
 from tillpulse.queries import query
 from tillpulse.session import shared_dir
@@ -85,6 +85,36 @@ def stream_first_startup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.latest(spark).select("mid", "uid", "os", "area", "ts", "log_date", "log_hour")
 
 
+def _startup_tables(spark: SparkSession, sf_dir: str, purpose: str, late: bool = False, **tables) -> None:
+    """The device job over the two slices, the later one first if ``late``."""
+    work = shared_dir(spark, purpose)
+    parts = _event_slices(_startup_rows(spark, sf_dir))
+    for part in parts[::-1] if late else parts:
+        _publish(part, topics.STARTUP_TOPIC, f"{work}/topics")
+        _run(spark, lambda: streaming.dau_job(
+            _parsed_startups(spark, f"{work}/topics"), streaming.dau_table(f"{work}/dau"), f"{work}/checkpoint", **tables
+        ))
+
+
+@query
+def dau_hourly_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices by hour of two days, from the sums that the stream keeps. The first startups of half of the days come late."""
+    rollup = streaming.dau_rollup(shared_dir(spark, "dau-rollup"))
+    _startup_tables(spark, sf_dir, "dau-rollup-job", late=True, rollup=rollup)
+    kept = rollup.compact(spark, shared_dir(spark, "dau-rollup-compacted")).totals(spark)
+    return plans.fill_hours(plans.hourly_from_totals(kept, q.DEVICE_DAY, "log_date", "log_hour", "dau")).withColumns(
+        {c: F.col(c).cast("bigint") for c in ("today", "yesterday")}
+    )
+
+
+@query
+def new_devices_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New devices per day from the table of first days, which learns of the earlier half of the days last."""
+    devices = streaming.device_table(shared_dir(spark, "devices"))
+    _startup_tables(spark, sf_dir, "devices-job", late=True, devices=devices)
+    return ops.new_devices_known(devices.compact(spark, shared_dir(spark, "devices-compacted")).latest(spark))
+
+
 @query
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deduplicating form: which devices were seen on which day, each emitted once."""
@@ -184,6 +214,28 @@ def stream_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_columns(table.latest(spark))
 
 
+@query
+def order_hourly_from_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by hour of two days, from the sums that the order job keeps. Every order comes twice, first with twice its amount;
+    half of the first versions come after the second ones and count for nothing."""
+    work = shared_dir(spark, "order-rollup")
+    rollup, table = streaming.order_rollup(f"{work}/sums"), streaming.order_table(f"{work}/orders")
+    orders = t.order_info(t.table(spark, sf_dir, "orders"), t.table(spark, sf_dir, "customer"))
+
+    def version(rows: DataFrame, seconds: int) -> DataFrame:
+        return _json_rows(rows, F.timestamp_seconds(F.lit(1704067200 + seconds)), ORDER_COLUMNS)
+
+    doubled = version(orders.withColumn("total_amount", F.col("total_amount") * 2), 0)
+    final, key = version(orders, 60), F.get_json_object("value", "$.id").cast("bigint")
+    for wanted in (key % 2 == 0, key % 2 == 1):
+        part = doubled.where(wanted).unionByName(final.where(~wanted))
+        _publish(part, topics.ORDER_TOPIC, f"{work}/topics")
+        _run(spark, lambda: streaming.order_job(
+            _parsed_orders(spark, f"{work}/topics"), table, f"{work}/checkpoint", rollup
+        ))
+    return plans.fill_hours(plans.hourly_from_totals(rollup.totals(spark), q.ORDER_DAY, "create_date", "create_hour", "amount"))
+
+
 def _run_alerts(spark: SparkSession, sf_dir: str, work: str, alerts, minutes=None) -> None:
     panes = streaming.pane_table(f"{work}/panes")
     events = t.event_log(t.table(spark, sf_dir, "events"))

@@ -12,8 +12,11 @@ from tillpulse.streaming.jobs import (
 from tillpulse.streaming.progress import ProgressLog
 from tillpulse.streaming.tables import (
     alert_table,
+    dau_rollup,
     dau_table,
+    device_table,
     minute_table,
+    order_rollup,
     order_table,
     pane_table,
     sale_table,
@@ -28,7 +31,7 @@ from tillpulse.streaming.transforms import (
 )
 
 __all__ = [
-    "ProgressLog", "alert_job", "alert_table", "change_job", "coupon_panes_stream", "dau_job", "dau_table", "first_seen_stream",
-    "first_startup_stream", "ingest_job", "join_order_detail_stream", "minute_table", "order_job", "order_table", "pane_table",
+    "ProgressLog", "alert_job", "alert_table", "change_job", "coupon_panes_stream", "dau_job", "dau_rollup", "dau_table", "device_table", "first_seen_stream",
+    "first_startup_stream", "ingest_job", "join_order_detail_stream", "minute_table", "order_job", "order_rollup", "order_table", "pane_table",
     "reconcile_lines", "reject_job", "sale_job", "sale_table", "start", "unmatched_table", "user_table",
 ]

@@ -24,11 +24,12 @@ from tillpulse.operators.alerts import (
     pane_counts,
     windows_from_panes,
 )
-from tillpulse.operators.devices import first_startup, observed
+from tillpulse.operators.devices import first_day_changes, first_startup, observed
 from tillpulse.operators.ingest import route_cdc, route_logs, stamp_ingest
 from tillpulse.operators.sales import enrich_user, late_sales, waiting_lines
 from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.panes import PaneStore, hour_of
+from tillpulse.sinks.rollup import Rollup, net_change
 from tillpulse.sinks.topics import topic_sink
 from tillpulse.sources.records import rejects
 from tillpulse.streaming.transforms import join_order_detail_stream
@@ -82,24 +83,42 @@ def dau_job(
     checkpoint: str,
     tie_break: list[str] | None = None,
     counted: Callable[[int], object] = lambda rows: None,
+    rollup: Rollup | None = None,
+    devices: KeyedTable | None = None,
 ) -> DataStreamWriter:
     """First startups per device and day into the DAU table.
 
     The rows of a batch are observed as ``startups_in``; ``counted`` gets the number of first startups that
     it writes, seen by the write itself. A batch writes the earliest of its own; the table keeps the earliest of all.
+    ``rollup`` gets the change that a batch makes to the active devices per day and hour, ``devices`` the first day of every device.
     """
 
     def each(batch: DataFrame, batch_id: int, source: str) -> None:
-        written = Observation()
-        table.upsert(first_startup(batch, tie_break).observe(written, F.count(F.lit(1)).alias("rows")), batch_id, source)
+        written, spark = Observation(), batch.sparkSession
+        folder = table.upsert(first_startup(batch, tie_break).observe(written, F.count(F.lit(1)).alias("rows")), batch_id, source)
         counted(written.get["rows"])
+        first = spark.read.schema(table.schema).parquet(folder)
+        if rollup:
+            change = net_change(*table.effect(first, batch_id, source), ["log_date", "log_hour"], {"dau": F.lit(1)})
+            rollup.add(change, batch_id, source)
+        if devices:
+            devices.upsert(first_day_changes(first, devices.latest(spark, (source, batch_id))), batch_id, source)
 
     return _into(observed(startups, "startups_in"), "append", checkpoint, each)
 
 
-def order_job(orders: DataFrame, table: KeyedTable, checkpoint: str) -> DataStreamWriter:
-    """Parsed orders into the order table."""
-    return _into(orders, "append", checkpoint, table.upsert)
+def order_job(orders: DataFrame, table: KeyedTable, checkpoint: str, rollup: Rollup | None = None) -> DataStreamWriter:
+    """Parsed orders into the order table. ``rollup`` gets the change that a batch makes to revenue and orders per day and hour: what a
+    new version of an order adds, less what the version before it had added."""
+
+    def each(batch: DataFrame, batch_id: int, source: str) -> None:
+        folder = table.upsert(batch, batch_id, source)
+        if rollup:
+            rows = batch.sparkSession.read.schema(table.schema).parquet(folder)
+            sums = {"amount": F.coalesce("total_amount", F.lit(0)), "orders": F.lit(1)}
+            rollup.add(net_change(*table.effect(rows, batch_id, source), ["create_date", "create_hour"], sums), batch_id, source)
+
+    return _into(orders, "append", checkpoint, each)
 
 
 def alert_job(

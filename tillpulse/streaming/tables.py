@@ -9,6 +9,7 @@ from __future__ import annotations
 from tillpulse import schemas
 from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.panes import PaneStore
+from tillpulse.sinks.rollup import Rollup
 
 
 def dau_table(path: str) -> KeyedTable:
@@ -25,6 +26,24 @@ def order_table(path: str) -> KeyedTable:
     )
 
 
+def device_table(path: str) -> KeyedTable:
+    """The first day of every device. The day is part of the key, so that the new devices of a day are one folder; a device whose
+    first day turns out to be an earlier one leaves a row that says so."""
+    return KeyedTable(
+        path, schemas.DEVICE_TABLE, ["first_day", "mid"], partition_by=["first_day"], null_is_value=True, tombstone="moved"
+    )
+
+
+def order_rollup(path: str) -> Rollup:
+    """Revenue and orders per day and hour."""
+    return Rollup(path, "create_date date, create_hour string", "amount decimal(28,2), orders bigint")
+
+
+def dau_rollup(path: str) -> Rollup:
+    """Active devices per day and hour of their first startup."""
+    return Rollup(path, "log_date date, log_hour string", "dau bigint")
+
+
 def user_table(path: str) -> KeyedTable:
     return KeyedTable(path, schemas.USER_TABLE, ["id"], order=["arrival_ts"], null_is_value=True)
 
