@@ -49,14 +49,26 @@ def with_create_time(df: DataFrame, column: str = "create_time") -> DataFrame:
 _END = "end of this record"
 
 
+def _beside_end(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+
+def is_one_json_value(text: Column) -> Column:
+    """True where the text is one JSON value: nothing behind it, and no key twice in an object."""
+    def alone(parsed: Column) -> Column:
+        ended = F.try_variant_get(parsed, "$[1]", "string") == _END
+        return F.coalesce(ended & F.try_variant_get(parsed, "$[2]", "variant").isNull(), F.lit(False))
+
+    # Within the lambda the parsed text is a value; written out, it would be parsed again wherever it is named.
+    return F.transform(F.array(_beside_end(text)), alone)[0]
+
+
 def one_json_value(text: Column, kind: str) -> Column:
-    """The JSON value that the text is, as ``kind``; NULL where it is no such value, where something stands behind it, or where
-    an object has a key twice. The text is parsed once."""
-    beside = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    # Two elements, the second of which is the one put there.
-    parts = beside.try_cast("array<variant>")
-    alone = (F.size(parts) == 2) & (parts[1].try_cast("string") == _END)
-    return F.when(alone, parts[0].try_cast(kind))
+    """The one JSON value that the text is, as ``kind``; NULL where it is none or not of the kind."""
+    def alone(parts: Column) -> Column:
+        return F.when((F.size(parts) == 2) & (parts[1].try_cast("string") == _END), parts[0].try_cast(kind))
+
+    return F.transform(F.array(_beside_end(text).try_cast("array<variant>")), alone)[0]
 
 
 def mask_phone(tel: Column) -> Column:

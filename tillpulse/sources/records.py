@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillpulse import schemas
-from tillpulse.functions.scalars import mask_phone, one_json_value, to_money, with_create_time, with_log_time
+from tillpulse.functions.scalars import is_one_json_value, mask_phone, to_money, with_create_time, with_log_time
 
-_RECORD = "_record"
+_BROKEN, _WHOLE = "_broken", "_whole"
 # First and last millisecond a timestamp can show with a four-digit year.
 _MIN_MS, _MAX_MS = -62135596800000, 253402300799999
 
@@ -24,19 +24,21 @@ def _epoch_ms(text: Column) -> Column:
 
 def _read_json(df: DataFrame, fields: list[str] | T.StructType) -> DataFrame:
     shape = fields if isinstance(fields, T.StructType) else schemas.text_struct(fields)
-    record = one_json_value(F.col("value"), shape.simpleString())
+    parsed = F.from_json(
+        F.col("value"), T.StructType([*shape.fields, T.StructField(_BROKEN, T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN},
+    )
     kept = [c for c in ("arrival_ts",) if c in df.columns]
     # As a generator the parser runs once per record; as a plain column, later filters on the fields
     # would each be pushed down together with a parser of their own.
-    rows = df.select("value", *kept, F.explode(F.array(record)).alias(_RECORD))
-    return rows.select("value", *kept, F.col(_RECORD).isNotNull().alias(_RECORD), *[F.col(f"{_RECORD}.{f}") for f in shape.fieldNames()])
+    return df.select("value", *kept, is_one_json_value(F.col("value")).alias(_WHOLE), F.inline(F.array(parsed)))
 
 
 def _judge(df: DataFrame, required: list[str]) -> DataFrame:
-    reason: Column = F.when(~F.col(_RECORD), "not a JSON record")
+    reason: Column = F.when(~F.col(_WHOLE) | F.col(_BROKEN).isNotNull(), "not a JSON record")
     for name in required:
         reason = reason.when(F.col(name).isNull(), f"missing or invalid {name}")
-    return df.withColumn("reject_reason", reason).drop(_RECORD)
+    return df.withColumn("reject_reason", reason).drop(_BROKEN, _WHOLE)
 
 
 def accepted(df: DataFrame) -> DataFrame:
