@@ -140,4 +140,4 @@ def test_panes_of_an_hour_are_read_alone(spark, tmp_path):
     assert rows(panes.read(spark, [0, 7]).select("mid", "pane", "n", "batch"), "batch") == [("a", 5, 2, 0), ("a", 5, 2, 1)]
     assert rows(panes.read(spark, [-1, 1]).select("pane"), "pane") == [(-1,), (400,)]
     files = panes.read(spark, [0]).inputFiles()
-    assert len(files) == 2 and all("hour=0/" in f for f in files)
+    assert len(files) == 2 and all("slot=0/" in f for f in files)

@@ -1,7 +1,8 @@
-"""Event counts of the alert windows, in a folder per hour.
+"""Event counts of the alert windows, in a folder for every six hours.
 
-``hour=<number>/source=<stream>/batch=<number>``: a replayed batch overwrites its own folders. Whoever needs a few hours lists and
-reads these hours only, however long the history is.
+``slot=<number>/source=<stream>/batch=<number>``: a replayed batch overwrites its own folders. Whoever needs a few hours lists and
+reads their slots only, however long the history is. A batch that catches up on weeks writes a folder per slot; one per
+hour would cost it more than all its windows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from tillpulse.operators.alerts import CHUNK_SECONDS, SLIDE_SECONDS
 from tillpulse.sinks.keyed import read_folder
 
 PANES_PER_HOUR = CHUNK_SECONDS // SLIDE_SECONDS
+SLOT_HOURS = 6
 
 
 def hour_of(pane: Column) -> Column:
@@ -26,16 +28,20 @@ class PaneStore:
     path: str
 
     def add(self, panes: DataFrame, batch: int, source: str) -> None:
-        named = panes.withColumns({"hour": hour_of(F.col("pane")), "source": F.lit(source), "batch": F.lit(batch).cast("bigint")})
-        # Rows of an hour together: few files an hour, several tasks where an hour is large.
-        spread = named.select(*self._schema().fieldNames()).hint("rebalance", "hour")
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "source", "batch").parquet(self.path)
+        slot = F.floor(hour_of(F.col("pane")) / SLOT_HOURS)
+        named = panes.withColumns({"slot": slot, "source": F.lit(source), "batch": F.lit(batch).cast("bigint")})
+        # Rows of a slot together: few files a slot, several tasks where a slot is large.
+        spread = named.select(*self._schema().fieldNames()).hint("rebalance", "slot")
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "source", "batch").parquet(self.path)
 
     def read(self, spark: SparkSession, hours: list[int]) -> DataFrame:
-        """All counts of these hours; several rows of a key, from several batches, are to be added up."""
-        found = read_folder(spark, self._schema(), f"{self.path}/hour={{{','.join(map(str, hours))}}}", self.path) if hours else None
-        return spark.createDataFrame([], self._schema()) if found is None else found
+        """All counts of these hours, with ``hour``; several rows of a key, from several batches, are to be added up."""
+        slots = sorted({h // SLOT_HOURS for h in hours})
+        found = read_folder(spark, self._schema(), f"{self.path}/slot={{{','.join(map(str, slots))}}}", self.path) if slots else None
+        if found is None:
+            found = spark.createDataFrame([], self._schema())
+        return found.withColumn("hour", hour_of(F.col("pane"))).where(F.col("hour").isin(hours)).drop("slot")
 
     @staticmethod
     def _schema() -> T.StructType:
-        return T._parse_datatype_string(f"{schemas.PANE_TABLE}, hour bigint, source string, batch bigint")
+        return T._parse_datatype_string(f"{schemas.PANE_TABLE}, slot bigint, source string, batch bigint")
