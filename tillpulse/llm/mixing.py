@@ -106,7 +106,8 @@ def permuted(df: DataFrame, number: str, position: str, n: str, seeds: list[str]
 def _numbers(df: DataFrame, n: Column, name: str) -> DataFrame:
     """Every row once for each of 0..n-1, as ``name``; chunks of bounded length, dealt out to all tasks."""
     chunks = df.where(n > 0).withColumn("_to", n - 1).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_to"), F.lit(CHUNK_ROWS).cast("long"))))
-    dealt = chunks.repartition(*df.columns, "_from")
+    # A fixed number of partitions: a chunk is a few bytes here and many rows in the next step.
+    dealt = chunks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns, "_from")
     last = F.least(F.col("_from") + CHUNK_ROWS - 1, F.col("_to"))
     return dealt.withColumn(name, F.explode(F.sequence("_from", last))).drop("_from", "_to")
 

@@ -40,7 +40,7 @@ SHINGLE_WORDS = 5
 LEAST_SIMILARITY = (4, 5)  # as a fraction, so that all comparisons are exact
 # Counters of the sketch, in chunks of so many; a task's counters stop at 255.
 SLOTS, CHUNK = 1 << 20, 1 << 12
-SIZE_BUCKET = 1.12
+SIZE_BUCKET = 1.25
 _BLOCK = 1 << 15
 
 
@@ -240,7 +240,12 @@ def star_pairs(members: DataFrame) -> DataFrame:
 def other_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b), a the smaller one: all pairs of different classes that share a key and may be similar."""
     rooted = stored(members.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-members")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    # Most keys of several classes are those of two nodes, which alone decide whether there is anything to look at.
+    ends = F.struct("size", "at")
+    mixed = rooted.groupBy("key").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"), F.min(ends).alias("a"), F.max(ends).alias("b")
+    )
+    mixed = mixed.where("least <> most").where((F.col("n") > 2) | _may_be_similar("a", "b")).select("key")
     rooted = stored(rooted.join(stored(mixed, "mixed-keys"), "key", "left_semi"), "mixed-members")
     over, under = LEAST_SIMILARITY
     size, at = F.col("size").cast("long"), F.col("at").cast("long")
