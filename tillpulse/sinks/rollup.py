@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tillpulse.sinks.keyed import read_folder
 
 
+_COMPACTED = "compacted"
+
+
 def net_change(before: DataFrame, after: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
     """``by`` and the change of every sum between two states of some rows; groups in which nothing changes are left out."""
     added = after.select(*by, *[c.alias(name) for name, c in sums.items()])
@@ -46,10 +49,11 @@ class Rollup:
         """The same sums in a new folder. Run it while no stream writes."""
         parts = self._parts(spark)
         if parts is not None:
-            newest = parts.groupBy("source").agg(F.max("batch").alias("batch"))  # a row per stream
+            # A row per stream; sums of an earlier compaction are no stream and can be added up.
+            newest = parts.where(~F.col("source").startswith(_COMPACTED)).groupBy("source").agg(F.max("batch").alias("batch"))
             parts.join(newest, ["source", "batch"], "left_semi").write.partitionBy("source", "batch").parquet(f"{path}/parts")
             older = self._added(parts.join(newest, ["source", "batch"], "left_anti"))
-            older.write.parquet(f"{path}/parts/source=compacted {quote(self.path, safe='')}/batch=0")
+            older.write.parquet(f"{path}/parts/source={_COMPACTED}/batch=0")
         return replace(self, path=path)
 
     def _added(self, parts: DataFrame) -> DataFrame:
