@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -327,3 +328,26 @@ def test_rows_without_keep_all_others(spark, odd):
     among = map_among(odd, stored(rows, "test"), lambda batches: batches, odd.schema)
     assert Counter(r["doc_id"] for r in among.collect()) >= Counter([3, 5, 5, 8])
     assert rows_without(odd, stored(rows.limit(0), "test")).count() == odd.count()
+
+
+def test_prefixes_rule_out_no_similar_pair(spark):
+    """Edited copies at all distances: what the prefixes leave holds every similar pair, and not all others."""
+    pick = random.Random(13)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for n in range(40):
+        words = list(base)
+        for _ in range(n % 8):
+            words[pick.randrange(len(words))] = f"own{pick.random()}"
+        texts.append(" ".join(words[:pick.choice([120, 110, 100])]))
+    docs = as_docs(spark, list(enumerate(texts)))
+    counts = np.zeros(resemblance.SLOTS, np.int32)
+    keyed = stored(resemblance.prefixes(docs.select("text"), counts).dropDuplicates(["node"]), "test")
+    sets = {}
+    for t in texts:
+        own = resemblance.shingle_hashes(t)
+        sets[int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))] = set(own.tolist())
+    every = [(a, b) for a in sets for b in sets if a < b]
+    similar = {(a, b) for a, b in every if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    left = {tuple(r) for r in resemblance.alike_prefixes(spark.createDataFrame(every, "a long, b long"), keyed).collect()}
+    assert similar <= left and 10 < len(similar) < len(left) < len(every)

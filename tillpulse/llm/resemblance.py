@@ -182,6 +182,26 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(both, similar, "a long, b long")
 
 
+def alike_prefixes(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose prefixes have enough in common. What two sets share is in both prefixes, or behind the prefix
+    that ends first; so few common keys rule a pair out by a fifth of its shingles."""
+    pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    bits = bit_map(stored(wanted, "met-nodes"), "node")
+
+    def asked(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(is_set(bits, batch.column("node").to_numpy())))
+
+    near = stored(map_batches(keyed.select("node", "size", "keys"), asked, "node long, size int, keys array<long>"), "met-prefixes")
+    both = pairs.join(near.toDF("a", "size_a", "keys_a"), "a").join(near.toDF("b", "size_b", "keys_b"), "b")
+    over, under = LEAST_SIMILARITY
+    size = {side: F.col(f"size_{side}").cast("long") for side in ("a", "b")}
+    needed = F.ceil((size["a"] + size["b"]) * over / (over + under))
+    behind = F.greatest(*[size[side] - F.size(f"keys_{side}") for side in ("a", "b")])
+    return both.where(F.size(F.array_intersect("keys_a", "keys_b")) >= needed - behind).select("a", "b")
+
+
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b): nodes with equal fingerprints, each with one of them; and one node each of fingerprints two bits apart at most."""
     named = nodes.where("size > 0").select("node", "fingerprint")
@@ -268,9 +288,9 @@ def roots(docs: DataFrame, nodes: DataFrame, counts: np.ndarray) -> DataFrame:
     keyed = prefixes(docs, counts).groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     keyed = stored(keyed, "node-keys")
     members = key_members(keyed)
-    links = stored(links.unionByName(verified(star_pairs(members), docs, nodes)), "star-links")
+    links = stored(links.unionByName(verified(alike_prefixes(star_pairs(members), keyed), docs, nodes)), "star-links")
     classes = stored(components(links).toDF("node", "root"), "star-classes")
-    more = verified(other_pairs(members, classes), docs, nodes)
+    more = verified(alike_prefixes(other_pairs(members, classes), keyed), docs, nodes)
     links = stored(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "class-links")
     joined = nodes.join(components(links).toDF("node", "root"), "node", "left")
     return joined.withColumn("root", F.coalesce("root", "node"))
