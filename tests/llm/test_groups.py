@@ -330,6 +330,13 @@ def test_rows_without_keep_all_others(spark, odd):
     assert rows_without(odd, stored(rows.limit(0), "test")).count() == odd.count()
 
 
+def test_copies_of_a_row_left_out_stay_in_place(spark):
+    docs = spark.createDataFrame([(i, "one text for all") for i in range(500)], "doc_id long, text string")
+    rows = stored(docs.select(*row_identity(docs)).where("row_id < 2"), "test")
+    assert map_among(docs, rows, lambda batches: batches, docs.schema).count() < 10
+    assert {r.doc_id for r in rows_without(docs, rows).collect()} == set(range(2, 500))
+
+
 def test_prefixes_rule_out_no_similar_pair(spark):
     """Edited copies at all distances: what the prefixes leave holds every similar pair, and not all others."""
     pick = random.Random(13)

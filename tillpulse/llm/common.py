@@ -62,6 +62,11 @@ def _bit(values: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
 
 
+def _row_mark(row_id, row_digest):
+    """One number for a row's identity: rows of one text are told apart by their ids."""
+    return F.xxhash64(row_id, row_digest)
+
+
 def bit_map(values: DataFrame, column: str) -> np.ndarray:
     """Fixed-size map of the bits that the values set."""
     n = values.count()
@@ -88,27 +93,32 @@ def is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
+def _row_map(rows: DataFrame) -> np.ndarray:
+    return bit_map(rows.select(_row_mark("row_id", "row_digest").alias("mark")), "mark")
+
+
 def _sifted(docs: DataFrame, bits: np.ndarray, known: bool, function=lambda batches: batches, schema=None) -> DataFrame:
-    """The rows of ``docs`` whose digest the bit map lets through (``known``) or does not; ``function`` goes on with their batches in
-    the same worker."""
+    """The rows of ``docs`` whose identity the bit map lets through (``known``) or does not; ``function`` goes on with their batches
+    in the same worker."""
     def sift(batches):
         for batch in batches:
-            hit = is_set(bits, batch.column("_row_digest").to_numpy())
-            yield batch.drop_columns(["_row_digest"]).filter(pa.array(hit if known else ~hit))
+            hit = is_set(bits, batch.column("_row_mark").to_numpy())
+            yield batch.drop_columns(["_row_mark"]).filter(pa.array(hit if known else ~hit))
 
-    return map_batches(docs.withColumn("_row_digest", row_identity(docs)[1]), lambda batches: function(sift(batches)), schema or docs.schema)
+    marked = docs.withColumn("_row_mark", _row_mark(*row_identity(docs)))
+    return map_batches(marked, lambda batches: function(sift(batches)), schema or docs.schema)
 
 
 def map_among(docs: DataFrame, rows: DataFrame, function, schema) -> DataFrame:
     """``map_batches`` over at least the rows of ``docs`` whose identity is in ``rows`` (row_id, row_digest), and few others, whatever
     the size of either."""
-    return _sifted(docs, bit_map(rows, "row_digest"), True, function, schema)
+    return _sifted(docs, _row_map(rows), True, function, schema)
 
 
 def rows_without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` without those whose identity is in ``rows`` (row_id, row_digest). Rows that the bit map of ``rows`` does not know
     stay where they are; only the others, mostly those to be left out, are exchanged."""
-    bits = bit_map(rows, "row_digest")
+    bits = _row_map(rows)
     asked = _sifted(docs, bits, True)
     row_id, row_digest = row_identity(asked)
     same = (row_id == rows["row_id"]) & (row_digest == rows["row_digest"])
