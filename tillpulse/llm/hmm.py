@@ -190,6 +190,7 @@ def _carried(move, emit, start, classes, begins, number, sizes):
     order = asked[np.argsort(-sizes[asked], kind="stable")]
     running = np.searchsorted(-sizes[order], -np.arange(sizes[order].max()), side="left")
     product = np.tile(np.eye(k, dtype=np.float32), (len(order), 1, 1))
+    relative = emit / emit.max(axis=1, keepdims=True)
     first = number[order] == 0
     for step, m in enumerate(running):
         part = product[:m]
@@ -197,8 +198,9 @@ def _carried(move, emit, start, classes, begins, number, sizes):
             part = (part.reshape(-1, k) @ move).reshape(m, k, k)
         else:
             part = np.where(first[:m, None, None], part, move)
-        part = part * emit[classes[begins[order[:m]] + step]][:, None, :]
-        product[:m] = part / part.max(axis=(1, 2), keepdims=True)
+        np.multiply(part, relative[classes[begins[order[:m]] + step]][:, None, :], out=product[:m])
+        if step % 2:  # two steps in a row stay far from the least number of this precision
+            product[:m] /= product[:m].reshape(m, -1).max(axis=1)[:, None, None]
     place = np.full(n, -1)
     place[order] = np.arange(len(order))
     for level in range(1, int(number.max()) + 1):
