@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,36 @@ def test_sale_job(spark, topics, tmp_path):
     assert sales.latest(spark).where("order_detail_id = 'l20'").select("order_id", "user_level").first() == ("o1", "3")
 
 
+def test_sale_job_over_rounds_equals_all_pairs(spark, topics, tmp_path):
+    """Orders and lines that meet within a batch, over batches and over rounds of two batches; no row by row state store."""
+    people, sales = streaming.user_table(str(tmp_path / "users")), streaming.sale_table(str(tmp_path / "sales"))
+    alone, random = streaming.unmatched_table(str(tmp_path / "alone")), Random(7)
+    orders, lines, steps = {}, {}, 6
+    topics.send("u", user("u1", at(-60), "1"))
+    for step in range(steps):
+        for i in range(12):
+            orders[f"o{step}-{i}"] = 20 * step + random.uniform(0, 20)
+            # A line of an order of this, an earlier or a later batch, or of none.
+            lines[f"l{step}-{i}"] = (f"o{step + random.choice([-2, -1, 0, 0, 1])}-{i}", 20 * step + random.uniform(0, 20))
+        topics.send("o", *[order(k, at(m), "u1") for k, m in orders.items() if k.startswith(f"o{step}-")])
+        topics.send("d", *[line(k, o, at(m)) for k, (o, m) in lines.items() if k.startswith(f"l{step}-")])
+        run(streaming.sale_job(
+            sources.accepted(sources.parse_order(topics.read("o"))), sources.accepted(sources.parse_order_detail(topics.read("d"))),
+            sources.accepted(sources.parse_user(topics.read("u"))), people, sales, str(tmp_path / "cp"), dt.date(2024, 1, 1),
+            "10 minutes", "30 minutes", "0 minutes", alone, every=2,
+        ))
+    met = {k for k, (o, m) in lines.items() if o in orders and orders[o] - 10 <= m <= orders[o] + 30}
+    come = min(max(orders.values()), max(m for _, m in lines.values()))
+    beyond = {k for k, (_, m) in lines.items() if k not in met and m + 10 < come}
+    assert len(met) > 30 and len(beyond) > 10
+    assert sorted(r[0] for r in rows(sales.latest(spark).select("order_detail_id"))) == sorted(met)
+    assert sorted(r[0] for r in rows(alone.latest(spark).select("order_detail_id"))) == sorted(beyond)
+    assert sales.latest(spark).where("user_level = '1'").count() == len(met)
+    written = spark.read.parquet(str(tmp_path / "sales" / "batches"))
+    assert written.count() == len(met) and written.select("batch").distinct().count() == steps
+    assert not (tmp_path / "cp" / "state").exists()
+
+
 def event(mid, evid, when, uid="u", item=1):
     return when, {"mid": mid, "uid": uid, "evid": evid, "itemid": item, "ts": ms(when)}
 

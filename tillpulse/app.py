@@ -76,7 +76,6 @@ def job_writers(job: str, spark: SparkSession, args: argparse.Namespace) -> list
         args.early,
         args.horizon,
         args.lateness,
-        args.salts,
         streaming.unmatched_table(f"{args.tables}/unmatched_lines"),
     )
     return with_rejects(writer, orders, details, users)
@@ -113,8 +112,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--option", action="append", default=[], help="name=value for the topic source; may be repeated")
     parser.add_argument("--early", default="10 minutes", help="how long a line may come before its order")
     parser.add_argument("--horizon", default="1 day", help="how long a line may come after its order")
-    parser.add_argument("--lateness", default="10 minutes", help="how far behind the newest arrival orders and lines still join")
-    parser.add_argument("--salts", type=int, default=4, help="parts into which the lines of an order are dealt")
+    parser.add_argument("--lateness", default="10 minutes", help="how far behind the newest arrival orders and lines are kept to be joined")
     parser.add_argument("--once", action="store_true", help="process what is there and stop")
     parser.add_argument("--date", help="day of a report")
     parser.add_argument("--metric", default="dau", choices=["dau", "order_amount"])

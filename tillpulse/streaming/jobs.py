@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -31,8 +32,9 @@ from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.panes import PaneStore, hour_of
 from tillpulse.sinks.rollup import Rollup, net_change
 from tillpulse.sinks.topics import topic_sink
+from tillpulse.sinks.waiting import LINE, ORDER, WaitingRows
 from tillpulse.sources.records import rejects
-from tillpulse.streaming.transforms import join_order_detail_stream
+from tillpulse.streaming.transforms import LINE_SIDE, ORDER_SIDE, join_order_detail_within, unmatched_lines
 
 TRIGGER = "5 seconds"
 
@@ -185,36 +187,50 @@ def sale_job(
     early: str = "10 minutes",
     horizon: str = "1 day",
     lateness: str = "10 minutes",
-    salts: int = 4,
     unmatched_table: KeyedTable | None = None,
+    every: int = 60,
 ) -> DataStreamWriter:
     """Orders, order lines and user changes into the sale table; lines whose order does not come in time into
     another, if one is given.
 
-    One query for all three, so that users of a batch are stored before the sales of the same batch
-    look them up.
+    One query for all three, so that users of a batch are stored before the sales of the same batch look them up. A line may arrive
+    up to ``early`` before its order and up to ``horizon`` after it. What may still meet is kept in folders below the checkpoint
+    and joined by the batch join, whose work is sorted and re-planned at run time: a store that looks up, counts and evicts row by row
+    cannot take in a backlog of hundreds of millions of lines. No record is dropped as late; how long rows
+    are kept follows from the older of the newest arrivals of orders and lines, less ``lateness``.
     """
-    sales = join_order_detail_stream(orders, details, early, horizon, lateness, salts, unmatched_table is not None)
-    people = users.select(*user_table.columns())
-    both = sales.select(
-        F.struct(*sales.columns).alias("sale"), F.lit(None).cast(people.schema).alias("user")
-    ).unionByName(people.select(F.lit(None).cast(sales.schema).alias("sale"), F.struct(*people.columns).alias("user")))
+    columns = {ORDER: ORDER_SIDE, LINE: LINE_SIDE, "user": user_table.columns()}
+    tagged = [rows.select(F.lit(kind).alias("kind"), *columns[kind]) for kind, rows in zip(columns, (orders, details, users))]
+    every_kind = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    waiting = WaitingRows(f"{checkpoint}/waiting", every_kind.schema, early, horizon, lateness, every)
 
     def each(batch: DataFrame, batch_id: int, source: str) -> None:
-        batch.persist()
-        try:
-            user_table.upsert(batch.where(F.col("user").isNotNull()).select("user.*"), batch_id, source)
-            found = batch.where(F.col("sale").isNotNull()).select("sale.*")
-            if unmatched_table:
-                alone = found.where(F.col("order_id").isNull()).drop("order_id").withColumnRenamed("line_order_id", "order_id")
-                unmatched_table.upsert(alone, batch_id, source)
-            fresh = found.where(F.col("order_id").isNotNull())
-            known = user_table.lookup(batch.sparkSession, fresh.select(F.col("user_id").alias("id")))
-            sale_table.upsert(enrich_user(fresh, known, as_of), batch_id, source)
-        finally:
-            batch.unpersist()
-
-    return _into(both, "append", checkpoint, each)
+        spark = batch.sparkSession
+        come = waiting.come(spark, batch_id)
+        rows, ends = waiting.add(batch, batch_id)
+        before = waiting.before(spark, batch_id, come)
+        now = waiting.advance(spark, batch_id, ends)
+
+        def of(kind: str, some: DataFrame) -> DataFrame:
+            return some.where(F.col("kind") == kind).select(*columns[kind])
+
+        user_table.upsert(of("user", rows), batch_id, source)
+        new_orders, new_lines = of(ORDER, rows), of(LINE, rows)
+        if unmatched_table:
+            # Lines that no order to come can reach. Of earlier batches only those are left that the last batch could not tell.
+            known, lines = (of(kind, before).unionByName(of(kind, rows)) for kind in (ORDER, LINE))
+            beyond = lines.where(waiting.beyond(now))
+            unmatched_table.upsert(unmatched_lines(known, beyond, early, horizon), batch_id, source)
+        # Every pair once, when the later of the two comes.
+        met = of(ORDER, before.where(waiting.near(ORDER, ends))).unionByName(new_orders)
+        sales = join_order_detail_within(met, new_lines, early, horizon).unionByName(
+            join_order_detail_within(new_orders, of(LINE, before.where(waiting.near(LINE, ends))), early, horizon)
+        )
+        # Buyers by the orders: the join is then needed once.
+        buyers = user_table.lookup(spark, met.select(F.col("user_id").alias("id")))
+        sale_table.upsert(enrich_user(sales, buyers, as_of), batch_id, source)
+
+    return _into(every_kind, "append", checkpoint, each)
 
 
 def reconcile_lines(

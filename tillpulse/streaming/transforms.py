@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tillpulse.functions.scalars import to_money
 from tillpulse.operators.alerts import COUPON, SLIDE_SECONDS
 from tillpulse.operators.sales import sale_columns
 
@@ -66,6 +67,24 @@ def coupon_panes_stream(events: DataFrame, lateness: str = "10 minutes", slide:
     )
 
 
+# What the join of orders and lines needs of them.
+ORDER_SIDE = ["id", "order_status", "create_time", "user_id", "create_date", "arrival_ts"]
+LINE_SIDE = ["id", "order_id", "sku_id", "sku_name", "order_price", "arrival_ts"]
+
+
+def _within(early: str, horizon: str) -> Column:
+    """An order ``o`` and a line ``d`` of it that has arrived within the bounds."""
+    return (
+        (F.col("o.id") == F.col("d.order_id"))
+        & (F.col("d.arrival_ts") >= F.col("o.arrival_ts") - F.expr(f"interval {early}"))
+        & (F.col("d.arrival_ts") <= F.col("o.arrival_ts") + F.expr(f"interval {horizon}"))
+    )
+
+
+def _arrival() -> list[Column]:
+    return [F.greatest("o.arrival_ts", "d.arrival_ts").alias("arrival_ts"), F.col("o.arrival_ts").alias("order_arrival_ts")]
+
+
 def join_order_detail_stream(
     orders: DataFrame,
     details: DataFrame,
@@ -89,16 +108,22 @@ def join_order_detail_stream(
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     o = orders.withWatermark("arrival_ts", lateness).withColumn("salt", copies).alias("o")
     d = details.withWatermark("arrival_ts", lateness).withColumn("salt", dealt).alias("d")
-    within = (
-        (F.col("o.id") == F.col("d.order_id"))
-        & (F.col("o.salt") == F.col("d.salt"))
-        & (F.col("d.arrival_ts") >= F.col("o.arrival_ts") - F.expr(f"interval {early}"))
-        & (F.col("d.arrival_ts") <= F.col("o.arrival_ts") + F.expr(f"interval {horizon}"))
-    )
-    arrival = [
-        F.greatest("o.arrival_ts", "d.arrival_ts").alias("arrival_ts"), F.col("o.arrival_ts").alias("order_arrival_ts")
-    ]
+    within = _within(early, horizon) & (F.col("o.salt") == F.col("d.salt"))
     if not unmatched:
-        return o.join(d, within).select(*sale_columns(), *arrival)
+        return o.join(d, within).select(*sale_columns(), *_arrival())
     named = F.col("d.order_id").alias("line_order_id")
-    return d.join(o, within, "left_outer").select(*sale_columns(), *arrival, named)
+    return d.join(o, within, "left_outer").select(*sale_columns(), *_arrival(), named)
+
+
+def join_order_detail_within(orders: DataFrame, details: DataFrame, early: str = "10 minutes", horizon: str = "1 day") -> DataFrame:
+    """The same pairs for rows that are all there. An order with very many lines is split at run time."""
+    return orders.alias("o").join(details.alias("d"), _within(early, horizon)).select(*sale_columns(), *_arrival())
+
+
+def unmatched_lines(orders: DataFrame, details: DataFrame, early: str = "10 minutes", horizon: str = "1 day") -> DataFrame:
+    """The lines that have no order within the bounds."""
+    alone = details.alias("d").join(orders.alias("o"), _within(early, horizon), "left_anti")
+    return alone.select(
+        F.col("id").alias("order_detail_id"), "order_id", "sku_id", "sku_name",
+        to_money(F.col("order_price")).cast("double").alias("sku_price"), "arrival_ts",
+    )
