@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tillpulse.operators import latest
 from tillpulse.sinks import KeyedTable, PaneStore
 
 SCHEMA = "id string, v int, day date"
@@ -141,3 +142,23 @@ def test_panes_of_an_hour_are_read_alone(spark, tmp_path):
     assert rows(panes.read(spark, [-1, 1]).select("pane"), "pane") == [(-1,), (400,)]
     files = panes.read(spark, [0]).inputFiles()
     assert len(files) == 2 and all("slot=0/" in f for f in files)
+
+
+def test_reading_settles_only_keys_that_occur_several_times(spark, tmp_path, monkeypatch):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    plain = KeyedTable(str(tmp_path / "p"), SCHEMA, ["id"], order=["v"])
+    plain.upsert(frame(spark, ("a", 1, D1), ("b", 1, D1), (None, 1, D1), (None, 1, D1)), 0)
+    assert "Exchange" not in plan(plain.latest(spark)) and plain.latest(spark).count() == 4
+    plain.upsert(frame(spark, ("a", 2, D1), ("c", 1, D1), (None, 0, D2)), 1)
+    want = [("a", 2, D1), ("b", 1, D1), ("c", 1, D1)]
+    for few in (10, 0):
+        monkeypatch.setattr(latest, "FEW_KEYS", few)
+        got = plain.latest(spark)
+        assert rows(got.where("id is not null"), "id") == want and got.where("id is null").count() == 3
+    valued = KeyedTable(str(tmp_path / "v"), SCHEMA, ["id"], order=["v"], null_is_value=True)
+    valued.upsert(frame(spark, (None, 1, D1), (None, 3, D1), ("a", 1, D1)), 0)
+    for few in (10, 0):
+        monkeypatch.setattr(latest, "FEW_KEYS", few)
+        assert rows(valued.latest(spark), "v") == [("a", 1, D1), (None, 3, D1)]

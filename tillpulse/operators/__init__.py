@@ -26,11 +26,11 @@ from tillpulse.operators.orders import (
     order_clean,
     sales_by_province,
 )
-from tillpulse.operators.sales import enrich_user, join_order_detail, late_sales, latest_users, waiting_lines
+from tillpulse.operators.sales import enrich_user, join_order_detail, late_sales, latest_users, match_lines, waiting_lines, with_buyer
 
 __all__ = [
     "alert_documents", "alerts_per_minute", "apply_changes", "changed_rows", "coupon_alerts", "coupon_alerts_per_minute", "dau_by_hour", "dau_total", "device_totals",
-    "enrich_user", "event_list", "exclude_seen", "first_day_changes", "first_startup", "join_order_detail", "late_sales", "latest_rows", "latest_users",
+    "enrich_user", "event_list", "exclude_seen", "first_day_changes", "first_startup", "join_order_detail", "late_sales", "latest_rows", "latest_users", "match_lines",
     "new_devices", "new_devices_known", "observed", "order_amount_by_hour", "order_amount_total", "order_clean", "pane_counts",
-    "roster", "route_cdc", "route_logs", "sales_by_province", "stamp_ingest", "waiting_lines",
+    "roster", "route_cdc", "route_logs", "sales_by_province", "stamp_ingest", "waiting_lines", "with_buyer",
 ]

@@ -32,6 +32,45 @@ def latest_rows(
     return newest(df.where(has_key)).unionByName(df.where(~has_key))
 
 
+def last_rows(df: DataFrame, key_cols: list[str], order_cols: list[str], null_is_value: bool = False) -> DataFrame:
+    """The same rows as ``latest_rows``, for wide rows in large number: a row is carried through the shuffle once, as its own order,
+    where ``max_by`` carries it and what it is compared by."""
+    others = [*order_cols, *[c for c in df.columns if c not in (*key_cols, *order_cols)]]
+
+    def newest(rows: DataFrame) -> DataFrame:
+        picked = rows.groupBy(*key_cols).agg(F.max(F.struct(*others)).alias("row"))
+        return picked.select(*key_cols, "row.*").select(*df.columns)
+
+    if null_is_value:
+        return newest(df)
+    has_key = reduce(and_, (F.col(name).isNotNull() for name in key_cols))
+    return newest(df.where(has_key)).unionByName(df.where(~has_key))
+
+
+# Keys with several rows that are sent to every task; with more of them all rows are settled.
+FEW_KEYS = 10_000
+
+
+def last_rows_of_few(df: DataFrame, key_cols: list[str], order_cols: list[str], null_is_value: bool = False) -> DataFrame:
+    """The same rows as ``last_rows``, for data that is read from files: keys are counted at once, a shuffle of keys alone, and
+    only the rows of keys that occur several times are settled. The others stay where they are, and columns that nobody
+    asks for are not read. Where more than ``FEW_KEYS`` keys occur several times all rows are settled."""
+    counts = df.groupBy(*key_cols).count().where(F.col("count") > 1)
+    if not null_is_value:
+        counts = counts.where(reduce(and_, (F.col(k).isNotNull() for k in key_cols)))
+    again = counts.select(*key_cols).limit(FEW_KEYS + 1).collect()
+    if not again:
+        return df
+    if len(again) > FEW_KEYS:
+        return last_rows(df, key_cols, order_cols, null_is_value)
+    named = df.sparkSession.createDataFrame(again, df.select(*key_cols).schema).toDF(*[f"_{k}" for k in key_cols])
+    same = reduce(and_, (
+        df[k].eqNullSafe(F.col(f"_{k}")) if null_is_value else df[k] == F.col(f"_{k}") for k in key_cols
+    ))
+    once = df.join(F.broadcast(named), same, "left_anti")
+    return once.unionByName(last_rows(df.join(F.broadcast(named), same, "left_semi"), key_cols, order_cols, null_is_value))
+
+
 # Of changes that arrive at the same moment the later of these counts.
 OPERATIONS = ("INSERT", "UPDATE", "DELETE")
 

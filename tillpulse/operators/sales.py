@@ -35,20 +35,27 @@ def join_order_detail(orders: DataFrame, details: DataFrame) -> DataFrame:
     return joined.select(*sale_columns())
 
 
-def late_sales(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Sales of order lines (order_detail_id, order_id, sku_id, sku_name, sku_price, arrival_ts) that have waited, with the orders that
-    have come meanwhile. ``orders`` has one row per id; columns as from ``join_order_detail``."""
-    joined = orders.alias("o").join(lines.alias("d"), F.col("o.id") == F.col("d.order_id"))
-    return joined.select(
-        "d.order_detail_id", "d.order_id", "o.order_status", "o.create_time", "o.user_id", "d.sku_id", "d.sku_price", "d.sku_name",
-        F.col("o.create_date").alias("dt"), F.greatest("o.arrival_ts", "d.arrival_ts").alias("arrival_ts"),
-        F.col("o.arrival_ts").alias("order_arrival_ts"),
+def match_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Order lines (order_detail_id, order_id, sku_id, sku_name, sku_price, arrival_ts) that have waited, each with the other columns of its
+    order as ``found``, NULL where the order has not come yet. ``orders`` has one row per id."""
+    of_order = orders.select(F.col("id").alias("order_id"), F.struct(*[c for c in orders.columns if c != "id"]).alias("found"))
+    return lines.join(of_order, "order_id", "left").select(*lines.columns, "found")
+
+
+def late_sales(matched: DataFrame) -> DataFrame:
+    """Sales of the lines whose order has come meanwhile; columns as from ``join_order_detail``, and the buyer's where the orders have them."""
+    sold = matched.where(F.col("found").isNotNull())
+    buyer = [F.col(f"found.{c}") for c in BUYER_FIELDS if c in matched.schema["found"].dataType.fieldNames()]
+    return sold.select(
+        "order_detail_id", "order_id", "found.order_status", "found.create_time", "found.user_id", "sku_id", "sku_price", "sku_name",
+        F.col("found.create_date").alias("dt"), F.greatest("arrival_ts", "found.arrival_ts").alias("arrival_ts"),
+        F.col("found.arrival_ts").alias("order_arrival_ts"), *buyer,
     )
 
 
-def waiting_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def waiting_lines(matched: DataFrame) -> DataFrame:
     """The lines whose order has not come yet."""
-    return lines.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti").select(*lines.columns)
+    return matched.where(F.col("found").isNull()).drop("found")
 
 
 def latest_users(users: DataFrame, order_cols: list[str]) -> DataFrame:
@@ -56,10 +63,13 @@ def latest_users(users: DataFrame, order_cols: list[str]) -> DataFrame:
     return latest_rows(users, ["id"], order_cols, null_is_value=True)
 
 
-def enrich_user(sales: DataFrame, users: DataFrame, as_of: str | dt.date | Column) -> DataFrame:
-    """Add gender, age and level of the buyer; sales without a known user stay, with NULLs.
+BUYER_FIELDS = ["user_gender", "user_age", "user_level"]
+
+
+def with_buyer(rows: DataFrame, users: DataFrame, as_of: str | dt.date | Column) -> DataFrame:
+    """Rows with a ``user_id``, and gender, age and level of that user; NULLs where there is no known user.
 
-    ``users`` holds one row per id, so a user with very many sales makes only the sales side heavy,
+    ``users`` holds one row per id, so a user with very many rows makes only the other side heavy,
     which the adaptive join splits.
     """
     buyer = users.select(
@@ -68,5 +78,10 @@ def enrich_user(sales: DataFrame, users: DataFrame, as_of: str | dt.date | Colum
         age_years(F.col("birthday"), as_of).alias("user_age"),
         F.col("user_level").alias("user_level"),
     )
+    return rows.join(buyer, "user_id", "left")
+
+
+def enrich_user(sales: DataFrame, users: DataFrame, as_of: str | dt.date | Column) -> DataFrame:
+    """Add gender, age and level of the buyer; sales without a known user stay, with NULLs."""
     arrival = [c for c in ("arrival_ts", "order_arrival_ts") if c in sales.columns]
-    return sales.join(buyer, "user_id", "left").select(*SALE_DETAIL_FIELDS, *arrival)
+    return with_buyer(sales, users, as_of).select(*SALE_DETAIL_FIELDS, *arrival)

@@ -57,5 +57,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to a fresh shared folder and read back: computed once, whatever reads it, and safe from lost executors."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ written. So it makes no difference in which order batches are written or how oft
 
 ``compact`` reads, aggregates and writes a new table folder: all rows but those of each stream's last batch, settled, in
 ``base``, with a sub-folder per day. The last batch stays a batch, because a stream may still replay it. Streams then go on with the new
-folder. Reading takes the base as it is and settles only keys that batches hold.
+folder. Reading takes the base as it is and settles only keys that batches hold; to read a whole table, keys are counted first, and
+where few occur several times only their rows are shuffled.
 
 Batches are flat files sorted by the partition columns: a batch of a few seconds must not become a file per day and task. A
 filter on the day skips sub-folders of the base and row groups of the batches.
@@ -24,7 +25,7 @@ from urllib.parse import quote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tillpulse.operators.latest import first_rows, latest_rows
+from tillpulse.operators.latest import first_rows, last_rows, last_rows_of_few
 
 _WRITTEN = T.StructField("written_at", T.TimestampType())
 
@@ -62,12 +63,12 @@ class KeyedTable:
         if self.partition_by:
             rows = rows.sortWithinPartitions(*self.partition_by)
         target = f"{self.path}/batches/source={quote(source, safe='')}/batch={batch}"
-        rows.write.mode("overwrite").parquet(target)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(target)
         return target
 
     def latest(self, spark: SparkSession, but: tuple[str, int] | None = None) -> DataFrame:
         """One row per key; deleted keys have none. ``but``: as if this batch (source, number) had not been written."""
-        return self._alive(self._latest(spark, self._base(spark), self._batches(spark, but)))
+        return self._alive(self._latest(spark, self._base(spark), self._batches(spark, but), whole=True))
 
     def lookup(self, spark: SparkSession, wanted: DataFrame, but: tuple[str, int] | None = None) -> DataFrame:
         """The latest rows of the keys in ``wanted`` only: other rows are dropped before they are settled."""
@@ -93,7 +94,7 @@ class KeyedTable:
             newest = batches.groupBy("source").agg(F.max("batch").alias("batch"))  # a row per stream
             batches.join(newest, ["source", "batch"], "left_semi").write.partitionBy("source", "batch").parquet(f"{path}/batches")
             older = batches.join(newest, ["source", "batch"], "left_anti")
-        merged = self._latest(spark, self._base(spark), older)
+        merged = self._latest(spark, self._base(spark), older, whole=True)
         if not self.partition_by:
             merged.write.parquet(f"{path}/base")
             return target
@@ -102,24 +103,25 @@ class KeyedTable:
         by_range.sortWithinPartitions(*self.partition_by).write.partitionBy(*self.partition_by).parquet(f"{path}/base")
         return target
 
-    def _latest(self, spark: SparkSession, base: DataFrame | None, batches: DataFrame | None) -> DataFrame:
+    def _latest(self, spark: SparkSession, base: DataFrame | None, batches: DataFrame | None, whole: bool = False) -> DataFrame:
         if batches is None:
             return spark.createDataFrame([], self._fields()) if base is None else base
         batches = batches.drop("source", "batch")
         if base is None:
-            return self._settled(batches)
+            return self._settled(batches, whole)
         changed = batches.select(*[F.col(k).alias(f"_{k}") for k in self.keys]).distinct()
         same = reduce(and_, (
             base[k].eqNullSafe(F.col(f"_{k}")) if self.null_is_value else base[k] == F.col(f"_{k}") for k in self.keys
         ))
         # Whatever its order value, a row of the base was written before those of the batches.
         earlier = base.join(changed, same, "left_semi").withColumn("written_at", F.lit(None).cast("timestamp"))
-        return base.join(changed, same, "left_anti").unionByName(self._settled(batches.unionByName(earlier)))
+        return base.join(changed, same, "left_anti").unionByName(self._settled(batches.unionByName(earlier), whole))
 
-    def _settled(self, rows: DataFrame) -> DataFrame:
+    def _settled(self, rows: DataFrame, whole: bool = False) -> DataFrame:
         if self.first:
             return first_rows(rows.drop("written_at"), self.keys, self.order)
-        return latest_rows(rows, self.keys, [*self.order, "written_at"], self.null_is_value).drop("written_at")
+        settle = last_rows_of_few if whole else last_rows
+        return settle(rows, self.keys, [*self.order, "written_at"], self.null_is_value).drop("written_at")
 
     def _alive(self, rows: DataFrame) -> DataFrame:
         return rows.where(~F.coalesce(F.col(self.tombstone), F.lit(False))) if self.tombstone else rows

@@ -270,7 +270,7 @@ def stream_sale_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = shared_dir(spark, "sales")
     replay = f"{work}/topics"
     users_table, sales_table = streaming.user_table(f"{work}/users"), streaming.sale_table(f"{work}/sales")
-    details = t.order_detail(t.table(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"))
+    details = t.order_detail(t.table(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"), ("order_price",))
     key = F.col("order_id").cast("bigint")
     line = F.split_part("id", F.lit("-"), F.lit(2)).cast("bigint")
     at = F.timestamp_seconds(F.unix_seconds(_arrival(key)) + line * 60 - 300)
@@ -366,7 +366,7 @@ def sale_late_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders.upsert(known.select("*", *missing), 0)
     people = t.user_info(t.table(spark, sf_dir, "customer")).withColumn("arrival_ts", day)
     users.upsert(people, 0)
-    details = t.order_detail(t.table(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"))
+    details = t.order_detail(t.table(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"), ("order_price",))
     late = details.withColumnRenamed("id", "order_detail_id").withColumns({
         "sku_price": F.col("order_price").cast("double"), "arrival_ts": day + F.expr("interval 2 days"),
     })

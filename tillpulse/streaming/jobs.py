@@ -27,7 +27,8 @@ from tillpulse.operators.alerts import (
 )
 from tillpulse.operators.devices import first_day_changes, first_startup, observed
 from tillpulse.operators.ingest import route_cdc, route_logs, stamp_ingest
-from tillpulse.operators.sales import enrich_user, late_sales, waiting_lines
+from tillpulse.operators.sales import enrich_user, late_sales, match_lines, waiting_lines, with_buyer
+from tillpulse.session import written
 from tillpulse.sinks.keyed import KeyedTable
 from tillpulse.sinks.panes import PaneStore, hour_of
 from tillpulse.sinks.rollup import Rollup, net_change
@@ -96,9 +97,9 @@ def dau_job(
     """
 
     def each(batch: DataFrame, batch_id: int, source: str) -> None:
-        written, spark = Observation(), batch.sparkSession
-        folder = table.upsert(first_startup(batch, tie_break).observe(written, F.count(F.lit(1)).alias("rows")), batch_id, source)
-        counted(written.get["rows"])
+        seen, spark = Observation(), batch.sparkSession
+        folder = table.upsert(first_startup(batch, tie_break).observe(seen, F.count(F.lit(1)).alias("rows")), batch_id, source)
+        counted(seen.get["rows"])
         first = spark.read.schema(table.schema).parquet(folder)
         if rollup:
             change = net_change(*table.effect(first, batch_id, source), ["log_date", "log_hour"], {"dau": F.lit(1)})
@@ -149,9 +150,9 @@ def alert_job(
             near = panes.read(spark, hours).join(device_hours, ["mid", "hour"], "left_semi").drop("hour", "source", "batch")
             windows = windows_from_panes(near, chunk=CHUNK_SECONDS).withColumn("minute", _minute())
             windows = windows.join(touched, ["mid", "minute"], "left_semi").withColumn("day", F.to_date("window_end"))
-            written = alerts.upsert(windows, batch_id, source)
+            folder = alerts.upsert(windows, batch_id, source)
             if minutes:
-                rows = spark.read.schema(alerts.schema).parquet(written)
+                rows = spark.read.schema(alerts.schema).parquet(folder)
                 minutes.upsert(_minutes(rows, touched), batch_id, source)
             touched.unpersist()
         finally:
@@ -246,8 +247,10 @@ def reconcile_lines(
     """Order lines that have waited for their order: those whose order has come meanwhile become sales, however late; the others go
     to ``rest``, the unmatched table of the next run. A batch job, to be run every now and then; a repeated ``run``
     overwrites what it has written."""
-    lines, orders = unmatched_table.latest(spark), order_table.latest(spark)
-    found = late_sales(orders, lines)
-    known = user_table.lookup(spark, found.select(F.col("user_id").alias("id")))
-    sale_table.upsert(enrich_user(found, known, as_of), run, "late lines")
-    rest.upsert(waiting_lines(orders, lines), run, "late lines")
+    lines = unmatched_table.latest(spark)
+    # Buyers join the orders, of which there are fewer than sales.
+    needed = order_table.latest(spark).select("id", "order_status", "create_time", "user_id", "create_date", "arrival_ts")
+    orders = with_buyer(needed, user_table.latest(spark), as_of)
+    matched = written(match_lines(orders, lines), "late-lines-matched")
+    sale_table.upsert(late_sales(matched), run, "late lines")
+    rest.upsert(waiting_lines(matched), run, "late lines")
