@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tillpulse import operators as ops, sources, streaming
-from tillpulse.sinks import archive_logs
+from tillpulse.sinks import archive_logs, topics as topic_files
 from tillpulse.sources.topics import topic_source
 
 BASE = dt.datetime(2024, 1, 10, 12, 0, 0)
@@ -243,6 +243,19 @@ def test_ingest_archive_and_orders(spark, topics, tmp_path):
     assert table.latest(spark).count() == 1
 
 
+def test_recorded_topics_are_compressed_in_files_that_many_tasks_read(spark, topics, tmp_path, monkeypatch):
+    monkeypatch.setattr(topic_files, "FILE_RECORDS", 2)
+    topics.send("raw", *[(at(i), {"type": "startup", "mid": f"m{i}"}) for i in range(5)])
+    run(streaming.ingest_job(topics.read("raw"), str(tmp_path / "cp"), replay_dir=str(tmp_path / "routed")))
+    files = [f for f in (tmp_path / "routed" / "ingest-0").rglob("part-*") if not f.name.endswith(".crc")]
+    assert len(files) == 3 and all(f.name.endswith(".json.gz") for f in files)
+    seen = topic_source(spark, "startup_log", replay_dir=str(tmp_path / "routed"))
+    out = seen.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp2"))
+    run(out)
+    mids = spark.read.parquet(str(tmp_path / "out")).select(F.get_json_object("value", "$.mid").alias("mid"), "arrival_ts")
+    assert rows(mids.select("mid"), "mid") == [(f"m{i}",) for i in range(5)] and mids.where("arrival_ts is null").count() == 0
+
+
 def test_progress_of_two_batches(spark, topics, tmp_path):
     log, table, written = streaming.ProgressLog(), streaming.dau_table(str(tmp_path / "dau")), []
     spark.streams.addListener(log)

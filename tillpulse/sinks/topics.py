@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
+FILE_RECORDS = 500_000
+
+
+def record_topics(writer: DataFrameWriter, folder: str) -> None:
+    """Write records as the replay form of the topic source reads them."""
+    writer.options(compression="gzip", maxRecordsPerFile=FILE_RECORDS).json(folder)
+
+
 def topic_sink(
     df: DataFrame,
     checkpoint: str,
@@ -17,7 +25,8 @@ def topic_sink(
     """Send each row's ``value`` to its ``topic``: a Kafka broker, or folders that ``topic_source`` replays.
 
     Several jobs may feed one folder under different ``producer`` names; every batch has a folder of its
-    own, which a repeated batch overwrites.
+    own, which a repeated batch overwrites. Recorded topics are compressed, in files of at most ``FILE_RECORDS``: a compressed
+    file is read by one task.
     """
     if (brokers is None) == (replay_dir is None):
         raise ValueError("give either brokers or replay_dir")
@@ -26,7 +35,7 @@ def topic_sink(
     else:
 
         def record(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").partitionBy("topic").json(f"{replay_dir}/{producer}-{batch_id}")
+            record_topics(batch.write.mode("overwrite").partitionBy("topic"), f"{replay_dir}/{producer}-{batch_id}")
 
         writer = df.select("topic", "value", "arrival_ts").writeStream.foreachBatch(record)
     return writer.option("checkpointLocation", checkpoint).outputMode("append")

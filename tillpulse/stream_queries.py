@@ -14,7 +14,7 @@ from tillpulse import operators as ops, plans, queries as q, sources, streaming
 from tillpulse.operators import stamp_ingest
 from tillpulse.queries import query
 from tillpulse.session import shared_dir
-from tillpulse.sinks import archive_logs
+from tillpulse.sinks import archive_logs, record_topics
 from tillpulse.sources import tables as t, topics
 
 # Between the two slices of the event table.
@@ -25,7 +25,7 @@ REPLAY_LATENESS = "40 days"
 
 def _publish(rows: DataFrame, topic: str, replay_dir: str) -> None:
     """Append records (value, arrival_ts) to a topic folder."""
-    rows.select("value", "arrival_ts").write.mode("append").json(f"{replay_dir}/published/topic={topic}")
+    record_topics(rows.select("value", "arrival_ts").write.mode("append"), f"{replay_dir}/published/topic={topic}")
 
 
 def _source(spark: SparkSession, topic: str, replay_dir: str) -> DataFrame:
