@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tillpulse import operators as ops, sources, streaming
-from tillpulse.sinks import archive_logs, topics as topic_files
+from tillpulse import operators as ops, session, sources, streaming
+from tillpulse.sinks import KeyedTable, archive_logs, topics as topic_files
 from tillpulse.sources.topics import topic_source
+from tillpulse.streaming import jobs
 
 BASE = dt.datetime(2024, 1, 10, 12, 0, 0)
 
@@ -293,3 +294,32 @@ def test_broker_or_folder(spark):
         topic_source(spark, "t")
     with pytest.raises(ValueError):
         topic_source(spark, "t", brokers="b:9092", replay_dir="/x")
+
+
+def test_buyers_are_never_sent_whole(spark, topics, tmp_path, monkeypatch):
+    """The files of a user table are a fiftieth of its rows, so a broadcast must not be chosen by their size."""
+    people, sales = streaming.user_table(str(tmp_path / "users")), streaming.sale_table(str(tmp_path / "sales"))
+    orders, lines = streaming.order_table(str(tmp_path / "orders")), streaming.unmatched_table(str(tmp_path / "lines"))
+    plans, upsert = [], KeyedTable.upsert
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(KeyedTable, "upsert", lambda table, df, *a: upsert(table, noted(df) if table is sales else df, *a))
+    monkeypatch.setattr(jobs, "written", lambda df, purpose: session.written(noted(df), purpose))
+    topics.send("u", user("u1", at(-60), "1"))
+    topics.send("o", order("o1", at(0)), order("o2", at(0), "nobody"))
+    topics.send("d", line("a", "o1", at(1)), line("b", "o2", at(1)))
+    run(streaming.sale_job(
+        sources.accepted(sources.parse_order(topics.read("o"))), sources.accepted(sources.parse_order_detail(topics.read("d"))),
+        sources.accepted(sources.parse_user(topics.read("u"))), people, sales, str(tmp_path / "cp"), dt.date(2024, 1, 1),
+    ))
+    run(streaming.order_job(sources.accepted(sources.parse_order(topics.read("o"))), orders, str(tmp_path / "cp-orders")))
+    late = [(line, of, "s", "ring", 5.0, at(days=3)) for line, of in (("c", "o1"), ("d", "o2"), ("e", "o9"))]
+    lines.upsert(spark.createDataFrame(late, lines.schema), 0)
+    streaming.reconcile_lines(spark, orders, lines, people, sales, streaming.unmatched_table(str(tmp_path / "rest")), dt.date(2024, 1, 1))
+    # The batch of the stream and the match of the late lines; the last one only writes what has matched.
+    assert len(plans) == 3 and all("SortMergeJoin [user_id" in p and "BroadcastHashJoin [user_id" not in p for p in plans[:2])
+    got = rows(sales.latest(spark).select("order_detail_id", "user_level"), "order_detail_id")
+    assert got == [("a", "1"), ("b", None), ("c", "1"), ("d", None)]

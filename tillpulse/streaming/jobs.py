@@ -59,6 +59,13 @@ def _into(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFra
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(named)
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Rows of a keyed table as a side of a join that sorts both sides. The planner takes the size of a table's compressed files for
+    that of its rows, and adaptive execution does not take back a broadcast that was chosen by it: 4.86 million users, 15 MB
+    of files, are 805 MB in the driver and in every executor."""
+    return rows.hint("merge")
+
+
 def ingest_job(
     raw: DataFrame, checkpoint: str, *, brokers: str | None = None, replay_dir: str | None = None
 ) -> DataStreamWriter:
@@ -228,7 +235,7 @@ def sale_job(
             join_order_detail_within(new_orders, of(LINE, before.where(waiting.near(LINE, ends))), early, horizon)
         )
         # Buyers by the orders: the join is then needed once.
-        buyers = user_table.lookup(spark, met.select(F.col("user_id").alias("id")))
+        buyers = _sorted(user_table.lookup(spark, met.select(F.col("user_id").alias("id"))))
         sale_table.upsert(enrich_user(sales, buyers, as_of), batch_id, source)
 
     return _into(every_kind, "append", checkpoint, each)
@@ -250,7 +257,7 @@ def reconcile_lines(
     lines = unmatched_table.latest(spark)
     # Buyers join the orders, of which there are fewer than sales.
     needed = order_table.latest(spark).select("id", "order_status", "create_time", "user_id", "create_date", "arrival_ts")
-    orders = with_buyer(needed, user_table.latest(spark), as_of)
+    orders = with_buyer(needed, _sorted(user_table.latest(spark)), as_of)
     matched = written(match_lines(orders, lines), "late-lines-matched")
     sale_table.upsert(late_sales(matched), run, "late lines")
     rest.upsert(waiting_lines(matched), run, "late lines")
